@@ -59,8 +59,9 @@ def compare(spark, con, query, sf_dir: str) -> str | None:
     left, right = rows_of(df.columns, got), rows_of(names, want)
     if left == right:
         return None if left else "EMPTY"
-    extra = [r for r in left if r not in set(right)][:3]
-    lost = [r for r in right if r not in set(left)][:3]
+    has_left, has_right = set(left), set(right)
+    extra = [r for r in left if r not in has_right][:3]
+    lost = [r for r in right if r not in has_left][:3]
     return f"rows {len(left)} != {len(right)}\n   spark-only {extra}\n   sql-only   {lost}"
 
 

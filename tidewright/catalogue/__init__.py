@@ -1,6 +1,6 @@
 """Every registered query, by area."""
 
-from tidewright.catalogue import usage_queries  # noqa: F401
+from tidewright.catalogue import extraction_queries, usage_queries  # noqa: F401
 from tidewright.catalogue.registry import QUERIES
 
 __all__ = ["QUERIES"]

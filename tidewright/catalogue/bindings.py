@@ -121,3 +121,45 @@ ops AS (SELECT k AS id, 'src/components/' || o_orderstatus || '/order' || o_cust
   || CASE WHEN k % 4 = 0 THEN '    ${status}Extra' || chr(10) || '    ${queryNames.item}' || chr(10) ELSE '' END
   || '  }' || chr(10) || '}' AS content FROM op_named)
 """
+
+
+# One code snippet per order with the three access forms and a join condition.
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    o = ops(spark, sf).select("id", "selections")
+    k = F.col("id")
+    s1 = F.element_at("selections", 1)
+    sn = F.element_at("selections", -1)
+    quoted = F.array_join(F.transform("selections", lambda s: F.concat(F.lit("'gem."), s, F.lit("'"))), ", ")
+    var = F.when(k % 4 == 0, "wsbvItem").when(k % 4 == 1, "cart").when(k % 4 == 2, "uceRow").otherwise("plain")
+    join = F.when(
+        k % 3 == 0,
+        "joinEntities(items, users, (l, r) => (l.type === 'cart' && r.type === \"user\" && l.ownerId === r.userId && l.k === r.k))\n",
+    ).otherwise("")
+    check = F.when(k % 4 == 1, "if (entity.type === 'order' && cart) {}\n").when(
+        k % 4 == 3, "map(plain.type === 'basket')\n"
+    ).otherwise("")
+    ret = (
+        F.when(k % 5 == 0, "return [];").when(k % 5 == 1, "return [{ type: 'none' }];").when(k % 5 == 2, "return [{ ...base }];")
+        .when(k % 5 == 3, "return { ventureId: 1 };").otherwise("return items;")
+    )
+    return o.withColumn("v", var).select(
+        "id",
+        F.concat(
+            F.lit("const { "), s1, F.lit(", "), sn, F.lit(": alias } = "), "v", F.lit(";\n"), join, check,
+            F.lit("entityPick("), "v", F.lit(", ["), quoted, F.lit("])\nx = "), "v", F.lit("?."), s1, F.lit(" && "), "v", F.lit("."), sn,
+            F.lit(".current > profile.request.query.page || Math.max(1)\n"), ret,
+        ).alias("code"),
+    )
+
+
+SNIPPETS = OPS + r""",
+snip_raw AS (SELECT id, selections, selections[1] AS s1, selections[len(selections)] AS sn,
+  CASE id % 4 WHEN 0 THEN 'wsbvItem' WHEN 1 THEN 'cart' WHEN 2 THEN 'uceRow' ELSE 'plain' END AS v FROM ops),
+snippets AS (SELECT id, 'const { ' || s1 || ', ' || sn || ': alias } = ' || v || ';' || chr(10)
+  || CASE WHEN id % 3 = 0 THEN 'joinEntities(items, users, (l, r) => (l.type === ''cart'' && r.type === "user" && l.ownerId === r.userId && l.k === r.k))' || chr(10) ELSE '' END
+  || CASE WHEN id % 4 = 1 THEN 'if (entity.type === ''order'' && cart) {}' || chr(10) WHEN id % 4 = 3 THEN 'map(plain.type === ''basket'')' || chr(10) ELSE '' END
+  || 'entityPick(' || v || ', [' || array_to_string(list_transform(selections, lambda s: '''gem.' || s || ''''), ', ') || '])' || chr(10)
+  || 'x = ' || v || '?.' || s1 || ' && ' || v || '.' || sn || '.current > profile.request.query.page || Math.max(1)' || chr(10)
+  || CASE id % 5 WHEN 0 THEN 'return [];' WHEN 1 THEN 'return [{ type: ''none'' }];' WHEN 2 THEN 'return [{ ...base }];'
+     WHEN 3 THEN 'return { ventureId: 1 };' ELSE 'return items;' END AS code FROM snip_raw)
+"""
