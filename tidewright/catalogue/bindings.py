@@ -69,7 +69,7 @@ def ops(spark: SparkSession, sf: str) -> DataFrame:
         li.join(p, li.l_partkey == p.p_partkey)
         .select("l_orderkey", F.concat(F.lower("p_type"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("f"))
         .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_set("f")).alias("selections"))
+        .agg(F.sort_array(F.collect_set("f")).alias("selections"))
     )
     k = F.col("o_orderkey")
     word = F.regexp_replace("o_orderpriority", "[^A-Z]", "")

@@ -164,7 +164,7 @@ def relationship_edges(spark, sf):
     rows = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
     lists = rows.groupBy("l_orderkey").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "n_name"))),
+            F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "n_name"))),
             lambda r: r["n_name"],
         ).alias("ents")
     )

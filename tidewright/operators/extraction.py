@@ -43,38 +43,52 @@ def merge_strategies(primary: DataFrame, fallback: DataFrame, key: str) -> DataF
     return primary.unionByName(fallback.join(primary.select(key), key, "left_anti"))
 
 
-def infer_entity(code: Column, var: Column, hints=ENTITY_HINTS) -> Column:
-    """Type equality before the variable, then on it, then a name hint."""
-    first = F.regexp_extract(code, ENTITY_TYPE + r"([\s\S]*)", 1)
-    rest = F.regexp_extract(code, ENTITY_TYPE + r"([\s\S]*)", 2)
-    checks = F.filter(
-        F.arrays_zip(all_matches(code, ANY_TYPE, 1).alias("v"), all_matches(code, ANY_TYPE, 2).alias("t")),
-        lambda c: c["v"].endswith(var),
-    )
+def _entity_of(first: Column, rest: Column, checks: Column, var: Column, hints) -> Column:
     hinted = F.lit(None).cast("string")
     for word, entity in reversed(hints):
         hinted = F.when(F.lower(var).contains(word), entity).otherwise(hinted)
-    return F.coalesce(
-        F.when((first != "") & rest.contains(var), first),
-        F.get(checks, 0)["t"],
-        hinted,
-        F.lit("unknown"),
+    on_var = F.get(F.filter(checks, lambda c: c["v"].endswith(var)), 0)["t"]
+    return F.coalesce(F.when((first != "") & rest.contains(var), first), on_var, hinted, F.lit("unknown"))
+
+
+def _type_checks(code: Column) -> Column:
+    return F.transform(
+        all_matches(code, ANY_TYPE, 0),
+        lambda m: F.struct(F.regexp_extract(m, ANY_TYPE, 1).alias("v"), F.regexp_extract(m, ANY_TYPE, 2).alias("t")),
     )
 
 
-def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def infer_entity(code: Column, var: Column, hints=ENTITY_HINTS) -> Column:
+    """Type equality before the variable, then on it, then a name hint."""
+    after = ENTITY_TYPE + r"([\s\S]*)"
+    return _entity_of(F.regexp_extract(code, after, 1), F.regexp_extract(code, after, 2), _type_checks(code), var, hints)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns computed exactly once per row: the one-row generator keeps
+    the optimizer from copying them into each later use."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
+def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[str, str]] = (), hints=ENTITY_HINTS) -> DataFrame:
     """Field accesses of list-pick calls, dotted property use and destructuring."""
     code = F.col(text)
+    group = F.regexp_extract
 
     def access(var, field, method):
         return F.struct(var.alias("var"), field.alias("field"), F.lit(method).alias("access_method"))
 
     picks = F.flatten(
         F.transform(
-            F.arrays_zip(all_matches(code, PICK, 1).alias("v"), all_matches(code, PICK, 2).alias("f")),
-            lambda m: F.transform(
-                F.regexp_extract_all(m["f"], F.lit(QUOTED), F.lit(1)), lambda f: access(m["v"], f, "pick")
+            F.transform(
+                all_matches(code, PICK, 0),
+                lambda m: F.struct(
+                    group(m, PICK, 1).alias("v"),
+                    F.regexp_extract_all(group(m, PICK, 2), F.lit(QUOTED), F.lit(1)).alias("fs"),
+                ),
             ),
+            lambda p: F.transform(p["fs"], lambda f: access(p["v"], f, "pick")),
         )
     )
     request = F.transform(
@@ -82,28 +96,40 @@ def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[
     )
     direct = F.filter(
         F.transform(
-            F.arrays_zip(all_matches(code, DIRECT, 1).alias("v"), all_matches(code, DIRECT, 2).alias("f")),
-            lambda m: access(m["v"], F.replace(m["f"], F.lit("?."), F.lit(".")), "direct"),
+            all_matches(code, DIRECT, 0),
+            lambda m: access(group(m, DIRECT, 1), F.replace(group(m, DIRECT, 2), F.lit("?."), F.lit(".")), "direct"),
         ),
         lambda a: ~a["var"].isin(*T.ACCESS_STOP_NAMES),
     )
     opened = F.flatten(
         F.transform(
-            F.arrays_zip(all_matches(code, DESTRUCTURE, 1).alias("f"), all_matches(code, DESTRUCTURE, 2).alias("v")),
+            all_matches(code, DESTRUCTURE, 0),
             lambda m: F.transform(
                 F.filter(
-                    F.transform(F.split(m["f"], ","), lambda p: F.trim(F.element_at(F.split(p, ":"), 1))),
+                    F.transform(F.split(group(m, DESTRUCTURE, 1), ","), lambda p: F.trim(F.element_at(F.split(p, ":"), 1))),
                     lambda f: (f != "") & ~f.startswith("{"),
                 ),
-                lambda f: access(m["v"], f, "destructuring"),
+                lambda f: access(group(m, DESTRUCTURE, 2), f, "destructuring"),
             ),
         )
     )
-    # All variables of a text resolve against the same text, so the text stays
-    # on the row only until the entity is known.
-    rows = df.select(F.col(unit).alias("unit"), code.alias("_code"), F.inline(F.concat(picks, request, direct, opened)))
+    after = ENTITY_TYPE + r"([\s\S]*)"
+    found = once(
+        df.select(F.col(unit).alias("unit"), code),
+        _hits=F.concat(picks, request, direct, opened), _first=group(code, after, 1),
+        _rest=group(code, after, 2), _checks=_type_checks(code),
+    )
+    # One entity per distinct variable of a text; the text itself is not exploded.
+    named = once(found.select("unit", "_hits", "_first", "_rest", "_checks"), _vars=F.array_distinct(F.col("_hits.var")))
+    known = once(
+        named,
+        _entities=F.transform(
+            "_vars", lambda v: _entity_of(F.col("_first"), F.col("_rest"), F.col("_checks"), v, hints)
+        ),
+    )
+    rows = known.select("unit", "_vars", "_entities", F.inline("_hits"))
     entity = F.when(F.col("field").startswith("request.query."), "profile").otherwise(
-        infer_entity(F.col("_code"), F.col("var"))
+        F.get("_entities", (F.array_position("_vars", F.col("var")) - 1).cast("int"))
     )
     return rows.select(
         "unit", "field", normalize_prefix(F.col("field"), prefix_map).alias("normalized"),
@@ -259,7 +285,7 @@ def resolve_templates(df: DataFrame, id_col: str, body: str, bodies: DataFrame,
             chosen.select("_id", "hole", value.alias("value"))
             .filter(F.col("value").isNotNull())
             .groupBy("_id")
-            .agg(F.array_sort(F.collect_list(F.struct("hole", "value"))).alias("_fills"))
+            .agg(F.sort_array(F.collect_list(F.struct("hole", "value"))).alias("_fills"))
         )
         filled = F.aggregate(F.col("_fills"), F.col("_t"), lambda acc, f: F.replace(acc, f["hole"], f["value"]))
         new = F.coalesce(filled, F.col("_t"))
@@ -311,7 +337,7 @@ def common_keys(examples: DataFrame, id_col: str, payload: str, share: float = 0
     )
     keys = pairs.groupBy("key").agg(
         F.count(F.lit(1)).alias("examples"),
-        F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("types"),
+        F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types"),
         F.min_by("value", F.when(F.col("value").isNotNull(), F.col("_id"))).alias("sample"),
     )
     return keys.join(total, how="inner").filter(F.col("examples") >= F.col("_n") * share).drop("_n")

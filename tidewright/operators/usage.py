@@ -38,7 +38,7 @@ def variations(access: DataFrame, mapped: Column | None = None) -> DataFrame:
     pairs = rows.select("normalized", "field").distinct()
     return pairs.groupBy("normalized").agg(
         F.count(F.lit(1)).alias("variation_count"),
-        F.array_join(F.array_sort(F.collect_list("field")), ",").alias("spellings"),
+        F.array_join(F.sort_array(F.collect_list("field")), ",").alias("spellings"),
     )
 
 
@@ -71,7 +71,7 @@ def category_report(access: DataFrame, category: Column, k: int = 5) -> DataFram
         F.round(F.sum("uses") / F.count(F.lit(1)), 6).alias("mean_uses"),
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "normalized")))),
+                F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "normalized")))),
                 lambda s: s["normalized"],
             ),
             ",",
@@ -107,7 +107,7 @@ def data_dictionary(access: DataFrame, category: Column) -> DataFrame:
     merged = facts.groupBy("normalized").agg(
         F.count(F.lit(1)).alias("used_by"),
         *[
-            F.array_sort(F.aggregate(F.collect_set(c), F.array().cast("array<string>"), F.array_union)).alias(c)
+            F.sort_array(F.aggregate(F.collect_set(c), F.array().cast("array<string>"), F.array_union)).alias(c)
             for c in ("entities", "methods", "spellings")
         ],
     )
@@ -128,8 +128,8 @@ def dictionary_users(access: DataFrame) -> DataFrame:
 def unique_fields(access: DataFrame, category: Column, sub: Column, dtype: Column, top: int = 20) -> DataFrame:
     users = dictionary_users(access).groupBy("normalized").agg(F.count(F.lit(1)).alias("units"))
     shapes = access.select("normalized", "field", "entity_type").distinct().groupBy("normalized").agg(
-        F.array_sort(F.collect_set("field")).alias("raw"),
-        F.array_join(F.array_sort(F.collect_set("entity_type")), ",").alias("entities"),
+        F.sort_array(F.collect_set("field")).alias("raw"),
+        F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entities"),
     )
     return (
         users.join(shapes, "normalized")
