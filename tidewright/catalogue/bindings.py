@@ -163,3 +163,65 @@ snippets AS (SELECT id, 'const { ' || s1 || ', ' || sn || ': alias } = ' || v ||
   || CASE id % 5 WHEN 0 THEN 'return [];' WHEN 1 THEN 'return [{ type: ''none'' }];' WHEN 2 THEN 'return [{ ...base }];'
      WHEN 3 THEN 'return { ventureId: 1 };' ELSE 'return items;' END AS code FROM snip_raw)
 """
+
+
+# Catalog, usages and contract texts over part types (types) and brands x sizes (fields).
+def _part_field():
+    return F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"))
+
+
+def _reason():
+    s = F.col("p_size")
+    base = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_"))
+    return (
+        F.when(s == 10, F.concat(F.lit("Use `"), base, F.lit("_new`")))
+        .when(s == 20, F.concat(F.lit("please switch to using "), base, F.lit("_next")))
+        .when(s == 30, F.concat(F.lit("moved to profile."), base))
+        .when(s == 40, F.lit("Legacy field"))
+    )
+
+
+def catalog(spark: SparkSession, sf: str, keep=None) -> DataFrame:
+    p = table(spark, sf, "part").select("p_type", "p_brand", "p_size")
+    rows = p.filter(F.col("p_size") <= 40 if keep is None else keep)
+    return rows.select(
+        F.col("p_type").alias("type_name"), _part_field().alias("field_name"),
+        (F.col("p_size") % 10 == 0).alias("is_deprecated"), _reason().alias("reason"),
+    ).distinct()
+
+
+def usages(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_orderkey").alias("id"), F.col("p_type").alias("type_name"), _part_field().alias("field_name")
+    )
+
+
+def contract_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One contract file per part type; the file text is split back into lines."""
+    from tidewright.operators.catalog import read_lines
+
+    c = catalog(spark, sf)
+    line = F.concat(
+        F.lit("  "), "field_name", F.lit("(first: Int): String"),
+        F.when(F.col("is_deprecated"), F.concat(F.lit(' @deprecated(reason: "'), "reason", F.lit('")'))).otherwise(""),
+    )
+    body = c.groupBy("type_name").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat(
+        F.lit("# contract\ntype "), F.initcap(F.lower("type_name")), F.lit(" {\n"), "body",
+        F.lit('\n}\n  stray: Int @deprecated(reason: "Use `x`")\nenum E {\n  odd: Int @deprecated(reason: "Use `y`")\n}'),
+    )
+    return read_lines(body.select("type_name", text.alias("text")), "type_name", "text")
+
+
+CATALOG = r"""
+part_f AS (SELECT p_partkey, p_type AS type_name, replace(lower(p_brand), '#', '_') || '_' || p_size AS field_name, p_size, replace(lower(p_brand), '#', '_') AS base FROM part),
+part_r AS (SELECT *, CASE p_size WHEN 10 THEN 'Use `' || base || '_new`' WHEN 20 THEN 'please switch to using ' || base || '_next'
+  WHEN 30 THEN 'moved to profile.' || base WHEN 40 THEN 'Legacy field' END AS reason,
+  CASE p_size WHEN 10 THEN base || '_new' WHEN 20 THEN base || '_next' WHEN 30 THEN 'profile.' || base END AS replacement FROM part_f),
+catalog AS (SELECT DISTINCT type_name, field_name, p_size % 10 = 0 AS is_deprecated, reason, replacement FROM part_r WHERE p_size <= 40),
+usages AS (SELECT l_orderkey AS id, type_name, field_name FROM lineitem JOIN part_f ON l_partkey = p_partkey),
+rules AS (SELECT upper(type_name[1]) || lower(type_name[2:]) AS object_type, field_name, reason, replacement, replacement IS NULL AS is_vague,
+  CASE WHEN replacement IS NULL THEN 'comment-out' ELSE 'replace' END AS action FROM catalog WHERE is_deprecated)
+"""
