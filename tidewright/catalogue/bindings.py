@@ -225,3 +225,92 @@ usages AS (SELECT l_orderkey AS id, type_name, field_name FROM lineitem JOIN par
 rules AS (SELECT upper(type_name[1]) || lower(type_name[2:]) AS object_type, field_name, reason, replacement, replacement IS NULL AS is_vague,
   CASE WHEN replacement IS NULL THEN 'comment-out' ELSE 'replace' END AS action FROM catalog WHERE is_deprecated)
 """
+
+
+# Snapshots: an order and its items as JSON; the candidate is edited by order key.
+def snapshot_rows(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    items = li.groupBy("l_orderkey").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "q"))),
+            lambda r: F.struct(r["l_partkey"].alias("part"), r["q"].alias("qty")),
+        ).alias("items")
+    )
+    o = table(spark, sf, "orders")
+    return o.join(items, o.o_orderkey == items.l_orderkey).select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority", "items"
+    )
+
+
+def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = snapshot_rows(spark, sf)
+    k = F.col("o_orderkey")
+    e = k % 7
+
+    def doc(status, total, priority, items, extra):
+        return F.to_json(F.struct(
+            k.alias("id"), status.alias("status"), total.alias("total"), F.col("o_custkey").alias("cust"),
+            priority.alias("priority"), items.alias("items"), extra.alias("extra"),
+        ))
+
+    nothing = F.lit(None).cast("string")
+    status, total, priority, items = (F.col(c) for c in ("o_orderstatus", "o_totalprice", "o_orderpriority", "items"))
+    base = rows.select(
+        k.alias("id"), doc(status, total, priority, items, nothing).alias("data"),
+        F.when(k % 11 == 0, '[{"message":"slow"}]').alias("errors"),
+        (F.col("o_custkey") % 90).alias("duration"), (k % 50).alias("size"),
+    ).filter(k % 29 != 1)
+    plain = doc(
+        F.when(e == 6, F.concat(status, F.lit("x"))).otherwise(status), total,
+        F.when(e != 1, priority),
+        F.when(e == 5, F.reverse(items)).when(e == 6, F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))).otherwise(items),
+        F.when(e == 2, F.lit("new")),
+    )
+    edited = F.when(
+        e == 3, F.regexp_replace(plain, r'"total":([0-9.E]+)', r'"total":"$1"')
+    ).when(e == 4, F.regexp_replace(plain, r'"status":"[A-Z]"', '"status":null')).otherwise(plain)
+    cand = rows.select(
+        k.alias("id"), edited.alias("data"),
+        F.when(((k % 11 == 0) & (k % 2 == 0)) | (k % 11 == 1), '[{"message":"slow"}]').alias("errors"),
+        (F.col("o_custkey") % 90 + (k % 5) * 20).alias("duration"), (k % 40).alias("size"),
+    ).filter(k % 31 != 2)
+    return base, cand
+
+
+SNAPSHOTS = r"""
+snap AS (SELECT o_orderkey AS id, o_orderkey % 7 AS e, o_orderstatus AS status, o_totalprice AS total, o_custkey AS cust, o_orderpriority AS priority, items, o_orderkey AS k FROM orders JOIN
+  (SELECT l_orderkey, list({'part': l_partkey, 'qty': CAST(l_quantity AS INTEGER)} ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+snap2 AS (SELECT *, id % 29 <> 1 AS has_base, id % 31 <> 2 AS has_cand FROM snap WHERE id % 29 <> 1 OR id % 31 <> 2),
+raw_diffs AS (
+  SELECT id, 'response' AS path, 'missing-field' AS type, 'critical' AS severity, false AS fixable, 0 AS err FROM snap2 WHERE NOT (has_base AND has_cand)
+  UNION ALL SELECT id, 'data.priority', 'missing-field', 'critical', false, 0 FROM snap2 WHERE has_base AND has_cand AND e = 1
+  UNION ALL SELECT id, 'data.extra', 'extra-field', 'low', true, 0 FROM snap2 WHERE has_base AND has_cand AND e = 2
+  UNION ALL SELECT id, 'data.total', 'type-mismatch', 'critical', false, 0 FROM snap2 WHERE has_base AND has_cand AND e = 3
+  UNION ALL SELECT id, 'data.status', 'null-mismatch', 'low', true, 0 FROM snap2 WHERE has_base AND has_cand AND e = 4
+  UNION ALL SELECT id, 'data.items', 'array-order', 'low', true, 0 FROM snap2 WHERE has_base AND has_cand AND e = 5 AND items <> list_reverse(items)
+  UNION ALL SELECT id, 'data.items', 'array-length', 'low', false, 0 FROM snap2 WHERE has_base AND has_cand AND e = 6
+  UNION ALL SELECT id, 'data.status', 'value-change', 'medium', false, 0 FROM snap2 WHERE has_base AND has_cand AND e = 6
+  UNION ALL SELECT id, 'errors', 'missing-field', 'critical', false, 1 FROM snap2 WHERE has_base AND has_cand AND id % 11 = 0 AND id % 2 = 1
+  UNION ALL SELECT id, 'errors', 'extra-field', 'low', true, 1 FROM snap2 WHERE has_base AND has_cand AND id % 11 = 1),
+counts AS (SELECT id, count(*) AS n, count_if(severity = 'critical') AS critical, count_if(severity = 'medium') AS medium, count_if(type IN ('missing-field','type-mismatch')) AS breaking FROM raw_diffs GROUP BY 1),
+leafy AS (SELECT *, list_concat(['n:' || id, 's:' || status, 'n:' || total, 'n:' || cust, 's:' || priority], flatten(list_transform(items, lambda i: ['n:' || i.part, 'n:' || i.qty]))) AS lb,
+  list_concat(list_filter(['n:' || id, CASE WHEN e <> 4 THEN 's:' || status || CASE WHEN e = 6 THEN 'x' ELSE '' END END, CASE WHEN e = 3 THEN 's:' ELSE 'n:' END || total, 'n:' || cust, CASE WHEN e <> 1 THEN 's:' || priority END], lambda x: x IS NOT NULL),
+   list_concat(flatten(list_transform(CASE WHEN e = 5 THEN list_reverse(items) WHEN e = 6 THEN items[1:len(items)-1] ELSE items END, lambda i: ['n:' || i.part, 'n:' || i.qty])), CASE WHEN e = 2 THEN ['s:new'] ELSE [] END)) AS lc,
+  '{"id":"number","status":"string","total":"number","cust":"number","priority":"string","items":[{"part":"number","qty":"number"}]}' AS sb FROM snap2),
+shaped AS (SELECT *, CASE e WHEN 1 THEN replace(sb, '"priority":"string",', '') WHEN 2 THEN replace(sb, '}]}', '}],"extra":"string"}') WHEN 3 THEN replace(sb, '"total":"number"', '"total":"string"')
+   WHEN 4 THEN replace(sb, '"status":"string"', '"status":null') WHEN 6 THEN CASE WHEN len(items) = 1 THEN replace(sb, '[{"part":"number","qty":"number"}]', '[]') ELSE sb END ELSE sb END AS sc,
+   list_sum(list_transform(range(1, least(len(lb), len(lc)) + 1), lambda i: CASE WHEN lb[i] = lc[i] THEN 1 ELSE 0 END)) AS same FROM leafy),
+shapes AS (SELECT DISTINCT sb, sc FROM shaped),
+big AS (SELECT sb, sc, 'b' AS side, unnest(list_transform(range(1, length(sb)), lambda i: substr(sb, i, 2))) AS g FROM shapes
+  UNION ALL SELECT sb, sc, 'c', unnest(list_transform(range(1, length(sc)), lambda i: substr(sc, i, 2))) FROM shapes),
+dice AS (SELECT sb, sc, 2.0::DOUBLE * sum(least(nb, nc)) / (length(sb) + length(sc) - 2) AS d FROM (SELECT sb, sc, g, count_if(side = 'b') AS nb, count_if(side = 'c') AS nc FROM big GROUP BY 1, 2, 3) GROUP BY 1, 2),
+impact AS (SELECT s.*, coalesce(n, 0) AS n, coalesce(critical, 0) AS critical, coalesce(medium, 0) AS medium, coalesce(breaking, 0) AS breaking,
+  cust % 90 AS d1, cust % 90 + (id % 5) * 20 AS d2, id % 50 AS s1, id % 40 AS s2 FROM shaped s LEFT JOIN counts USING (id)),
+scored AS (SELECT i.id, has_base, has_cand, n = 0 AS identical, CASE WHEN NOT (has_base AND has_cand) THEN 0.0::DOUBLE WHEN n = 0 THEN 1.0::DOUBLE
+   ELSE greatest(0.0::DOUBLE, (CASE WHEN e IN (0, 5) AND (e = 0 OR items = list_reverse(items)) THEN 1.0::DOUBLE * 0.7::DOUBLE + 1.0::DOUBLE * 0.3::DOUBLE ELSE d * 0.7::DOUBLE + same::DOUBLE / greatest(len(lb), len(lc)) * 0.3::DOUBLE END) - critical * 0.1::DOUBLE) END AS similarity,
+  breaking, medium,
+  CASE WHEN NOT (has_base AND has_cand) THEN 0.0::DOUBLE WHEN d1 = 0 THEN CASE WHEN d2 > 0 THEN 'inf'::DOUBLE ELSE 0.0::DOUBLE END ELSE (d2 - d1)::DOUBLE / d1 * 100.0::DOUBLE END AS latency_change,
+  CASE WHEN NOT (has_base AND has_cand) THEN 0.0::DOUBLE WHEN s1 = 0 THEN CASE WHEN s2 > 0 THEN 'inf'::DOUBLE ELSE 0.0::DOUBLE END ELSE (s2 - s1)::DOUBLE / s1 * 100.0::DOUBLE END AS size_change
+  FROM impact i JOIN dice USING (sb, sc)),
+compared AS (SELECT *, CASE WHEN breaking > 0 OR similarity < 0.8 THEN 'unsafe' WHEN abs(latency_change) > 30 OR abs(size_change) > 30 OR medium > 0 THEN 'review' ELSE 'safe' END AS verdict FROM scored)
+"""

@@ -1,0 +1,208 @@
+"""Arrow helpers that align two JSON texts node by node.
+
+Spark partitions the pairs; the helpers only parse one pair at a time. They are
+Python because the reports depend on the member order of the texts, which the
+JVM variant type does not keep. Everything after alignment is Spark columns.
+"""
+
+from __future__ import annotations
+
+import json
+from collections import Counter
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+NODE = (
+    "segments array<string>, side string, base_type string, cand_type string, "
+    "base_value string, cand_value string, base_len int, cand_len int, reorder array<string>"
+)
+PAIR = f"nodes array<struct<{NODE}>>, base_shape string, cand_shape string, base_leaves int, cand_leaves int, same_leaves int"
+
+
+def kind(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, (int, float)):
+        return "number"
+    return {str: "string", list: "array", dict: "object"}[type(v)]
+
+
+def dumps(v) -> str:
+    return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+
+def scalar(v) -> str | None:
+    return v if isinstance(v, str) else (None if v is None else dumps(v))
+
+
+def equal(a, b) -> bool:
+    return kind(a) == kind(b) and (float(a) == float(b) if kind(a) == "number" else a == b)
+
+
+def shape(v):
+    if isinstance(v, list):
+        return [shape(v[0])] if v else []
+    if isinstance(v, dict):
+        return {k: shape(x) for k, x in v.items()}
+    return None if v is None else kind(v)
+
+
+def leaves(v) -> Iterable:
+    if isinstance(v, (list, dict)):
+        for x in v if isinstance(v, list) else v.values():
+            yield from leaves(x)
+    elif v is not None:
+        yield v
+
+
+def differing(a, b, path, reorder, stops):
+    """Nodes of the aligned trees that differ, in document order."""
+    def node(side, value_a, value_b, at=path, la=None, lb=None):
+        return (list(at), side, kind(value_a), kind(value_b), scalar(value_a), scalar(value_b), la, lb, reorder)
+
+    ka, kb = kind(a), kind(b)
+    if ".".join(path) in stops:
+        if dumps(a) != dumps(b):
+            yield (list(path), "custom", ka, kb, scalar(a), scalar(b), None, None, reorder)
+    elif ka == "null" or kb == "null":
+        if ka != kb:
+            yield node("null", a, b)
+    elif ka != kb:
+        yield node("type", a, b)
+    elif ka == "object":
+        for k in a:
+            if k not in b:
+                yield node("left", a[k], None, path + [k])
+        for k in b:
+            if k not in a:
+                yield node("right", None, b[k], path + [k])
+        for k in a:
+            if k in b:
+                yield from differing(a[k], b[k], path + [k], reorder, stops)
+    elif ka == "array":
+        if reorder is None and len(a) == len(b) and Counter(map(dumps, a)) == Counter(map(dumps, b)):
+            reorder = list(path)
+        if len(a) != len(b):
+            yield node("length", a, b, path, len(a), len(b))
+        for i, (x, y) in enumerate(zip(a, b)):
+            yield from differing(x, y, path + [f"#{i}"], reorder, stops)
+    elif not equal(a, b):
+        yield node("value", a, b)
+
+
+def align_pairs(root: str, stops: frozenset[str] = frozenset()):
+    """Column builder: (baseline json, candidate json) -> struct of PAIR."""
+    marked = frozenset(stops)
+
+    @F.pandas_udf(PAIR)
+    def align(base: pd.Series, cand: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(base, cand):
+            if x is None or y is None:
+                both = x is None and y is None
+                side = "left" if y is None else "right"
+                vx, vy = (None if t is None else json.loads(t) for t in (x, y))
+                one = [([root], side, kind(vx), kind(vy), x, y, None, None, None)]
+                rows.append(([] if both else one, None, None, 0, 0, 0))
+                continue
+            a, b = json.loads(x), json.loads(y)
+            la, lb = list(leaves(a)), list(leaves(b))
+            same = sum(equal(p, q) for p, q in zip(la, lb))
+            nodes = list(differing(a, b, [root], None, marked))
+            rows.append((nodes, dumps(shape(a)), dumps(shape(b)), len(la), len(lb), same))
+        return pd.DataFrame(rows, columns=["nodes", "base_shape", "cand_shape", "base_leaves", "cand_leaves", "same_leaves"])
+
+    return align
+
+
+def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Dice similarity of character bigrams, white space ignored."""
+    known: dict[tuple[str, str], float] = {}
+
+    def score(x, y):
+        x, y = "".join(x.split()), "".join(y.split())
+        if x == y:
+            return 1.0
+        if len(x) < 2 or len(y) < 2:
+            return 0.0
+        p, q = Counter(zip(x, x[1:])), Counter(zip(y, y[1:]))
+        return 2.0 * sum((p & q).values()) / (len(x) + len(y) - 2)
+
+    def lookup(x, y):
+        if x is None or y is None:
+            return None
+        if (x, y) not in known:
+            known[x, y] = score(x, y)
+        return known[x, y]
+
+    return pd.Series([lookup(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+FLAT = "path string, parent string, depth int, node_type string, value string, ordinal string"
+
+
+def _flatten_nodes(text: pd.Series) -> pd.Series:
+    """Every node of a JSON text with its path, type, scalar and order key."""
+    def walk(v, path, parent, depth, ordinal):
+        yield (path, parent, depth, kind(v), None if isinstance(v, (list, dict)) else scalar(v), ordinal)
+        if isinstance(v, dict):
+            for i, (k, x) in enumerate(v.items()):
+                yield from walk(x, f"{path}.{k}", path, depth + 1, f"{ordinal}.{i:08d}")
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                yield from walk(x, f"{path}[{i}]", path, depth + 1, f"{ordinal}.{i:08d}")
+
+    return pd.Series([None if t is None else list(walk(json.loads(t), "$", None, 0, "")) for t in text])
+
+
+def _repair_json(text: pd.Series, repairs: pd.Series) -> pd.Series:
+    """Applies ``(segments, action, value)`` repairs, deepest first."""
+    def apply(data, segments, action, value):
+        steps = [int(s[1:]) if s.startswith("#") else s for s in segments[1:]]
+        target = data
+        for s in steps[:-1]:
+            try:
+                target = target[s]
+            except (KeyError, IndexError, TypeError):
+                return
+        key = steps[-1]
+        present = key in target if isinstance(target, dict) else isinstance(target, list) and key < len(target)
+        new = None if value is None else json.loads(value)
+        if action == "add-field":
+            target[key] = new
+        elif action == "remove-field" and present:
+            del target[key]
+        elif action == "handle-null" and target.get(key, None) is None if isinstance(target, dict) else False:
+            target[key] = new
+        elif action in ("map-value", "convert-type", "reorder-array") and present:
+            target[key] = new
+        elif action == "adjust-array" and present and isinstance(target[key], list):
+            target[key] = (target[key] + [None] * new)[:new]
+
+    out = []
+    for t, fixes in zip(text, repairs):
+        if t is None or fixes is None or len(fixes) == 0:
+            out.append(t)
+            continue
+        data = json.loads(t)
+        for f in sorted(fixes, key=lambda r: -len(r["segments"])):
+            apply(data, list(f["segments"]), f["action"], f["value"])
+        out.append(dumps(data))
+    return pd.Series(out)
+
+
+# The Column forms; the UDF objects are made on use because they need a session.
+def dice(a, b):
+    return F.pandas_udf(_dice, "double")(a, b)
+
+
+def flatten_nodes(text):
+    return F.pandas_udf(_flatten_nodes, f"array<struct<{FLAT}>>")(text)
+
+
+def repair_json(text, repairs):
+    return F.pandas_udf(_repair_json, "string")(text, repairs)
