@@ -1,6 +1,6 @@
 """Every registered query, by area."""
 
-from tidewright.catalogue import catalog_queries, extraction_queries, snapshot_queries, usage_queries  # noqa: F401
+from tidewright.catalogue import catalog_queries, extraction_queries, health_queries, snapshot_queries, usage_queries  # noqa: F401
 from tidewright.catalogue.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -314,3 +314,22 @@ scored AS (SELECT i.id, has_base, has_cand, n = 0 AS identical, CASE WHEN NOT (h
   FROM impact i JOIN dice USING (sb, sc)),
 compared AS (SELECT *, CASE WHEN breaking > 0 OR similarity < 0.8 THEN 'unsafe' WHEN abs(latency_change) > 30 OR abs(size_change) > 30 OR medium > 0 THEN 'review' ELSE 'safe' END AS verdict FROM scored)
 """
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Call events: the key in ``props`` decides success, cents are the latency."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    ok = k % 10 != 0
+    return e.select(
+        "event_id", "ts", "user_id", F.col("event_type").alias("op"), ok.alias("ok"),
+        F.round(F.col("value") * 100).cast("bigint").alias("latency"), k.alias("k"),
+        F.when(~ok, F.concat(F.lit("E"), (k % 3).cast("string"))).alias("error"),
+    )
+
+
+CALLS = r"""
+calls AS (SELECT event_id, ts, user_id, event_type AS op, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 <> 0 AS ok, CAST(round(value * 100) AS BIGINT) AS latency,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0 THEN 'E' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) END AS error FROM events)
+"""

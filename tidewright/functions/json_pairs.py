@@ -31,8 +31,7 @@ def kind(v) -> str:
     return {str: "string", list: "array", dict: "object"}[type(v)]
 
 
-def dumps(v) -> str:
-    return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+dumps = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
 def scalar(v) -> str | None:
@@ -84,8 +83,12 @@ def differing(a, b, path, reorder, stops):
             if k in b:
                 yield from differing(a[k], b[k], path + [k], reorder, stops)
     elif ka == "array":
-        if reorder is None and len(a) == len(b) and Counter(map(dumps, a)) == Counter(map(dumps, b)):
-            reorder = list(path)
+        if len(a) == len(b):
+            ta, tb = [dumps(x) for x in a], [dumps(x) for x in b]
+            if ta == tb:
+                return
+            if reorder is None and sorted(ta) == sorted(tb):
+                reorder = list(path)
         if len(a) != len(b):
             yield node("length", a, b, path, len(a), len(b))
         for i, (x, y) in enumerate(zip(a, b)):
@@ -110,9 +113,12 @@ def align_pairs(root: str, stops: frozenset[str] = frozenset()):
                 rows.append(([] if both else one, None, None, 0, 0, 0))
                 continue
             a, b = json.loads(x), json.loads(y)
+            nodes = list(differing(a, b, [root], None, marked))
+            if not nodes:
+                rows.append((nodes, None, None, 0, 0, 0))
+                continue
             la, lb = list(leaves(a)), list(leaves(b))
             same = sum(equal(p, q) for p, q in zip(la, lb))
-            nodes = list(differing(a, b, [root], None, marked))
             rows.append((nodes, dumps(shape(a)), dumps(shape(b)), len(la), len(lb), same))
         return pd.DataFrame(rows, columns=["nodes", "base_shape", "cand_shape", "base_leaves", "cand_leaves", "same_leaves"])
 
