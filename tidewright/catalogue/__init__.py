@@ -1,6 +1,14 @@
 """Every registered query, by area."""
 
-from tidewright.catalogue import catalog_queries, extraction_queries, health_queries, snapshot_queries, usage_queries  # noqa: F401
+from tidewright.catalogue import (  # noqa: F401
+    catalog_queries,
+    extraction_queries,
+    grouping_queries,
+    health_queries,
+    rewrite_queries,
+    snapshot_queries,
+    usage_queries,
+)
 from tidewright.catalogue.registry import QUERIES
 
 __all__ = ["QUERIES"]
