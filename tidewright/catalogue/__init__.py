@@ -7,6 +7,8 @@ from tidewright.catalogue import (  # noqa: F401
     health_queries,
     rewrite_queries,
     snapshot_queries,
+    store_queries,
+    streaming_queries,
     usage_queries,
 )
 from tidewright.catalogue.registry import QUERIES
