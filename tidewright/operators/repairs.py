@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import json_pairs
@@ -151,3 +151,21 @@ def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
         return pd.Series(out)
 
     return df.select(F.col(id_col).alias("id"), F.inline(changes(F.col(old), F.col(new))))
+
+
+def convert_value(value: Column, to_type: str) -> Column:
+    """String / number / boolean conversion; null where there is no value."""
+    if to_type == "string":
+        return value.cast("string")
+    if to_type == "number":
+        return value.try_cast("double")
+    if to_type == "boolean":
+        text = value.cast("string")
+        return F.when(value.isNull() | (text == "") | (text == "0") | (text == "false"), False).otherwise(True)
+    return value
+
+
+def in_order(repairs: DataFrame) -> DataFrame:
+    """Application order per id: deepest path first."""
+    w = Window.partitionBy("id").orderBy(F.desc("depth"), "path")
+    return repairs.withColumn("step", F.row_number().over(w))
