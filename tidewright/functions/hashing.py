@@ -20,8 +20,7 @@ def signed_hash31(col: Column) -> Column:
         two = (((acc * 31 + high) % _WORD) * 31 + low) % _WORD
         return F.when(cp > 65535, two).otherwise(one).cast("bigint")
 
-    chars = F.filter(F.split(col, ""), lambda c: c != "")
-    raw = F.aggregate(chars, F.lit(0).cast("bigint"), step)
+    raw = F.aggregate(F.split(col, ""), F.lit(0).cast("bigint"), step)
     return F.when(raw >= _WORD // 2, raw - _WORD).otherwise(raw)
 
 

@@ -279,7 +279,9 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
 
 
 def diff_rows(compared: DataFrame) -> DataFrame:
-    return compared.select("id", F.inline("diffs"))
+    """One row per difference. The outer form keeps the optimizer from adding a
+    non-empty test that would run the alignment a second time."""
+    return compared.select("id", F.inline_outer("diffs")).filter("path IS NOT NULL")
 
 
 def drop_expected(diffs: DataFrame, expected: DataFrame) -> DataFrame:

@@ -86,15 +86,24 @@ def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_
     need = F.greatest(F.ceil(n * t).cast("int"), F.lit(max(min_common, 1)))
     prefix = F.greatest(n - need + 1, F.lit(0))
     band = F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(bound), 1e-9)) + 1e-9).cast("bigint")
-    rows = ranked.filter(n >= min_common).select(*keys, "id", n, band.alias("_band"), F.explode(F.slice("_toks", 1, prefix)).alias("token"))
-    small = rows.select(*keys, "token", "_band", F.col("id").alias("_x"), n.alias("_nx"))
+    rows = ranked.filter(n >= min_common).select(
+        *keys, "id", n, band.alias("_band"), F.posexplode(F.slice("_toks", 1, prefix)).alias("_pos", "token")
+    )
+    left_after = n - F.col("_pos") - 1
+    small = rows.select(*keys, "token", "_band", F.col("id").alias("_x"), n.alias("_nx"), left_after.alias("_rx"))
     large = rows.select(
-        *keys, "token", F.explode(F.array(F.col("_band"), F.col("_band") - 1)).alias("_band"), F.col("id").alias("_y"), n.alias("_ny")
+        *keys, "token", F.explode(F.array(F.col("_band"), F.col("_band") - 1)).alias("_band"), F.col("id").alias("_y"), n.alias("_ny"), left_after.alias("_ry")
     )
     fits = (F.col("_nx") >= F.col("_ny") * t) & (
         (F.col("_nx") < F.col("_ny")) | ((F.col("_nx") == F.col("_ny")) & (F.col("_x") < F.col("_y")))
     )
-    cand = small.join(large, [*keys, "token", "_band"]).filter(fits).select(*keys, "_x", "_y").distinct()
+    # Shared prefix tokens plus what can still match after the last of them
+    # bounds the overlap; pairs that cannot reach the threshold end here.
+    hits = small.join(large, [*keys, "token", "_band"]).filter(fits).groupBy(*keys, "_x", "_y", "_nx", "_ny").agg(
+        F.count(F.lit(1)).alias("_hit"), F.min("_rx").alias("_rx"), F.min("_ry").alias("_ry")
+    )
+    reach = F.greatest(F.ceil((F.col("_nx") + F.col("_ny")) * F.lit(bound / (1 + bound)) - 1e-9), F.lit(max(min_common, 1)))
+    cand = hits.filter(F.col("_hit") + F.least("_rx", "_ry") >= reach).select(*keys, "_x", "_y")
     left = ranked.select(*keys, F.col("id").alias("_x"), F.col("_toks").alias("_tx"))
     right = ranked.select(*keys, F.col("id").alias("_y"), F.col("_toks").alias("_ty"))
     common = F.size(F.array_intersect("_tx", "_ty"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.extraction import all_matches
+from tidewright.operators.extraction import all_matches, once
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,12 @@ def extract_with(files: DataFrame, strategies: Sequence[Strategy], path: str = "
         blocks = s.blocks(F.col(text))
         test = s.handles(F.col(path)) & (F.size(blocks) > 0)
         found = F.when(test, F.struct(F.lit(s.name).alias("strategy"), blocks.alias("blocks"))).otherwise(found)
-    rows = files.withColumn("_f", found).filter(F.col("_f").isNotNull())
+    # Outer explode, then a test on its output: a test on the blocks themselves
+    # would be pushed down and run every pattern twice.
+    rows = once(files, _f=found)
     keep = [c for c in files.columns if c != text]
-    return rows.select(*keep, F.col("_f.strategy").alias("strategy"), F.posexplode("_f.blocks").alias("block_no", "block"))
+    out = rows.select(*keep, F.col("_f.strategy").alias("strategy"), F.posexplode_outer("_f.blocks").alias("block_no", "block"))
+    return out.filter("block_no IS NOT NULL")
 
 
 @dataclass(frozen=True)

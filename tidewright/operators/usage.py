@@ -99,18 +99,14 @@ def access_share(access: DataFrame, category: Column) -> DataFrame:
 
 def data_dictionary(access: DataFrame, category: Column) -> DataFrame:
     """One row per field; the user list itself is ``dictionary_users``."""
-    facts = access.groupBy("normalized", "unit").agg(
-        F.collect_set("entity_type").alias("entities"),
-        F.collect_set("access_method").alias("methods"),
-        F.collect_set("field").alias("spellings"),
-    )
-    merged = facts.groupBy("normalized").agg(
-        F.count(F.lit(1)).alias("used_by"),
+    users = units_per_field(access)
+    shapes = access.select("normalized", "entity_type", "access_method", "field").distinct().groupBy("normalized").agg(
         *[
-            F.sort_array(F.aggregate(F.collect_set(c), F.array().cast("array<string>"), F.array_union)).alias(c)
-            for c in ("entities", "methods", "spellings")
-        ],
+            F.sort_array(F.collect_set(source)).alias(name)
+            for source, name in (("entity_type", "entities"), ("access_method", "methods"), ("field", "spellings"))
+        ]
     )
+    merged = users.withColumnRenamed("units", "used_by").join(shapes, "normalized")
     return merged.select(
         "normalized",
         category.alias("category"),
