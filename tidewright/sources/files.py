@@ -21,7 +21,7 @@ OPERATION = (
 
 def _whole(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(paths).select(
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("content")
     )
 
