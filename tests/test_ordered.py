@@ -127,3 +127,13 @@ def test_threshold_prefers_exact_name(spark):
     ev = spark.createDataFrame([(1, "abc"), (2, "abcd"), (3, "zz")], "event_id int, op string")
     got = {r["op"]: r["warn_ms"] for r in H.attach_thresholds(ev, th).collect()}
     assert got == {"abc": 10, "abcd": 1}
+
+
+def test_rank_rows_spreads_one_hot_key(spark):
+    rng = random.Random(5)
+    rows = [("hot", i) for i in rng.sample(range(10**6), 3000)] + [("b", 5), ("c", 1), ("c", 0)]
+    got = O.rank_rows(spark.createDataFrame(rows, "k string, v int"), ["k"], "v").collect()
+    for key in ("hot", "b", "c"):
+        want = sorted(v for k, v in rows if k == key)
+        assert [r["v"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["rank"])] == want
+        assert sorted(r["rank"] for r in got if r["k"] == key) == list(range(1, len(want) + 1))

@@ -22,8 +22,7 @@ def extraction_flow(spark, sf):
         F.concat_ws("#", "file_path", F.col("id").cast("string")).alias("path"), F.concat(F.lit("const q = gql`"), "content", F.lit("`;")).alias("content")
     )
     tagged = regex_strategy("tagged", r"\.js", r"gql`([^`]*)`")
-    named = files.withColumn("path", F.col("path"))
-    return flows.extract_operations(named, [tagged]).select("id", "query_name")
+    return flows.extract_operations(files, [tagged]).select("id", "query_name")
 
 
 @query("strategy_extraction", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<b>([^<]*)</b>', 1) AS x, regexp_extract_all(html, '<title>([^<]*)</title>', 1) AS y FROM pages),

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.functions.rules import normalize_prefix
+from tidewright.operators.ordered import rank_rows
 from tidewright.session import checkpoint
 
 # The access patterns, the stop names and the variable-name hints.
@@ -181,14 +182,14 @@ def profile_snippets(df: DataFrame, unit: str, text: str) -> DataFrame:
 def uniquify_names(df: DataFrame, name: str, body: str, order: str) -> DataFrame:
     """Same name, same body: name kept. Each further body gets ``_1, _2 …``.
 
-    Bodies are folded to (name, fingerprint) with their first position before
-    ranking, so copies of one body never meet in a single task.
+    Bodies are folded to (name, fingerprint) with their first position, and the
+    ranking is spread over ranges, so neither copies of one body nor the bodies
+    of one name meet in a single task.
     """
     fp = F.md5(T.normalize_text(F.col(body), placeholder=None))
     keyed = df.withColumn("_fp", fp)
     firsts = keyed.filter(F.col(name) != "").groupBy(name, "_fp").agg(F.min(order).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(name).orderBy("_first"))
-    ranked = firsts.select(name, "_fp", (rank - 1).alias("_suffix"))
+    ranked = rank_rows(firsts, [name], "_first").select(name, "_fp", (F.col("rank") - 1).alias("_suffix"))
     unique = F.when(F.coalesce(F.col("_suffix"), F.lit(0)) == 0, F.col(name)).otherwise(
         F.concat(F.col(name), F.lit("_"), F.col("_suffix").cast("string"))
     )

@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
+from tidewright.operators.extraction import once
 from tidewright.session import checkpoint
 
 
+RARE_TOKEN = 10_000  # most sets one token may be in for the counting join
+
+
 def group_items(ops: DataFrame, item: str = "selections") -> DataFrame:
     """Items of each (name, kind) group: ``common`` when every variant has them."""
     sizes = ops.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("_size"))
@@ -72,46 +76,52 @@ def _ranked_sets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.withColumn("n", F.size("_toks"))
 
 
-def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_common: int = 1) -> DataFrame:
+def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_common: int = 1, indexed: bool = False) -> DataFrame:
     """All pairs (a < b) of distinct sets with Jaccard >= threshold, exactly.
 
-    Only prefixes of rare tokens are joined, and only between sets of the same
-    or the next size band, the only ones whose sizes can reach the threshold.
-    Full sets are fetched for surviving candidates alone.
+    Copies are folded before (``_ranked_sets``). Only prefixes of rare tokens are
+    joined, and only between sets of the same or the next size band, the only
+    ones whose sizes can reach the threshold, so a token most sets hold is
+    rarely joined at all. Full sets are fetched for surviving candidates alone.
+    ``indexed`` joins whole sets and counts the overlap in the join; it is for
+    low thresholds over tokens the caller knows to be rare.
     """
     keys = list(keys)
     n = F.col("n")
     bound = max(threshold - 1e-12, 1e-12)
     t = F.lit(bound)
     need = F.greatest(F.ceil(n * t).cast("int"), F.lit(max(min_common, 1)))
-    prefix = F.greatest(n - need + 1, F.lit(0))
-    band = F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(bound), 1e-9)) + 1e-9).cast("bigint")
+    prefix = n if indexed else F.greatest(n - need + 1, F.lit(0))
+    banded = not indexed
+    band = F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(bound), 1e-9)) + 1e-9).cast("bigint") if banded else F.lit(0)
     rows = ranked.filter(n >= min_common).select(
         *keys, "id", n, band.alias("_band"), F.posexplode(F.slice("_toks", 1, prefix)).alias("_pos", "token")
     )
     left_after = n - F.col("_pos") - 1
     small = rows.select(*keys, "token", "_band", F.col("id").alias("_x"), n.alias("_nx"), left_after.alias("_rx"))
-    large = rows.select(
-        *keys, "token", F.explode(F.array(F.col("_band"), F.col("_band") - 1)).alias("_band"), F.col("id").alias("_y"), n.alias("_ny"), left_after.alias("_ry")
-    )
+    bands = F.explode(F.array(F.col("_band"), F.col("_band") - 1)) if banded else F.col("_band")
+    large = rows.select(*keys, "token", bands.alias("_band"), F.col("id").alias("_y"), n.alias("_ny"), left_after.alias("_ry"))
     fits = (F.col("_nx") >= F.col("_ny") * t) & (
         (F.col("_nx") < F.col("_ny")) | ((F.col("_nx") == F.col("_ny")) & (F.col("_x") < F.col("_y")))
     )
+    on = [*keys, "token", "_band"] if banded else [*keys, "token"]
+    pair = [*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")]
+    similarity = lambda common, nx, ny: common / (nx + ny - common)
+    hits = small.join(large, on).filter(fits).groupBy(*keys, "_x", "_y", "_nx", "_ny").agg(
+        F.count(F.lit(1)).alias("common"), F.min("_rx").alias("_rx"), F.min("_ry").alias("_ry")
+    )
+    if indexed:
+        out = hits.select(*pair, "common", similarity(F.col("common"), F.col("_nx"), F.col("_ny")).alias("similarity"))
+        return out.filter((F.col("similarity") >= t) & (F.col("common") >= min_common))
     # Shared prefix tokens plus what can still match after the last of them
     # bounds the overlap; pairs that cannot reach the threshold end here.
-    hits = small.join(large, [*keys, "token", "_band"]).filter(fits).groupBy(*keys, "_x", "_y", "_nx", "_ny").agg(
-        F.count(F.lit(1)).alias("_hit"), F.min("_rx").alias("_rx"), F.min("_ry").alias("_ry")
-    )
     reach = F.greatest(F.ceil((F.col("_nx") + F.col("_ny")) * F.lit(bound / (1 + bound)) - 1e-9), F.lit(max(min_common, 1)))
-    cand = hits.filter(F.col("_hit") + F.least("_rx", "_ry") >= reach).select(*keys, "_x", "_y")
+    cand = hits.filter(F.col("common") + F.least("_rx", "_ry") >= reach).select(*keys, "_x", "_y", "_nx", "_ny")
     left = ranked.select(*keys, F.col("id").alias("_x"), F.col("_toks").alias("_tx"))
     right = ranked.select(*keys, F.col("id").alias("_y"), F.col("_toks").alias("_ty"))
-    common = F.size(F.array_intersect("_tx", "_ty"))
-    scored = cand.join(left, [*keys, "_x"]).join(right, [*keys, "_y"]).withColumn("common", common)
-    jaccard = F.col("common") / (F.size("_tx") + F.size("_ty") - F.col("common"))
-    return scored.withColumn("similarity", jaccard).filter((F.col("similarity") >= t) & (F.col("common") >= min_common)).select(
-        *keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "common", "similarity"
-    )
+    both = once(cand.join(left, [*keys, "_x"]).join(right, [*keys, "_y"]), common=F.size(F.array_intersect("_tx", "_ty")))
+    out = both.select(*pair, F.col("common").cast("bigint").alias("common"), similarity(F.col("common"), F.col("_nx"), F.col("_ny")).alias("similarity"))
+    return out.filter((F.col("similarity") >= t) & (F.col("common") >= min_common))
 
 
 def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> DataFrame:
@@ -126,7 +136,7 @@ def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> Dat
     w = Window.partitionBy("items").orderBy("id")
     firsts = full.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top + 1)
     same = firsts.filter(F.size("items") >= min_common).alias("l").join(firsts.alias("r"), "items").filter("l.id < r.id").select(
-        F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.size("items").alias("common"), F.lit(1.0).alias("similarity")
+        F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.size("items").cast("bigint").alias("common"), F.lit(1.0).alias("similarity")
     )
     ranked = checkpoint(_ranked_sets(full, []))
     hashes = lambda i: F.array_min(F.transform("_toks", lambda t: F.xxhash64(t, F.lit(i))))
@@ -141,7 +151,10 @@ def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> Dat
     best = floors.filter(common >= min_common).select(F.least("id", "_p").alias("a"), F.greatest("id", "_p").alias("b"), jaccard.alias("s"))
     kth = best.distinct().orderBy(F.desc("s")).limit(top).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).first()
     floor = kth["s"] if kth["n"] >= top else 1e-9
-    rest = similar_pairs(ranked, [], floor, min_common)
+    # At a low floor a prefix is most of the set, so rare tokens are counted in
+    # the join; a token that many sets hold keeps the prefix join.
+    commonest = ranked.select(F.explode("_toks").alias("t")).groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    rest = similar_pairs(ranked, [], floor, min_common, indexed=floor < 0.3 and commonest <= RARE_TOKEN)
     # Members of equal-set groups stand in for their representative.
     rep = full.groupBy("items").agg(F.min("id").alias("_rep"))
     members = firsts.join(rep, "items").select(F.col("_rep"), F.col("id").alias("_m"))

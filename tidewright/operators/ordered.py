@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import checkpoint
+
 PARTIAL_LIMIT = 1000  # up to here the optimizer limits each group before the shuffle
 
 
@@ -25,6 +27,23 @@ def last_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
     return df.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
 
+def rank_rows(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
+    """``row_number`` per key in ``order`` with no task holding a whole key.
+
+    Rows are range-partitioned by (keys, order) and written to the checkpoint
+    folder, which fixes their slice. They are numbered inside (key, slice) and
+    shifted by the sizes of the key's earlier slices.
+    """
+    keys = list(keys)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpoint(df.repartitionByRange(slices, *keys, order)).withColumn("_slice", F.spark_partition_id())
+    local = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    shift = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return local.join(shift, [*keys, "_slice"]).withColumn(name, F.col(name) + F.col("_shift")).drop("_slice", "_shift")
+
+
 def rank_of(p: float, rule: str, n: Column) -> Column:
     """1-based rank of quantile ``p``: index ceil(n*p)-1 or floor(n*p)."""
     if rule == "ceil":

@@ -64,19 +64,17 @@ def category_report(access: DataFrame, category: Column, k: int = 5) -> DataFram
     """Per category: field count, uses, mean uses and its top fields."""
     counts = field_counts(access, "normalized").withColumn("category", category)
     order = Window.partitionBy("category").orderBy(F.desc("uses"), "normalized")
-    ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.groupBy("category").agg(
-        F.count(F.lit(1)).alias("fields"),
-        F.sum("uses").alias("total_uses"),
+    totals = counts.groupBy("category").agg(
+        F.count(F.lit(1)).alias("fields"), F.sum("uses").alias("total_uses"),
         F.round(F.sum("uses") / F.count(F.lit(1)), 6).alias("mean_uses"),
+    )
+    # Only the first k of a category are ranked; the filter is applied map side.
+    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("category").agg(
         F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "normalized")))),
-                lambda s: s["normalized"],
-            ),
-            ",",
-        ).alias("top_fields"),
+            F.transform(F.sort_array(F.collect_list(F.struct("rank", "normalized"))), lambda s: s["normalized"]), ","
+        ).alias("top_fields")
     )
+    return totals.join(top, "category")
 
 
 def usage_pivot(access: DataFrame, entities: list[str], top: int = 30) -> DataFrame:

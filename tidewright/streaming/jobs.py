@@ -71,10 +71,14 @@ class LastSamples(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, seen = self.state.get() if self.state.exists() else ([], 0)
-        fresh = pd.concat(list(rows)).sort_values(["ts", "event_id"])["latency"].tolist()
-        held = (list(held) + fresh)[-self.size:]
-        self.state.update((held, seen + len(fresh)))
-        yield pd.DataFrame({"op": [key[0]], "seen": [seen + len(fresh)], "kept": [len(held)], "total": [int(sum(held))]})
+        newest, fresh = None, 0
+        for chunk in rows:  # one Arrow chunk at a time; only the tail is kept
+            fresh += len(chunk)
+            both = chunk if newest is None else pd.concat([newest, chunk])
+            newest = both.sort_values(["ts", "event_id"]).tail(self.size)
+        held = (list(held) + newest["latency"].tolist())[-self.size:]
+        self.state.update((held, seen + fresh))
+        yield pd.DataFrame({"op": [key[0]], "seen": [seen + fresh], "kept": [len(held)], "total": [int(sum(held))]})
 
     def close(self) -> None:
         pass
