@@ -130,7 +130,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
     s1 = F.element_at("selections", 1)
     sn = F.element_at("selections", -1)
     quoted = F.array_join(F.transform("selections", lambda s: F.concat(F.lit("'gem."), s, F.lit("'"))), ", ")
-    var = F.when(k % 4 == 0, "wsbvItem").when(k % 4 == 1, "cart").when(k % 4 == 2, "uceRow").otherwise("plain")
+    var = F.when(k % 4 == 0, "shopItem").when(k % 4 == 1, "cart").when(k % 4 == 2, "listRow").otherwise("plain")
     join = F.when(
         k % 3 == 0,
         "joinEntities(items, users, (l, r) => (l.type === 'cart' && r.type === \"user\" && l.ownerId === r.userId && l.k === r.k))\n",
@@ -154,7 +154,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 SNIPPETS = OPS + r""",
 snip_raw AS (SELECT id, selections, selections[1] AS s1, selections[len(selections)] AS sn,
-  CASE id % 4 WHEN 0 THEN 'wsbvItem' WHEN 1 THEN 'cart' WHEN 2 THEN 'uceRow' ELSE 'plain' END AS v FROM ops),
+  CASE id % 4 WHEN 0 THEN 'shopItem' WHEN 1 THEN 'cart' WHEN 2 THEN 'listRow' ELSE 'plain' END AS v FROM ops),
 snippets AS (SELECT id, 'const { ' || s1 || ', ' || sn || ': alias } = ' || v || ';' || chr(10)
   || CASE WHEN id % 3 = 0 THEN 'joinEntities(items, users, (l, r) => (l.type === ''cart'' && r.type === "user" && l.ownerId === r.userId && l.k === r.k))' || chr(10) ELSE '' END
   || CASE WHEN id % 4 = 1 THEN 'if (entity.type === ''order'' && cart) {}' || chr(10) WHEN id % 4 = 3 THEN 'map(plain.type === ''basket'')' || chr(10) ELSE '' END

@@ -37,9 +37,9 @@ _HOLES = r"regexp_extract_all(content, '\$\{([^}]+)\}', 1)"
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(content, '(?m)#.*$', '', 'g'), '\$\{[^}]+\}', '${...}', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("op_kind_and_name", f"""WITH {OPS} SELECT id, {_KIND} AS kind_found, {_NAME} AS name_found,
+@query("operation_kind_and_name", f"""WITH {OPS} SELECT id, {_KIND} AS kind_found, {_NAME} AS name_found,
  CASE WHEN contains(content,'mutation') THEN 'mutation' WHEN contains(content,'subscription') THEN 'subscription' WHEN contains(content,'fragment') THEN 'fragment' ELSE 'query' END AS kind_by_word FROM ops""")
-def op_kind_and_name(spark, sf):
+def operation_kind_and_name(spark, sf):
     c = F.col("content")
     return ops(spark, sf).select(
         "id", T.op_kind(c).alias("kind_found"), T.op_name(c).alias("name_found"), T.op_kind_by_word(c).alias("kind_by_word")
@@ -84,15 +84,19 @@ def fingerprints(spark, sf):
     )
 
 
-@query("classify_endpoint", """SELECT page_id, CASE WHEN contains(url, 'offer-graph') OR contains(html, 'useOfferGraphMutation') OR contains(html, 'getClientSideOGClient')
- OR contains(html, 'offerGraphClient') OR contains(html, 'transitions') OR contains(html, 'modifyBasket') OR contains(html, 'FindUnifiedBillDetails') THEN 'offerGraph' ELSE 'productGraph' END AS endpoint FROM pages
- UNION ALL SELECT doc_id, CASE WHEN contains(text, 'transitions') THEN 'offerGraph' ELSE 'productGraph' END FROM documents""")
+_ENDPOINTS = (("mobile", "//m.", ("track(7)", "reti ")), ("plain", ".org/", ("queli", "erreth")))
+
+
+@query("classify_endpoint", """WITH t AS (SELECT page_id AS id, url AS path, html AS body FROM pages UNION ALL SELECT doc_id, source, text FROM documents)
+ SELECT id, CASE WHEN contains(path, '//m.') OR contains(body, 'track(7)') OR contains(body, 'reti ') THEN 'mobile'
+ WHEN contains(path, '.org/') OR contains(body, 'queli') OR contains(body, 'erreth') THEN 'plain' ELSE 'main' END AS endpoint FROM t""")
 def classify_endpoint(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", T.classify_endpoint(F.col("url"), F.col("html")).alias("endpoint"))
-    docs = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("page_id"), T.classify_endpoint(F.col("source"), F.col("text")).alias("endpoint")
-    )
-    return pages.unionByName(docs)
+    def labelled(name, key, path, body):
+        return table(spark, sf, name).select(
+            F.col(key).alias("id"), T.classify_endpoint(F.col(path), F.col(body), _ENDPOINTS, "main").alias("endpoint")
+        )
+
+    return labelled("pages", "page_id", "url", "html").unionByName(labelled("documents", "doc_id", "source", "text"))
 
 
 @query("infer_name", f"""WITH {OPS}, s AS (SELECT *, regexp_replace(split_part(file_path, '/', -1), '\\.[^.]+$', '') AS stem FROM ops)
@@ -146,7 +150,7 @@ def name_from_fields(spark, sf):
 
 
 @query("standardize_operations", f"""WITH {OPS} SELECT CAST(id AS VARCHAR) AS id, coalesce(nullif(name, ''), 'Query_' || substr(sha256(content), 1, 10)) AS query_name, content, file_path,
- 1 AS line_number, {_KIND} AS type, 'productGraph' AS endpoint, 'ast' AS source, coalesce(fragment, '') AS fragments, false AS has_variables FROM ops""")
+ 1 AS line_number, {_KIND} AS type, 'default' AS endpoint, 'ast' AS source, coalesce(fragment, '') AS fragments, false AS has_variables FROM ops""")
 def standardize_operations(spark, sf):
     return X.standardize(ops(spark, sf))
 
@@ -176,7 +180,7 @@ def spread_refs(spark, sf):
     return ops(spark, sf).select("id", F.array_join(T.spread_refs(F.col("content")), ",").alias("refs"))
 
 
-_ENTITY = """CASE WHEN id % 4 = 1 THEN 'order' WHEN id % 4 = 3 THEN 'basket' WHEN id % 4 = 0 THEN 'wsbvnext' ELSE 'uce' END"""
+_ENTITY = """CASE WHEN id % 4 = 1 THEN 'order' WHEN id % 4 = 3 THEN 'basket' WHEN id % 4 = 0 THEN 'store' ELSE 'listing' END"""
 
 
 @query("mine_access", f"""WITH {SNIPPETS},
@@ -189,7 +193,7 @@ _ENTITY = """CASE WHEN id % 4 = 1 THEN 'order' WHEN id % 4 = 3 THEN 'basket' WHE
  UNION ALL SELECT id, replace(z[2], '?.', '.'), replace(z[2], '?.', '.'), CASE WHEN id % 4 = 1 THEN 'order' WHEN z[1] = 'l' THEN 'cart' WHEN z[1] = 'r' THEN 'user' ELSE {_ENTITY} END, 'direct'
  FROM dir WHERE z[1] NOT IN ('profile','entity','console','Object','Array','Math')""")
 def mine_access(spark, sf):
-    return X.mine_access(snippets(spark, sf), "id", "code")
+    return X.mine_access(snippets(spark, sf), "id", "code", hints=(("shop", "store"), ("list", "listing")))
 
 
 @query("mine_join_keys", f"""WITH {SNIPPETS} SELECT id AS unit, unnest(['l.ownerId', 'l.k']) AS "left", unnest(['r.userId', 'r.k']) AS "right" FROM snippets WHERE id % 3 = 0""")

@@ -116,10 +116,10 @@ def confidence_gate(spark, sf):
     return W.gate(scored(spark, sf), 80).groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pipeline_summary", f"""WITH {_SCORE} SELECT (SELECT count(*) FROM ops) AS operations, count(*) AS rewritten, count(DISTINCT file_path) AS files, sum(score)::DOUBLE / count(*) AS mean_confidence,
+@query("migration_run_summary", f"""WITH {_SCORE} SELECT (SELECT count(*) FROM ops) AS operations, count(*) AS rewritten, count(DISTINCT file_path) AS files, sum(score)::DOUBLE / count(*) AS mean_confidence,
  (SELECT string_agg(DISTINCT r, '; ' ORDER BY r) FROM (SELECT unnest(risks) AS r FROM scored)) AS risks FROM scored""")
-def pipeline_summary(spark, sf):
-    return W.pipeline_summary(ops(spark, sf), scored(spark, sf))
+def migration_run_summary(spark, sf):
+    return W.run_summary(ops(spark, sf), scored(spark, sf))
 
 
 @query("change_impact", f"""WITH {_SCORE}, a AS (SELECT CAST(sum(changes) AS BIGINT) AS changes, count_if(pattern = 'structure-change') AS breaking, CAST(floor(sum(score)::DOUBLE / count(*) + 0.5) AS BIGINT) AS confidence FROM scored)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Anchors, markers, suffixes and stop lists.
-OFFER_PATH_MARKER = "offer-graph"
-OFFER_MARKERS = (
-    "useOfferGraphMutation", "getClientSideOGClient", "offerGraphClient",
-    "transitions", "modifyBasket", "FindUnifiedBillDetails",
-)
 GENERIC_FILE_NAMES = ("index", "queries", "graphql")
 ACCESS_STOP_NAMES = ("profile", "entity", "console", "Object", "Array", "Math")
 NAME_PATTERN = r"(query|mutation|subscription|fragment)\s+([A-Za-z_$][\w$]*)"
@@ -68,9 +64,16 @@ def normalize_text(content: Column, comments: bool = True, placeholder: str | No
     return collapse(out)
 
 
-def classify_endpoint(path: Column, content: Column) -> Column:
-    by_text = reduce(lambda a, b: a | b, [content.contains(m) for m in OFFER_MARKERS])
-    return F.when(path.contains(OFFER_PATH_MARKER) | by_text, "offerGraph").otherwise("productGraph")
+def classify_endpoint(path: Column, content: Column, rules: Sequence[tuple[str, str, Sequence[str]]], default: str) -> Column:
+    """First rule whose path marker or any text marker occurs names the endpoint.
+
+    ``rules``: (endpoint, path marker, text markers).
+    """
+    out = F.lit(default)
+    for name, marker, words in reversed(list(rules)):
+        hit = reduce(lambda a, b: a | b, [content.contains(w) for w in words], path.contains(marker))
+        out = F.when(hit, name).otherwise(out)
+    return out
 
 
 def capitalize(col: Column) -> Column:

@@ -16,7 +16,7 @@ from tidewright.functions.rules import normalize_prefix
 from tidewright.operators.ordered import rank_rows
 from tidewright.session import checkpoint
 
-# The access patterns, the stop names and the variable-name hints.
+# The access patterns. Variable-name hints are an argument.
 PICK = r"entityPick\s*\(\s*(\w+)\s*,\s*\[([\s\S]*?)\]\s*\)"
 QUOTED = r"""['"`]([^'"`]+)['"`]"""
 REQUEST = r"profile\.request\.query\.(\w+)"
@@ -26,7 +26,6 @@ ENTITY_TYPE = r"""entity\.type\s*===\s*['"`](\w+)['"`]"""
 ANY_TYPE = r"""(\w+)\.type\s*===\s*['"`](\w+)['"`]"""
 JOIN_CONDITION = r"joinEntities.*?\((.*?)\)\s*=>\s*\(([\s\S]*?)\)"
 JOIN_KEY = r"(\w+)\.(\w+)\s*===\s*(\w+)\.(\w+)"
-ENTITY_HINTS = (("wsbv", "wsbvnext"), ("mktg", "mktgasst"), ("uce", "uce"))
 
 
 def all_matches(col: Column, pattern: str, group: int = 1) -> Column:
@@ -59,7 +58,7 @@ def _type_checks(code: Column) -> Column:
     )
 
 
-def infer_entity(code: Column, var: Column, hints=ENTITY_HINTS) -> Column:
+def infer_entity(code: Column, var: Column, hints: Sequence[tuple[str, str]] = ()) -> Column:
     """Type equality before the variable, then on it, then a name hint."""
     after = ENTITY_TYPE + r"([\s\S]*)"
     return _entity_of(F.regexp_extract(code, after, 1), F.regexp_extract(code, after, 2), _type_checks(code), var, hints)
@@ -72,7 +71,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(packed))
 
 
-def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[str, str]] = (), hints=ENTITY_HINTS) -> DataFrame:
+def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[str, str]] = (), hints: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Field accesses of list-pick calls, dotted property use and destructuring."""
     code = F.col(text)
     group = F.regexp_extract
@@ -223,7 +222,7 @@ def root_field(content: Column) -> Column:
     return T.none_if_empty(F.regexp_extract(content, r"\{\s*(?:\.\.\.\s*)?([A-Za-z_]\w*)", 1))
 
 
-def standardize(df: DataFrame) -> DataFrame:
+def standardize(df: DataFrame, endpoint: str = "default") -> DataFrame:
     """Fixed public row with defaults for what is missing."""
     def col(name, default):
         return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
@@ -237,7 +236,7 @@ def standardize(df: DataFrame) -> DataFrame:
         col("file_path", "unknown.js").alias("file_path"),
         col("line", 1).alias("line_number"),
         F.coalesce(T.op_kind(content), F.lit("query")).alias("type"),
-        col("endpoint", "productGraph").alias("endpoint"),
+        col("endpoint", endpoint).alias("endpoint"),
         col("source", "ast").alias("source"),
         F.array_join(T.spread_refs(content), ",").alias("fragments"),
         content.rlike(r"\$[A-Za-z_]\w*\s*:").alias("has_variables"),

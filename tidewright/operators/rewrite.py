@@ -175,7 +175,7 @@ def rewrite_delta(rewritten: DataFrame) -> DataFrame:
     return rewritten.filter(F.col("original") != F.col("transformed"))
 
 
-def pipeline_summary(ops: DataFrame, scored: DataFrame) -> DataFrame:
+def run_summary(ops: DataFrame, scored: DataFrame) -> DataFrame:
     totals = ops.agg(F.count(F.lit(1)).alias("operations"))
     done = scored.agg(
         F.count(F.lit(1)).alias("rewritten"), F.countDistinct("file_path").alias("files"),

@@ -19,7 +19,9 @@ from tidewright.operators import usage as U
 from tidewright.operators.strategies import Strategy, extract_with
 
 
-def extract_operations(files: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
+def extract_operations(
+    files: DataFrame, strategies: Sequence[Strategy], endpoints: Sequence[tuple[str, str, Sequence[str]]] = (), default_endpoint: str = "default"
+) -> DataFrame:
     """Files to the public operation rows, fingerprinted and uniquely named."""
     blocks = extract_with(files, strategies)
     text = F.col("block")
@@ -30,7 +32,8 @@ def extract_operations(files: DataFrame, strategies: Sequence[Strategy]) -> Data
         F.col("strategy").alias("source"),
     )
     named = X.uniquify_names(ops, "name", "content", "id").withColumn("name", F.col("unique_name"))
-    out = X.standardize(named.withColumn("endpoint", T.classify_endpoint(F.col("file_path"), F.col("content"))))
+    endpoint = T.classify_endpoint(F.col("file_path"), F.col("content"), endpoints, default_endpoint)
+    out = X.standardize(named.withColumn("endpoint", endpoint))
     return out.withColumn("fingerprint", hashing.fingerprint(T.normalize_text(F.col("content"))))
 
 
