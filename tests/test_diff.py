@@ -78,10 +78,11 @@ def test_missing_side_is_unsafe(spark):
 
 def test_swapping_sides_swaps_missing_and_extra(spark):
     swap = {"missing-field": "extra-field", "extra-field": "missing-field"}
-    for base, cand, _ in CASES:
-        there = [(d[0], swap.get(d[1], d[1])) for d in diffs(spark, base, cand)]
-        back = [d[:2] for d in diffs(spark, cand, base)]
-        assert sorted(there) == sorted(back)
+    left = frame(spark, [(i, c[0]) for i, c in enumerate(CASES)])
+    right = frame(spark, [(i, c[1]) for i, c in enumerate(CASES)])
+    run = lambda a, b: D.diff_rows(D.compare_pairs(D.pair_snapshots(a, b))).collect()
+    there = sorted((r["id"], r["path"], swap.get(r["type"], r["type"])) for r in run(left, right))
+    assert there and there == sorted((r["id"], r["path"], r["type"]) for r in run(right, left))
 
 
 def test_repairs_leave_no_fixable_difference(spark):

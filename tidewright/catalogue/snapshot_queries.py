@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.catalogue.bindings import SNAPSHOTS, snapshot_rows, snapshots
+from tidewright.catalogue.bindings import SNAPSHOTS, snapshots
 from tidewright.catalogue.registry import query, table
 from tidewright.functions import comparators
 from tidewright.operators import diff as D

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +53,3 @@ def map_fields(df: DataFrame, json_col: str, mappings: Sequence[FieldMapping]) -
         return (m.transform(raw) if m.transform else raw).alias(m.target)
 
     return df.select("*", *[value(m) for m in mappings])
-
-
-def any_handles(path: Column, strategies: Sequence[Strategy]) -> Column:
-    return reduce(lambda a, b: a | b, [s.handles(path) for s in strategies], F.lit(False))
