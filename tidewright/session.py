@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks join strategies from measured sizes and splits skewed partitions,
@@ -29,20 +27,15 @@ def build_session(master: str | None = None, name: str = "tidewright", **extra:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one beside the warehouse tables where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the cluster names.
-
-    Iterative plans (closure, components, template rounds) call this once per
-    round; the data survives the loss of an executor. A scratch folder is set
-    only for a local master that names none.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut lineage through the shared folder, so that the data survives the loss of an executor."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="tidewright-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
