@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.bpe import round_trip_digests
-from tidewright.llm.language import identify_languages
+from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
 from tidewright.llm.sharding import shard_by_bytes
+from tidewright.llm.toxicity import learn_toxicity, score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -32,6 +33,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 5, 0)
+    weights = learn_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = score_toxicity(docs, weights, keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op10_mixing", r"""WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
