@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.bpe import round_trip_digests
+from tidewright.llm.fingerprints import edited_fingerprints
 from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
@@ -33,6 +34,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 5, 0)
