@@ -10,6 +10,7 @@ from tidewright.llm.bpe import round_trip_digests
 from tidewright.llm.fingerprints import edited_fingerprints
 from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
+from tidewright.llm.pii import replace_entities
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
 from tidewright.llm.sharding import shard_by_bytes
 from tidewright.llm.toxicity import learn_toxicity, score_toxicity
@@ -39,6 +40,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 5, 0)
