@@ -19,7 +19,7 @@ from tidewright.llm.textarrays import slices
 
 NONE = 1 << 40
 # Remembered pieces and pairs of a worker; each memory is emptied when full, results do not depend on it.
-PIECES, PIECE_CHARS, PAIRS = 1 << 18, 32, 1 << 18
+PIECES, PIECE_CHARS, PAIRS = 3 << 18, 32, 1 << 19
 
 
 class PrefixTable:
@@ -119,25 +119,36 @@ class Bpe:
         self.pairs[token, after] = not crossed
         return not crossed
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        token = self.ranks.get(piece)  # a piece that is a token needs no merge
-        return [token] if token is not None else PrefixTable(self, piece).tokens()
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; None counts as empty.
+
+        Pieces not met before are encoded in sorted order by one prefix table: what a piece shares with the one before it is kept,
+        only the rest is made anew.
+        """
+        split = [self.pattern.findall(t) if t else [] for t in texts]
+        known = self.pieces
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > PIECES:
+            known.clear()
+            new = set().union(*split)
+        fresh: dict[str, bytes] = {}
+        table, before = PrefixTable(self), b""
+        for piece in sorted(new):
+            data = piece.encode()
+            token = self.ranks.get(data)  # a piece that is a token needs no merge
+            if token is None:
+                shared = next((i for i, (x, y) in enumerate(zip(before, data, strict=False)) if x != y), min(len(before), len(data)))
+                ids = table.edit(shared, len(before), data[shared:]).tokens()
+                before = data
+            else:
+                ids = [token]
+            (known if len(piece) <= PIECE_CHARS else fresh)[piece] = np.array(ids, "<u4").tobytes()
+        if fresh:
+            return [b"".join([fresh.get(p) or known[p] for p in pieces]) for pieces in split]
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces, known = self.pattern.findall(text), self.pieces
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            return b"".join([known.get(p) or self._new(p) for p in pieces])
-
-    def _new(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -166,7 +177,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(SparkFiles.get(name), pattern)
         for part in slices(batches, text_col):
-            ids = [bpe.encode(t or "") for t in part.column(text_col).to_pylist()]
+            ids = bpe.encode_many(part.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"])
 
     return docs.select([*kept, *([] if text_col in kept else [text_col])]).mapInArrow(run, schema)
@@ -194,7 +205,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(SparkFiles.get(name), pattern)
         for part in slices(batches, text_col):
-            ids = [bpe.encode(t or "") for t in part.column(text_col).to_pylist()]
+            ids = bpe.encode_many(part.column(text_col).to_pylist())
             columns = [
                 pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
                 pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string()),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.bpe import round_trip_digests
 from tidewright.llm.fingerprints import edited_fingerprints
+from tidewright.llm.jaccard import jaccard_join
 from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
 from tidewright.llm.pii import replace_entities
@@ -30,6 +31,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op3_ngram_jaccard", r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+   ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w WHERE w IS NOT NULL),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+ r AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL""")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
