@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.bpe import round_trip_digests
+from tidewright.llm.embeddings import near_duplicate_vectors
 from tidewright.llm.fingerprints import edited_fingerprints
 from tidewright.llm.jaccard import jaccard_join
 from tidewright.llm.language import held_out, identify_languages
@@ -31,7 +32,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op3_ngram_jaccard", r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+@query("op3_ngram_jaccard", r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
    ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w WHERE w IS NOT NULL),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -48,6 +50,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+@query("op6_embedding_dedup", """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.9),
+ r AS (SELECT vec_id AS a, vec_id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+ c AS (SELECT a, min(root) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+ SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM e JOIN c ON c.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id""")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 @query("op7_fingerprints")
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
