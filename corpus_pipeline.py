@@ -2,5 +2,81 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewright.llm.bpe import encode_texts
+from tidewright.llm.jaccard import jaccard_join
+from tidewright.llm.language import UNDETERMINED, identify_languages
+from tidewright.llm.mixing import mix_sources
+from tidewright.llm.pii import replace_entities
+from tidewright.session import shared_folder
+
+MIN_SCORE = 0.1  # below it a text is like none of the learned languages
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is like a learned language; null texts, texts without letters and unlike ones go."""
+    told = identify_languages(docs)
+    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest id; of rows with equal id and text one stays.
+
+    Documents without words are in no group and stay.
+    """
+    groups = jaccard_join(docs.select("doc_id", "text"), width=5, percent=80)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
+    same = Window.partitionBy("_key").orderBy("_hash")
+    kept = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(first, "_key", "left_semi")
+    kept = kept.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = kept.withColumn("_again", F.coalesce(F.lag("_hash").over(same) == F.col("_hash"), F.lit(False)))
+    return kept.filter(~F.col("_again")).select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and credentials in their texts replaced by surrogates; ``n_chars`` counts the new text."""
+    return replace_entities(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    mixed = mix_sources(hashed.select("doc_id", "text", "source", "_hash"), carry=("_hash",))
+    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\x00")), F.col("_hash").cast("string"))
+    copies = mixed.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).filter(F.get("_copies", F.lit(0)) > 0)
+    placed = hashed.withColumn("_key", key).join(copies, "_key")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
+    taken = placed.withColumn("_n", F.get("_copies", turn)).filter("_n > 0")
+    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: (doc_id, lang, source, n_tokens, ids as little-endian unsigned 32-bit integers)."""
+    encoded = encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return encoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("byte_bpe", byte_bpe),
+]
+ORACLE_SQL = None  # no stage's method can be written in SQL; the tests hold each stage against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
+        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
