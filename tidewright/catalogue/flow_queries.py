@@ -81,7 +81,7 @@ def json_leaves(spark, sf):
     )
 
 
-@query("deep_partial", """SELECT event_id AS id, event_id % 3 <> 2 AS inside, event_id % 2 = 0 AS head FROM events""")
+@query("deep_partial", """SELECT event_id AS id, event_id % 3 <> 2 AS inside, event_id % 2 = 0 AS head, user_id % 2 = 0 AS nested FROM events""")
 def deep_partial(spark, sf):
     o, a = F.lit("object"), F.lit("array")
     k = F.get_json_object("props", "$.k")
@@ -89,8 +89,10 @@ def deep_partial(spark, sf):
     cand = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k":'), k, F.lit("}"))).when(F.col("event_id") % 3 == 1, "{}").otherwise('{"z":0}')
     test = comparators.build("deep-partial")
     items = F.when(F.col("event_id") % 2 == 0, "[1,2]").otherwise("[2,1]")
+    deep = F.when(F.col("user_id") % 2 == 0, '{"a": {"y": [{"q":2}]}}').otherwise('{"a":{"y":[{"q":"2"}]}}')
     return table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), test(base, cand, o, o).alias("inside"), test(F.lit("[1,2,3]"), items, a, a).alias("head")
+        F.col("event_id").alias("id"), test(base, cand, o, o).alias("inside"), test(F.lit("[1,2,3]"), items, a, a).alias("head"),
+        test(F.lit('{"a":{"x":1,"y":[{"p":1,"q":2},3]},"b":"1"}'), deep, o, o).alias("nested"),
     )
 
 

@@ -101,7 +101,7 @@ def timed(spark, sf):
 
 
 _LIMITED = f"""{_TIMED}, th(name, w, e, mw, me) AS (VALUES ('extraction', 1000, 5000, 100, 500), ('transformation', 500, 2000, 50, 200), ('validation', 100, 500, 20, 100), ('application', 200, 1000, 30, 150)),
- lim AS (SELECT t.*, w, e, mw, me FROM timed t JOIN th ON starts_with(op, name))"""
+ lim AS (SELECT t.*, w, e, mw, me FROM timed t LEFT JOIN th ON starts_with(op, name))"""
 
 
 @query("attach_thresholds", f"WITH {_LIMITED} SELECT event_id, op, CAST(w AS BIGINT) AS warn_ms, CAST(e AS BIGINT) AS error_ms FROM lim")
@@ -165,12 +165,12 @@ def critical_first(spark, sf):
     return O.by_priority(rows, "severity", ["critical", "high", "medium", "low"], "category")
 
 
-@query("debounce_bursts", """WITH e AS (SELECT event_type AS op, epoch_us(ts) AS us, ts, nullif(props, '') AS message FROM events),
- g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY op ORDER BY us) <= 600000000 THEN 0 ELSE 1 END AS b FROM e),
- s AS (SELECT *, sum(b) OVER (PARTITION BY op ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM g)
- SELECT op, max_by(message, us) AS message, count(*) AS events FROM s GROUP BY op, sid""")
+@query("debounce_bursts", """WITH e AS (SELECT event_id, event_type AS op, epoch_us(ts) AS us, ts, nullif(props, '') AS message FROM events),
+ g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY op ORDER BY us, event_id) <= 600000000 THEN 0 ELSE 1 END AS b FROM e),
+ s AS (SELECT *, sum(b) OVER (PARTITION BY op ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+ SELECT op, max_by(message, (us, event_id)) AS message, count(*) AS events FROM s GROUP BY op, sid""")
 def debounce_bursts(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("message"))
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("op"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("message"))
     return H.debounce(e, ["op"], "ts", "10 minutes").select("op", "message", "events")
 
 

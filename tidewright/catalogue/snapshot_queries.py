@@ -211,12 +211,15 @@ def verify_repairs(spark, sf):
     return D.diff_rows(again).filter("path <> 'response'").groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("strip_nulls", """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN '{"k":' || json_extract_string(props, '$.k') || '}' ELSE '{"k":' || json_extract_string(props, '$.k') || ',"t":"' || event_type || '"}' END AS data FROM events""")
+@query("strip_nulls", """SELECT event_id AS id, '{"k": ' || json_extract_string(props, '$.k') || CASE WHEN event_id % 3 = 0 THEN '' ELSE ', "t": "' || event_type || '"' END
+ || ', "list": [null, {"in": "a: null, b"}], "deep": {' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '"u": ' || user_id END || '}}' AS data FROM events""")
 def strip_nulls(spark, sf):
     e = table(spark, sf, "events")
-    tail = F.when(F.col("event_id") % 3 == 0, ', "t": null}').otherwise(F.concat(F.lit(', "t": "'), "event_type", F.lit('"}')))
-    text = F.concat(F.expr("substr(props, 1, length(props) - 1)"), tail)
-    return e.select(F.col("event_id").alias("id"), D.strip_nulls(text, "k bigint, t string").alias("data"))
+    t = F.when(F.col("event_id") % 3 == 0, "null").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    u = F.when(F.col("event_id") % 2 == 0, "null").otherwise(F.col("user_id").cast("string"))
+    text = F.concat(
+        F.expr("substr(props, 1, length(props) - 1)"), F.lit(', "t": '), t, F.lit(', "list": [null, {"in": "a: null, b", "x": null}], "deep": {"a\\"": null, "u": '), u, F.lit(', "z": null}}'))
+    return e.select(F.col("event_id").alias("id"), D.strip_nulls(text).alias("data"))
 
 
 @query("percent_change", """SELECT event_id AS id, CASE WHEN user_id % 10 = 0 THEN CASE WHEN event_id % 3 > 0 THEN 'inf'::DOUBLE ELSE 0.0::DOUBLE END

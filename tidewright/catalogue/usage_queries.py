@@ -32,7 +32,7 @@ DTYPE_SQL = """CASE
  WHEN regexp_matches(normalized,'Status|status|Type|type') THEN 'enum'
  WHEN regexp_matches(normalized,'Id|id|ID') THEN 'identifier'
  WHEN regexp_matches(normalized,'widgets|data|intentions') THEN 'array/object' ELSE 'string' END"""
-SUB_SQL = "CASE WHEN contains(normalized,'.') THEN split_part(normalized,'.',2) ELSE 'general' END"
+SUB_SQL = "CASE WHEN split_part(normalized,'.',1) IN ('account','entity','email','social') THEN split_part(normalized,'.',1) WHEN split_part(normalized,'.',1) IN ('billing','payment') THEN 'billing' WHEN split_part(normalized,'.',1) NOT IN ('entitlements','website','commerce','appointments','customer','links','context') THEN 'uncategorized' WHEN contains(normalized,'.') THEN split_part(normalized,'.',2) ELSE 'general' END"
 
 
 @query("usage_report", f"""WITH {ACCESS},
@@ -111,7 +111,7 @@ def dictionary_users(spark, sf):
  FROM access GROUP BY normalized ORDER BY units DESC, normalized LIMIT 20""")
 def unique_fields(spark, sf):
     n = F.col("normalized")
-    return usage.unique_fields(access(spark, sf), category(), subcategory(n), infer_dtype(n))
+    return usage.unique_fields(access(spark, sf), category(), subcategory(n, category()), infer_dtype(n))
 
 
 @query("usage_bands", f"""WITH {ACCESS}, u AS (SELECT normalized, count(DISTINCT unit) AS units FROM access GROUP BY 1)

@@ -60,9 +60,14 @@ def numeric_tolerance(tolerance: float = 0.01, relative: bool = False) -> Compar
     return test
 
 
+def _typed_items(v: Column) -> Column:
+    """Items of a JSON list as JSON texts, so that 1 and "1" differ."""
+    return F.transform(F.from_json(v, "array<variant>"), lambda x: F.to_json(x))
+
+
 def array_unordered() -> Comparator:
     def test(a, b, ta, tb):
-        x, y = F.from_json(a, "array<string>"), F.from_json(b, "array<string>")
+        x, y = _typed_items(a), _typed_items(b)
         same = (F.size(x) == F.size(y)) & (F.sort_array(x) == F.sort_array(y))
         return F.when((ta == "array") & (tb == "array"), same).otherwise(_exact(a, b, ta, tb))
 
@@ -93,17 +98,38 @@ def type_coercion() -> Comparator:
     return test
 
 
+NESTING = 8  # levels a partial comparison follows; what lies deeper must be equal
+
+
+def _children(v: Column) -> Column:
+    """Members of an object by name, items of a list by place, each as JSON text."""
+    items = _typed_items(v)
+    members = F.transform_values(F.from_json(v, "map<string,variant>"), lambda _, u: F.to_json(u))
+    return F.when(v.startswith("{"), members).when(v.startswith("["), F.map_from_arrays(F.transform(items, lambda _, i: i.cast("string")), items))
+
+
+def _inside(x: Column, y: Column, levels: int) -> Column:
+    """Whether JSON text ``y`` is contained in ``x``: objects member by member, lists item by item from the front.
+
+    Children are bound in a one-item list, so that each level's expression is written and computed once.
+    """
+    if not levels:
+        return x == y
+    pair = F.array(F.struct(_children(x).alias("xs"), _children(y).alias("ys")))
+
+    def member(c, e):
+        return F.struct(F.map_contains_key(c["xs"], e["key"]).alias("there"), F.element_at(c["xs"], e["key"]).alias("x"), e["value"].alias("y"))
+
+    held = F.forall(pair, lambda c: F.forall(
+        F.transform(F.map_entries(c["ys"]), lambda e: member(c, e)), lambda p: p["there"] & _inside(p["x"], p["y"], levels - 1)))
+    return F.when(F.substring(x, 1, 1).isin("{", "[") & (F.substring(x, 1, 1) == F.substring(y, 1, 1)), held).otherwise(x == y)
+
+
 def deep_partial() -> Comparator:
-    """Candidate is contained in the baseline: flat objects member by member."""
+    """Candidate is contained in the baseline, nested objects and lists too."""
     def test(a, b, ta, tb):
-        x, y = F.from_json(a, "map<string,string>"), F.from_json(b, "map<string,string>")
-        inside = F.forall(F.map_entries(y), lambda e: F.element_at(x, e["key"]).eqNullSafe(e["value"]) & F.map_contains_key(x, e["key"]))
-        xs, ys = F.from_json(a, "array<string>"), F.from_json(b, "array<string>")
-        head = ys == F.slice(xs, 1, F.size(ys))
-        return (
-            F.when((ta == "object") & (tb == "object"), inside)
-            .when((ta == "array") & (tb == "array"), head).otherwise(_exact(a, b, ta, tb))
-        )
+        nested = ta.isin("object", "array") & (ta == tb)
+        return F.when(nested, F.forall(F.array(F.struct(F.trim(a).alias("x"), F.trim(b).alias("y"))), lambda p: _inside(p["x"], p["y"], NESTING))).otherwise(_exact(a, b, ta, tb))
 
     return test
 

@@ -75,10 +75,18 @@ def infer_dtype(col: Column, rules=DATA_TYPES) -> Column:
     return categorize(col, rules, default="string")
 
 
-def subcategory(col: Column) -> Column:
-    """Second path segment, or ``general`` for a one-segment path."""
+# Categories whose sub-category is the path's head, one with a fixed sub-category, and the default's.
+HEAD_SUBCATEGORY = ("Identity & Core Data", "Marketing & Social")
+FIXED_SUBCATEGORY = (("Billing & Payments", "billing"), ("Other", "uncategorized"))
+
+
+def subcategory(col: Column, category: Column) -> Column:
+    """By category: the head of the path, a fixed word, or the second segment (``general`` for a one-segment path)."""
     parts = F.split(col, r"\.")
-    return F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise("general")
+    out = F.when(category.isin(*HEAD_SUBCATEGORY), F.element_at(parts, 1))
+    for name, word in FIXED_SUBCATEGORY:
+        out = out.when(category == name, word)
+    return out.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise("general")
 
 
 def normalize_prefix(col: Column, mapping: Sequence[tuple[str, str]]) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.selections import fields
+
 # Anchors, markers, suffixes and stop lists.
 GENERIC_FILE_NAMES = ("index", "queries", "graphql")
 ACCESS_STOP_NAMES = ("profile", "entity", "console", "Object", "Array", "Math")
@@ -174,9 +176,11 @@ def brace_depth(content: Column) -> Column:
 
 
 def query_pattern(content: Column) -> Column:
+    """A subscription, an operation that selects a ``...Connection`` at its root, or a nested query."""
+    paged = F.exists(fields(content), lambda f: (f["depth"] == 1) & f["name"].endswith("Connection"))
     return (
         F.when(op_kind(content) == "subscription", "SUBSCRIPTION")
-        .when(content.rlike(r"\w+Connection\b"), "PAGINATED_QUERY")
+        .when(F.coalesce(paged, F.lit(False)), "PAGINATED_QUERY")
         .otherwise("NESTED_QUERY")
     )
 

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.selections import fields
+from tidewright.session import checkpoint
+
 # The contract line patterns and the reason patterns, in order.
 TYPE_LINE = r"^\s*(type|interface)\s+(\w+)\s*"
 DEPRECATED_LINE = r"""(\w+)\s*(?:\([^)]*\))?\s*:\s*[^@]*@deprecated\(reason:\s*"([^"]+)"\)"""
@@ -103,8 +106,48 @@ def with_aliases(rules: DataFrame, aliases: Sequence[tuple[str, str]]) -> DataFr
     return best.select("object_type", "field_name", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+# The root type of each kind of operation.
+ROOTS = {"query": "Query", "mutation": "Mutation", "subscription": "Subscription"}
+
+
+def mine_usages(ops: DataFrame, catalog: DataFrame, roots: dict[str, str] | None = None) -> DataFrame:
+    """Typed field usages of operation texts: id, pos, at, path, type_name, field_name, is_root.
+
+    ``ops``: id, content. ``catalog``: type_name, field_name, field_type. ``at`` is the character offset of the field's name, ``pos`` its
+    number in the text. The parent type of a field is found by walking down from the root or fragment type it stands under, one
+    join with the catalog per level for all fields at once; it is null below a field the catalog does not know.
+    """
+    roots = roots or ROOTS
+    start = F.col("f.scope")
+    for kind, name in roots.items():
+        start = F.when(F.col("f.scope") == kind, name).otherwise(start)
+    rows = ops.select("id", F.posexplode(fields(F.col("content"))).alias("pos", "f")).select(
+        "id", "pos", "f.at", F.array_join(F.concat("f.trail", F.array("f.name")), ".").alias("path"), start.alias("type_name"),
+        F.col("f.name").alias("field_name"), (F.size("f.trail") == 0).alias("is_root"), F.col("f.trail").alias("_rest"))
+    steps = last_per_key(catalog.select("type_name", "field_name", "field_type"), ["type_name", "field_name"])
+    steps = steps.select(F.col("type_name").alias("_t"), F.col("field_name").alias("_f"), "field_type")
+    open_, done = checkpoint(rows), None
+    while True:
+        ended = open_.filter(F.size("_rest") == 0).drop("_rest")
+        done = ended if done is None else done.unionByName(ended)
+        deeper = open_.filter(F.size("_rest") > 0)
+        if deeper.isEmpty():
+            return done
+        walked = deeper.join(steps, (F.col("type_name") == F.col("_t")) & (F.get("_rest", F.lit(0)) == F.col("_f")), "left")
+        open_ = checkpoint(walked.withColumns({"type_name": F.col("field_type"), "_rest": F.slice("_rest", F.lit(2), F.size("_rest"))}).select(open_.columns))
+
+
+def last_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: of repeated ones the last by file and line where these are given, else by content."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = [F.col(c) for c in ("file", "line_no", *rest) if c in rest]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def apply_rule_lookup(usages: DataFrame, rules: DataFrame, root_type: str | None = None) -> DataFrame:
-    """Rule per usage by ``type.field``; root usages also try ``root_type``."""
+    """Rule per usage by ``type.field``; root usages also try ``root_type``. A repeated rule counts once, the last."""
+    rules = last_per_key(rules, ["object_type", "field_name"])
     payload = [c for c in ("reason", "replacement", "is_vague", "action") if c in rules.columns]
     key = rules.select(
         F.col("object_type").alias("type_name"), "field_name", F.struct(*payload).alias("_own")
@@ -120,8 +163,8 @@ def apply_rule_lookup(usages: DataFrame, rules: DataFrame, root_type: str | None
 
 
 def conformance(usages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Usage rows labelled ``error`` (unknown), ``warning`` (deprecated) or ``ok``."""
-    known = catalog.select("type_name", "field_name", "is_deprecated", "reason", F.lit(True).alias("_known"))
+    """Usage rows labelled ``error`` (unknown), ``warning`` (deprecated) or ``ok``. A repeated catalog row counts once."""
+    known = last_per_key(catalog.select("type_name", "field_name", "is_deprecated", "reason"), ["type_name", "field_name"]).withColumn("_known", F.lit(True))
     status = (
         F.when(F.col("_known").isNull(), "error").when(F.col("is_deprecated"), "warning").otherwise("ok")
     )
@@ -211,7 +254,7 @@ def classify_by_catalog(usages: DataFrame, catalogs: DataFrame) -> DataFrame:
 def validate_multi(usages: DataFrame, catalogs: DataFrame, default: str) -> DataFrame:
     """Routes each usage to its forced, detected or default catalog, then checks it."""
     routed = usages.withColumn("catalog", F.coalesce("forced", "detected", F.lit(default)))
-    known = catalogs.select("catalog", "type_name", "field_name", "is_deprecated", F.lit(True).alias("_known"))
+    known = catalogs.groupBy("catalog", "type_name", "field_name").agg(F.max("is_deprecated").alias("is_deprecated")).withColumn("_known", F.lit(True))
     status = F.when(F.col("_known").isNull(), "error").when(F.col("is_deprecated"), "warning").otherwise("ok")
     return routed.join(known, ["catalog", "type_name", "field_name"], "left").select(
         "id", "catalog", "type_name", "field_name", status.alias("status")

@@ -223,12 +223,14 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
     have = lambda c, t: F.col(c) if c in pairs.columns else F.lit(None).cast(t)
     align = json_pairs.align_pairs("data", frozenset(cfg.comparators))
     align_errors = json_pairs.align_pairs("errors", frozenset(cfg.comparators))
-    changed = F.col("has_base") & F.col("has_cand") & (F.col("base_data") != F.col("cand_data"))
+    # No data is JSON's null: a side without data differs from one with data at the root.
+    data = {p: F.coalesce(F.col(f"{p}_data"), F.lit("null")) for p in ("base", "cand")}
+    changed = F.col("has_base") & F.col("has_cand") & (data["base"] != data["cand"])
     be, ce = have("base_errors", "string"), have("cand_errors", "string")
     err_changed = F.col("has_base") & F.col("has_cand") & ~be.eqNullSafe(ce)
     # Equal texts are sent as nulls, so the helper returns no nodes for them.
     gate = lambda test, c: F.when(test, c).otherwise(null)
-    rows = pairs.withColumn("_p", align(gate(changed, F.col("base_data")), gate(changed, F.col("cand_data"))))
+    rows = pairs.withColumn("_p", align(gate(changed, data["base"]), gate(changed, data["cand"])))
     if "base_errors" in pairs.columns:
         rows = rows.withColumn("_e", align_errors(gate(err_changed, be), gate(err_changed, ce)))
         error_diffs = _diffs(F.col("_e.nodes"), CompareConfig(cfg.strict, cfg.ignore, [], cfg.comparators))
@@ -357,9 +359,17 @@ def positional_matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda m: m))
 
 
-def strip_nulls(json_col: Column, schema: str) -> Column:
-    """Drops null members of objects of a known schema when written as JSON."""
-    return F.to_json(F.from_json(json_col, schema), {"ignoreNullFields": "true"})
+_TEXT = r'"(?:[^"\\]|\\.)*"'  # a JSON text
+
+
+def strip_nulls(json_col: Column) -> Column:
+    """Drops the null members of every object of a JSON text, nested ones too; nulls inside lists stay.
+
+    Texts are stepped over whole, so member order, numbers and the rest stay as written.
+    """
+    null = rf"{_TEXT}\s*:\s*null(?=\s*[,}}])"
+    later = F.regexp_replace(json_col, rf",\s*{null}|({_TEXT})", "$1")
+    return F.regexp_replace(later, rf"{null}\s*,?\s*|({_TEXT})", "$1")
 
 
 def line_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:

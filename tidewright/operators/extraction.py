@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
+from tidewright.functions.selections import fields
 from tidewright.functions.rules import normalize_prefix
 from tidewright.operators.ordered import rank_rows
 from tidewright.session import checkpoint
@@ -187,12 +188,26 @@ def uniquify_names(df: DataFrame, name: str, body: str, order: str) -> DataFrame
     """
     fp = F.md5(T.normalize_text(F.col(body), placeholder=None))
     keyed = df.withColumn("_fp", fp)
-    firsts = keyed.filter(F.col(name) != "").groupBy(name, "_fp").agg(F.min(order).alias("_first"))
-    ranked = rank_rows(firsts, [name], "_first").select(name, "_fp", (F.col("rank") - 1).alias("_suffix"))
-    unique = F.when(F.coalesce(F.col("_suffix"), F.lit(0)) == 0, F.col(name)).otherwise(
-        F.concat(F.col(name), F.lit("_"), F.col("_suffix").cast("string"))
-    )
-    return keyed.join(ranked, [name, "_fp"], "left").withColumn("unique_name", unique).drop("_fp", "_suffix")
+    bodies = checkpoint(keyed.filter(F.col(name) != "").groupBy(F.col(name).alias("_name"), "_fp").agg(F.min(order).alias("_first")))
+    ranked = rank_rows(bodies, ["_name"], "_first").select("_name", "_fp", "_first", (F.col("rank") - 1).alias("_suffix"))
+    given = bodies.select(F.col("_name").alias("_made")).distinct()
+    fixed = ranked.filter("_suffix = 0").select("_name", "_fp", F.col("_name").alias("unique_name"))
+    waiting, taken = checkpoint(ranked.filter("_suffix > 0").select("_name", "_fp", "_first", "_suffix")), given
+    while not waiting.isEmpty():
+        # a made name that is given, or made before for another name, moves on to the next number
+        tried = waiting.withColumn("_made", F.concat("_name", F.lit("_"), F.col("_suffix").cast("string")))
+        winner = tried.groupBy("_made").agg(F.min(F.struct("_first", "_name", "_fp")).alias("_w"))
+        free = winner.join(taken, "_made", "left_anti").select(F.col("_made").alias("_free"), "_w")
+        judged = checkpoint(tried.join(free, F.col("_made") == F.col("_free"), "left").withColumn(
+            "_ok", F.coalesce((F.col("_w._name") == F.col("_name")) & (F.col("_w._fp") == F.col("_fp")), F.lit(False))))
+        done = judged.filter("_ok").select("_name", "_fp", F.col("_made").alias("unique_name"))
+        fixed, taken = fixed.unionByName(done), taken.union(done.select("unique_name"))
+        top = judged.groupBy("_name").agg(F.max("_suffix").alias("_top"))
+        left = judged.filter("NOT _ok").select("_name", "_fp", "_first").join(top, "_name")
+        waiting = rank_rows(left, ["_name"], "_first").select("_name", "_fp", "_first", (F.col("_top") + F.col("rank")).alias("_suffix"))
+    named = fixed.select(F.col("_name").alias("_n"), F.col("_fp").alias("_f"), "unique_name")
+    joined = keyed.join(named, (F.col(name) == F.col("_n")) & (F.col("_fp") == F.col("_f")), "left")
+    return joined.withColumn("unique_name", F.coalesce("unique_name", F.col(name))).drop("_fp", "_n", "_f")
 
 
 def name_from_field(root: Column, kind: Column, stem: Column, significant: Column | None = None) -> Column:
@@ -217,9 +232,15 @@ def name_from_field(root: Column, kind: Column, stem: Column, significant: Colum
     ).otherwise(F.concat(prefix, F.lit("Operation")))
 
 
+# Root fields that say nothing about an operation.
+GENERIC_ROOTS = ("user", "me", "viewer")
+
+
 def root_field(content: Column) -> Column:
-    """First selection inside the outermost braces."""
-    return T.none_if_empty(F.regexp_extract(content, r"\{\s*(?:\.\.\.\s*)?([A-Za-z_]\w*)", 1))
+    """The main root field: the last one that is not generic, else the last one."""
+    roots = F.transform(F.filter(fields(content), lambda f: f["depth"] == 1), lambda f: f["name"])
+    telling = F.filter(roots, lambda n: ~n.isin(*GENERIC_ROOTS))
+    return F.coalesce(F.try_element_at(telling, F.lit(-1)), F.try_element_at(roots, F.lit(-1)))
 
 
 def standardize(df: DataFrame, endpoint: str = "default") -> DataFrame:
@@ -328,13 +349,15 @@ def edge_values(variables: DataFrame, name: str, dtype: str) -> DataFrame:
 
 
 def common_keys(examples: DataFrame, id_col: str, payload: str, share: float = 0.5) -> DataFrame:
-    """Keys of JSON objects seen in at least ``share`` of the rows."""
+    """Keys of JSON objects seen in at least ``share`` of the rows, with the JSON types of their values."""
     total = examples.agg(F.count(F.lit(1)).alias("_n"))
-    pairs = examples.select(F.col(id_col).alias("_id"), F.explode(F.from_json(payload, "map<string,string>")).alias("key", "value"))
+    members = F.explode(F.from_json(payload, "map<string,variant>")).alias("key", "_v")
+    typed = examples.select(F.col(id_col).alias("_id"), members).withColumn("_t", F.schema_of_variant("_v"))
     kind = (
-        F.when(F.col("value").isNull(), "object").when(F.col("value").isin("true", "false"), "boolean")
-        .when(F.col("value").try_cast("double").isNotNull(), "number").otherwise("string")
+        F.when(F.col("_t") == "STRING", "string").when(F.col("_t") == "BOOLEAN", "boolean")
+        .when(F.col("_t").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), "number").when(F.col("_t").startswith("ARRAY"), "array").otherwise("object")
     )
+    pairs = typed.withColumn("value", F.variant_get("_v", "$", "string"))
     keys = pairs.groupBy("key").agg(
         F.count(F.lit(1)).alias("examples"),
         F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types"),

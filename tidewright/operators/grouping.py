@@ -13,7 +13,7 @@ from tidewright.operators.extraction import once
 from tidewright.session import checkpoint
 
 
-RARE_TOKEN = 10_000  # most sets one token may be in for the counting join
+FLOORS = (0.5, 0.125, 0.03125, 1e-9)  # similarities at which the top pairs are looked for in turn
 
 
 def group_items(ops: DataFrame, item: str = "selections") -> DataFrame:
@@ -76,43 +76,37 @@ def _ranked_sets(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.withColumn("n", F.size("_toks"))
 
 
-def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_common: int = 1, indexed: bool = False) -> DataFrame:
+def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_common: int = 1) -> DataFrame:
     """All pairs (a < b) of distinct sets with Jaccard >= threshold, exactly.
 
     Copies are folded before (``_ranked_sets``). Only prefixes of rare tokens are
     joined, and only between sets of the same or the next size band, the only
     ones whose sizes can reach the threshold, so a token most sets hold is
     rarely joined at all. Full sets are fetched for surviving candidates alone.
-    ``indexed`` joins whole sets and counts the overlap in the join; it is for
-    low thresholds over tokens the caller knows to be rare.
     """
     keys = list(keys)
     n = F.col("n")
     bound = max(threshold - 1e-12, 1e-12)
     t = F.lit(bound)
     need = F.greatest(F.ceil(n * t).cast("int"), F.lit(max(min_common, 1)))
-    prefix = n if indexed else F.greatest(n - need + 1, F.lit(0))
-    banded = not indexed
-    band = F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(bound), 1e-9)) + 1e-9).cast("bigint") if banded else F.lit(0)
+    prefix = F.greatest(n - need + 1, F.lit(0))
+    band = F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(bound), 1e-9)) + 1e-9).cast("bigint")
     rows = ranked.filter(n >= min_common).select(
         *keys, "id", n, band.alias("_band"), F.posexplode(F.slice("_toks", 1, prefix)).alias("_pos", "token")
     )
     left_after = n - F.col("_pos") - 1
     small = rows.select(*keys, "token", "_band", F.col("id").alias("_x"), n.alias("_nx"), left_after.alias("_rx"))
-    bands = F.explode(F.array(F.col("_band"), F.col("_band") - 1)) if banded else F.col("_band")
+    bands = F.explode(F.array(F.col("_band"), F.col("_band") - 1))
     large = rows.select(*keys, "token", bands.alias("_band"), F.col("id").alias("_y"), n.alias("_ny"), left_after.alias("_ry"))
     fits = (F.col("_nx") >= F.col("_ny") * t) & (
         (F.col("_nx") < F.col("_ny")) | ((F.col("_nx") == F.col("_ny")) & (F.col("_x") < F.col("_y")))
     )
-    on = [*keys, "token", "_band"] if banded else [*keys, "token"]
+    on = [*keys, "token", "_band"]
     pair = [*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")]
     similarity = lambda common, nx, ny: common / (nx + ny - common)
     hits = small.join(large, on).filter(fits).groupBy(*keys, "_x", "_y", "_nx", "_ny").agg(
         F.count(F.lit(1)).alias("common"), F.min("_rx").alias("_rx"), F.min("_ry").alias("_ry")
     )
-    if indexed:
-        out = hits.select(*pair, "common", similarity(F.col("common"), F.col("_nx"), F.col("_ny")).alias("similarity"))
-        return out.filter((F.col("similarity") >= t) & (F.col("common") >= min_common))
     # Shared prefix tokens plus what can still match after the last of them
     # bounds the overlap; pairs that cannot reach the threshold end here.
     reach = F.greatest(F.ceil((F.col("_nx") + F.col("_ny")) * F.lit(bound / (1 + bound)) - 1e-9), F.lit(max(min_common, 1)))
@@ -127,9 +121,9 @@ def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_
 def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> DataFrame:
     """The ``top`` most similar unit pairs with at least ``min_common`` shared items.
 
-    ``sets``: id, items. Pairs of units with equal sets come first. For the
-    rest a linear pass over min-hash neighbours gives a floor for the k-th best
-    similarity, and the exact join runs at that floor only.
+    ``sets``: id, items. Pairs of units with equal sets come first. For the rest the exact join runs at a high similarity first
+    and at the next lower one only while fewer than ``top`` pairs are found: what is above a floor is complete, so
+    the top pairs are final as soon as there are enough.
     """
     full = checkpoint(sets.select("id", F.sort_array(F.array_distinct("items")).alias("items")).filter(F.size("items") > 0))
     # Equal sets: within a group of copies the first ids give enough top pairs.
@@ -139,22 +133,10 @@ def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> Dat
         F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.size("items").cast("bigint").alias("common"), F.lit(1.0).alias("similarity")
     )
     ranked = checkpoint(_ranked_sets(full, []))
-    hashes = lambda i: F.array_min(F.transform("_toks", lambda t: F.xxhash64(t, F.lit(i))))
-    floors = None
-    for i in range(4):
-        h = ranked.select("id", "_toks", hashes(i).alias("_h"), hashes(i + 100).alias("_g"))
-        w = Window.partitionBy("_h", "_g").orderBy("id")
-        near = h.select("id", "_toks", F.lag("id").over(w).alias("_p"), F.lag("_toks").over(w).alias("_pt")).filter("_p IS NOT NULL")
-        floors = near if floors is None else floors.unionByName(near)
-    common = F.size(F.array_intersect("_toks", "_pt"))
-    jaccard = common / (F.size("_toks") + F.size("_pt") - common)
-    best = floors.filter(common >= min_common).select(F.least("id", "_p").alias("a"), F.greatest("id", "_p").alias("b"), jaccard.alias("s"))
-    kth = best.distinct().orderBy(F.desc("s")).limit(top).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).first()
-    floor = kth["s"] if kth["n"] >= top else 1e-9
-    # At a low floor a prefix is most of the set, so rare tokens are counted in
-    # the join; a token that many sets hold keeps the prefix join.
-    commonest = ranked.select(F.explode("_toks").alias("t")).groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    rest = similar_pairs(ranked, [], floor, min_common, indexed=floor < 0.3 and commonest <= RARE_TOKEN)
+    for floor in FLOORS:
+        rest = checkpoint(similar_pairs(ranked, [], floor, min_common))
+        if rest.limit(top).count() >= top:
+            break
     # Members of equal-set groups stand in for their representative.
     rep = full.groupBy("items").agg(F.min("id").alias("_rep"))
     members = firsts.join(rep, "items").select(F.col("_rep"), F.col("id").alias("_m"))
@@ -196,18 +178,19 @@ def group_similar(ops: DataFrame, threshold: float = 0.7) -> DataFrame:
     return sets.join(folded, ["kind", "items"]).join(of, ["kind", "rep"]).select("id", "kind", "leader")
 
 
-def reference_closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``root, node``: everything reachable from each root, cycles included once."""
-    edges = edges.select("src", "dst").distinct()
-    seen = checkpoint(roots.select(F.col("node").alias("root"), "node").distinct())
-    frontier = seen
-    for _ in range(max_rounds):
+def reference_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, node``: everything reachable from each root, cycles included once.
+
+    Rounds go on until one finds nothing new. A round stores only what it found; earlier finds are not written again.
+    """
+    edges = checkpoint(edges.select("src", "dst").distinct())
+    seen = frontier = checkpoint(roots.select(F.col("node").alias("root"), "node").distinct())
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = checkpoint(step.join(seen, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = checkpoint(seen.unionByName(frontier))
-    return seen
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 def missing_references(closure: DataFrame, names: DataFrame) -> DataFrame:
@@ -234,15 +217,33 @@ def inline_references(ops: DataFrame, fragments: DataFrame, mode: str = "append"
         return ops.join(bodies, "id", "left").select("id", text.alias("content"))
     if mode != "inline":
         raise ValueError(f"unknown mode {mode}")
+    # A spread inside an inlined body carries the names it is inside of, between two control characters; one that names any of
+    # them is part of a cycle and stays. Directives of a spread go before the braces.
+    mark = "(?:\x01([^\x02]*)\x02)?"
+    spread = rf"\.\.\.([A-Za-z_]\w*){mark}"
+    body = F.replace(F.replace(F.col("body"), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    known = fragments.select("name", "type_name", body.alias("_body"))
     state = checkpoint(ops.select("id", "content"))
     while True:
-        names = state.select("id", F.explode(refs(F.col("content"))).alias("name"))
-        known = names.join(fragments.select("name", F.concat(F.lit("... on "), "type_name", F.lit(" { "), "body", F.lit(" }")).alias("_v")), "name")
-        fills = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("name", "_v"))).alias("_f"))
-        if fills.isEmpty():
-            return state
-        swap = lambda acc, f: F.regexp_replace(acc, F.concat(F.lit(r"\.\.\."), f["name"], F.lit(r"(?![A-Za-z0-9_])")), f["_v"])
-        state = checkpoint(state.join(fills, "id", "left").select("id", F.coalesce(F.aggregate("_f", F.col("content"), swap), "content").alias("content")))
+        found = F.transform(F.regexp_extract_all("content", F.lit(spread), F.lit(0)), lambda m: F.struct(
+            F.regexp_extract(m, spread, 1).alias("name"), F.regexp_extract(m, spread, 2).alias("inside")))
+        open_ = F.filter(F.array_distinct(found), lambda m: (m["name"] != "on") & ~F.array_contains(F.split(m["inside"], ","), m["name"]))
+        path = F.concat_ws(",", F.when(F.col("inside") != "", F.col("inside")), "name")
+        inner = F.regexp_replace("_body", r"\.\.\.(?!on\b)([A-Za-z_]\w*)", F.concat(F.lit("...$1\x01"), path, F.lit("\x02")))
+        fills = state.select("id", F.inline(open_)).join(known, "name").select(
+            "id", F.struct("name", "inside", F.concat(F.lit("... on "), "type_name", F.lit("$1 { "), inner, F.lit(" }")).alias("value")).alias("_v")
+        ).groupBy("id").agg(F.sort_array(F.collect_list("_v")).alias("_f"))
+
+        def swap(acc, f):
+            tag = F.when(f["inside"] == "", F.lit("(?!\x01)")).otherwise(F.concat(F.lit("\x01"), f["inside"], F.lit("\x02")))
+            directives = r"((?:\s*@\w+(?:\([^)]*\))?)*)"
+            return F.regexp_replace(acc, F.concat(F.lit(r"\.\.\."), f["name"], F.lit(r"(?![A-Za-z0-9_])"), tag, F.lit(directives)), f["value"])
+
+        step = checkpoint(state.join(fills, "id", "left").select(
+            "id", F.coalesce(F.aggregate("_f", F.col("content"), swap), "content").alias("content"), F.col("_f").isNotNull().alias("_more")))
+        state = step.drop("_more")
+        if step.filter("_more").isEmpty():
+            return state.select("id", F.regexp_replace("content", "\x01[^\x02]*\x02", "").alias("content"))
 
 
 def reconcile(before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
@@ -286,18 +287,22 @@ def expand_variants(ops: DataFrame, switches: DataFrame) -> DataFrame:
     """
     usable = switches.filter(F.size("choices") > 0)
     per_op = usable.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "variable", "choices"))).alias("_s"))
-    total = F.aggregate("_s", F.lit(1), lambda acc, s: acc * F.size(s["choices"]))
-    rows = ops.join(per_op, "id").withColumn("variant_no", F.explode(F.sequence(F.lit(0), total - 1)))
+    total = F.aggregate("_s", F.lit(1).cast("bigint"), lambda acc, s: acc * F.size(s["choices"]))
+    # Numbers are dealt out by their high part first: no row holds all combinations, and no task has to make them.
+    block = F.lit(1 << 12).cast("bigint")
+    high = ops.join(per_op, "id").withColumn("_total", total).withColumn("_high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_total") - 1) / block))))
+    low = F.sequence(F.col("_high") * block, F.least(F.col("_total"), (F.col("_high") + 1) * block) - 1)
+    rows = high.repartition("id", "_high").withColumn("variant_no", F.explode(low)).drop("_total", "_high")
     empty = F.array().cast("array<struct<variable:string,value:string>>")
 
     def digit(acc, s):
         pick = F.struct(s["variable"].alias("variable"), F.get(s["choices"], (acc["rest"] % F.size(s["choices"])).cast("int")).alias("value"))
         return F.struct(
-            F.floor(acc["rest"] / F.size(s["choices"])).cast("int").alias("rest"),
+            F.call_function("div", acc["rest"], F.size(s["choices"])).alias("rest"),
             F.concat(F.array(pick), acc["picked"]).alias("picked"),
         )
 
-    start = F.struct(F.col("variant_no").cast("int").alias("rest"), empty.alias("picked"))
+    start = F.struct(F.col("variant_no").alias("rest"), empty.alias("picked"))
     rows = rows.withColumn("_picked", F.aggregate(F.reverse("_s"), start, digit, lambda acc: acc["picked"]))
 
     def fill(acc, p):

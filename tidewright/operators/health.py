@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.ordered import last_n_per_key, sample_percentiles, trend
+from tidewright.operators.ordered import carry_forward, last_n_per_key, rank_rows, sample_percentiles, trend
 
 # Health limits, sample sizes and the default thresholds
 # (name, warn ms, error ms, warn MB, error MB).
@@ -93,7 +93,7 @@ def compare_with_baseline(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def attach_thresholds(events: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Limits of the exact name, else of the first name that prefixes the op.
+    """Limits of the exact name, else of the first name that prefixes the op; null where no name does.
 
     Every prefix of an op is a join key, so the lookup is an equi-join.
     """
@@ -107,7 +107,7 @@ def attach_thresholds(events: DataFrame, thresholds: DataFrame | None = None) ->
     best = keys.join(thresholds, "name").groupBy("op").agg(
         F.min_by(F.struct(*limits), F.struct(F.col("name") != F.col("op"), F.col("seq"))).alias("_t")
     )
-    return events.join(best.select("op", "_t.*"), "op")
+    return events.join(best.select("op", "_t.*"), "op", "left")
 
 
 def alerts(events: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
@@ -167,9 +167,19 @@ def error_advice(errors: DataFrame) -> DataFrame:
     )
 
 
-def debounce(events: DataFrame, keys: Sequence[str], ts: str, gap: str = "50 milliseconds") -> DataFrame:
-    """Last well-formed event of each burst; also valid on a stream."""
+def debounce(events: DataFrame, keys: Sequence[str], ts: str, gap: str = "50 milliseconds", tie: str = "event_id") -> DataFrame:
+    """Last well-formed event of each burst of ``keys``; of events at one time the one with the largest ``tie``.
+
+    A burst ends where nothing follows within ``gap``. A stream keeps session windows. A table is cut into ranges of (keys, time):
+    an event further than ``gap`` from the one before starts a burst, and bursts are numbered over the ranges, so neither a
+    busy key nor an endless burst is one task's work.
+    """
     good = events.filter(F.col("message").isNotNull() & (F.col("message") != ""))
-    return good.groupBy(*keys, F.session_window(ts, gap).alias("burst")).agg(
-        F.max_by("message", ts).alias("message"), F.count(F.lit(1)).alias("events")
-    )
+    last = F.max_by("message", F.struct(ts, tie)).alias("message")
+    if events.isStreaming:
+        return good.groupBy(*keys, F.session_window(ts, gap).alias("burst")).agg(last, F.count(F.lit(1)).alias("events"))
+    timed = good.withColumn("_at", F.struct(ts, tie))
+    before = carry_forward(timed, keys, [ts, tie], "_at", "_before", inclusive=False)
+    starts = F.col("_before").isNull() | (F.col(ts) > F.col("_before")[ts] + F.expr(f"INTERVAL {gap}"))
+    numbered = rank_rows(before.withColumn("_start", starts.cast("int")).drop("_before", "_at"), keys, [ts, tie], "burst", weight="_start")
+    return numbered.groupBy(*keys, "burst").agg(last, F.count(F.lit(1)).alias("events"))

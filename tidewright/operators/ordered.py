@@ -9,41 +9,55 @@ from pyspark.sql import functions as F
 
 from tidewright.session import checkpoint
 
-PARTIAL_LIMIT = 1000  # up to here the optimizer limits each group before the shuffle
-
-
 def last_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, salts: int = 64) -> DataFrame:
     """The ``n`` latest rows per key; adds ``recency`` (1 = latest).
 
-    Rank filters up to PARTIAL_LIMIT are cut on the map side by the optimizer;
-    larger ones are first cut per salt, so no task sorts a whole hot key.
+    Rows are first cut to ``n`` per key and salt, so no task ranks a whole hot key and the last step sees ``salts * n`` rows of it.
     """
     desc = [F.col(c).desc() for c in order]
-    if n > PARTIAL_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-        w = Window.partitionBy(*keys, "_salt").orderBy(*desc)
-        df = salted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_salt")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    w = Window.partitionBy(*keys, "_salt").orderBy(*desc)
+    cut = salted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_salt")
     w = Window.partitionBy(*keys).orderBy(*desc)
-    return df.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
+    return cut.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
-    """``row_number`` per key in ``order`` with no task holding a whole key.
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt into ranges of (keys, order), stored once so that their ``_slice`` stays what it is."""
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(slices, *keys, *order)).withColumn("_slice", F.spark_partition_id())
+
 
-    Rows are range-partitioned by (keys, order) and written to the checkpoint
-    folder, which fixes their slice. They are numbered inside (key, slice) and
-    shifted by the sizes of the key's earlier slices.
+def rank_rows(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str = "rank", weight: str | None = None) -> DataFrame:
+    """``row_number`` per key in ``order``, or the running sum of ``weight``, with no task holding a whole key.
+
+    Rows are numbered inside (key, slice of a range) and shifted by the totals of the key's earlier slices. Keys are not null.
     """
-    keys = list(keys)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpoint(df.repartitionByRange(slices, *keys, order)).withColumn("_slice", F.spark_partition_id())
-    local = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)))
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
+    ranged = _sliced(df, keys, order)
+    amount = F.lit(1) if weight is None else F.col(weight)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranged.groupBy(*keys, "_slice").agg(F.sum(amount).alias("_n"))
     shift = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    local = ranged.withColumn(name, F.sum(amount).over(inside))
     return local.join(shift, [*keys, "_slice"]).withColumn(name, F.col(name) + F.col("_shift")).drop("_slice", "_shift")
 
 
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
+    """The last non-null ``value`` per key up to each row (or before it) in ``order``, with no task holding a whole key."""
+    keys, order = list(keys), list(order)
+    ranged = _sliced(df, keys, order)
+    end = Window.currentRow if inclusive else -1
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    closing = ranged.groupBy(*keys, "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias("_close"))
+    brought = closing.select(*keys, "_slice", F.last("_close", ignorenulls=True).over(before).alias("_brought"))
+    local = ranged.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    return local.join(brought, [*keys, "_slice"]).withColumn(name, F.coalesce(name, "_brought")).drop("_slice", "_brought")
+
+
 def rank_of(p: float, rule: str, n: Column) -> Column:
     """1-based rank of quantile ``p``: index ceil(n*p)-1 or floor(n*p)."""
     if rule == "ceil":
@@ -53,32 +67,19 @@ def rank_of(p: float, rule: str, n: Column) -> Column:
     raise ValueError(f"unknown percentile rule {rule}")
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float], rule: str, buckets: int = 1024) -> DataFrame:
-    """Exact order statistics per key without sorting a key in one task.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float], rule: str) -> DataFrame:
+    """Exact order statistics per key without sorting a key in one task, however its values are spread.
 
-    Equal values are folded to counts first. A histogram of fixed-width buckets
-    per key then tells which bucket holds each wanted rank, and only the values
-    of those buckets are ranked.
+    Equal values are folded to counts, the counts are summed over ranges of (key, value), and the value whose stretch holds a
+    wanted rank is picked.
     """
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    stats = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")).cast("double"))
-    bucket = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * (buckets - 1)), F.lit(0)).cast("int")
-    placed = counts.join(stats, keys).withColumn("_b", bucket)
-    cumulative = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    hist = hist.withColumn("_cum", F.sum("_bc").over(cumulative))
+    summed = rank_rows(counts, keys, value, "_cum", weight="_c")
+    totals = summed.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank_of(p, rule, F.col("_n")).alias("rank")) for name, p in ps.items()])
-    hits = hist.select(
-        *keys, "_b", (F.col("_cum") - F.col("_bc")).alias("_before"),
-        F.filter(wanted, lambda w: (w["rank"] <= F.col("_cum")) & (w["rank"] > F.col("_cum") - F.col("_bc"))).alias("_w"),
-    ).filter(F.size("_w") > 0)
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.select(*keys, "_b", value, "_c").join(hits, [*keys, "_b"]).withColumn("_cum", F.col("_before") + F.sum("_c").over(inside))
-    picked = ranked.select(*keys, value, "_cum", "_c", F.explode("_w").alias("w")).filter(
-        (F.col("w.rank") <= F.col("_cum")) & (F.col("w.rank") > F.col("_cum") - F.col("_c"))
-    )
+    hit = F.filter(wanted, lambda w: (w["rank"] <= F.col("_cum")) & (w["rank"] > F.col("_cum") - F.col("_c")))
+    picked = summed.join(totals, keys).select(*keys, value, F.explode(hit).alias("w"))
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("w.name") == n, F.col(value))).alias(n) for n in ps])
 
 
@@ -93,30 +94,21 @@ def sample_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[
     )
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, payload: Sequence[str], unit: str = "day") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, payload: Sequence[str]) -> DataFrame:
     """Latest ``right`` row at or before each ``left`` row of the same key.
 
-    Rows are windowed per (key, period); the last row of each earlier period is
-    carried in, so a hot key is spread over its periods.
+    Both sides are dealt into ranges of (key, time) and the last row of a key's earlier ranges is brought in, so a hot key is
+    spread evenly whatever its times. Of right rows at one time the one with the largest payload counts.
     """
-    period = lambda c: F.date_trunc(unit, F.col(c))
     cargo = F.struct(F.col(right_ts).alias("_at"), *payload)
-    r = right.select(key, F.col(right_ts).alias("_ts"), period(right_ts).alias("_period"), cargo.alias("_v"))
-    l = left.withColumn("_ts", F.col(left_ts)).withColumn("_period", period(left_ts))
-    closing = r.groupBy(key, "_period").agg(F.max_by("_v", "_ts").alias("_close"))
-    periods = l.select(key, "_period").distinct().join(closing, [key, "_period"], "full_outer")
-    w = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    carry = periods.withColumn("_carry", F.last("_close", ignorenulls=True).over(w)).select(key, "_period", "_carry")
+    r = right.groupBy(F.col(key), F.col(right_ts).alias("_ts")).agg(F.max(cargo).alias("_v")).filter(F.col(key).isNotNull())
     row = F.struct(*left.columns)
-    events = l.select(key, "_ts", "_period", F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), row.alias("_l")).unionByName(
-        r.select(key, "_ts", "_period", "_v", F.lit(None).cast(l.select(row.alias("x")).schema["x"].dataType).alias("_l"))
-    )
-    within = Window.partitionBy(key, "_period").orderBy("_ts", F.col("_l").isNotNull()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    seen = events.withColumn("_seen", F.last("_v", ignorenulls=True).over(within)).filter(F.col("_l").isNotNull())
-    found = seen.join(carry, [key, "_period"], "left").withColumn("_m", F.coalesce("_seen", "_carry"))
-    return found.select("_l.*", F.col("_m._at").alias("as_of"), *[F.col(f"_m.{c}").alias(c) for c in payload])
+    lefts = left.select(F.col(key), F.col(left_ts).alias("_ts"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), row.alias("_l"), F.lit(1).alias("_side"))
+    kind = lefts.schema["_l"].dataType
+    both = lefts.filter(F.col(key).isNotNull()).unionByName(r.select(key, "_ts", "_v", F.lit(None).cast(kind).alias("_l"), F.lit(0).alias("_side")))
+    seen = carry_forward(both, [key], ["_ts", "_side"], "_v", "_m").filter("_side = 1").select("_l", "_m")
+    unkeyed = lefts.filter(F.col(key).isNull()).select("_l", F.col("_v").alias("_m"))
+    return seen.unionByName(unkeyed).select("_l.*", F.col("_m._at").alias("as_of"), *[F.col(f"_m.{c}").alias(c) for c in payload])
 
 
 def by_priority(df: DataFrame, label: str, order: Sequence[str], *rest: str) -> DataFrame:

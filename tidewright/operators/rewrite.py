@@ -38,7 +38,8 @@ def change_rows(usages: DataFrame) -> DataFrame:
         .when(F.col("replacement").isNotNull(), "field-rename")
     )
     rows = usages.withColumn("type", kind).filter("type IS NOT NULL")
-    return rows.select("id", "pos", "path", "type", F.col("field_name").alias("old"), F.col("replacement").alias("new"), "reason")
+    at = ["at"] if "at" in usages.columns else []
+    return rows.select("id", "pos", *at, "path", "type", F.col("field_name").alias("old"), F.col("replacement").alias("new"), "reason")
 
 
 def nested_selection(path: Column) -> Column:
@@ -77,6 +78,36 @@ def rewrite(ops: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def rewrite_at(ops: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edits each operation's text at the offsets (``at``) of its changed fields and nowhere else.
+
+    Changes come from :func:`change_rows` over typed usages, so a name in an operation's name, a variable, an argument, a comment or
+    under another type stays. Edits go from the last offset to the first. A field to be commented out goes with its line and leaves a
+    note on top; if it shares its line it stays and the operation is flagged ``needs_review``.
+    """
+    per_op = changes.groupBy("id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("at", "type", "old", "new", "reason")))).alias("_c"))
+    joined = ops.select("id", F.col("content").alias("original")).join(per_op, "id", "left")
+    state = lambda text, notes, left: F.struct(text.alias("text"), notes.alias("notes"), left.alias("left"))
+
+    def step(acc, c):
+        head, tail = F.substring(acc["text"], F.lit(1), c["at"]), F.substring(acc["text"], c["at"] + F.length(c["old"]) + 1, F.length(acc["text"]))
+        value = F.when(c["type"] == "nested-replacement", nested_selection(c["new"])).otherwise(c["new"])
+        own_line = head.rlike(r"(\A|\n)[ \t]*\z") & tail.rlike(r"\A[ \t]*(\n|\z)")
+        note = F.concat(F.lit("# DEPRECATED: "), c["old"], F.lit(" - "), F.coalesce(c["reason"], F.lit("Deprecated field")), F.lit("\n"))
+        dropped = F.concat(F.regexp_replace(head, r"[ \t]*\z", ""), F.regexp_replace(tail, r"\A[ \t]*\n?", ""))
+        renamed = state(F.concat(head, F.coalesce(value, F.lit("")), tail), acc["notes"], acc["left"])
+        gone = state(dropped, F.concat(note, acc["notes"]), acc["left"])
+        kept = state(acc["text"], acc["notes"], acc["left"] + 1)
+        return F.when(c["type"] != "comment-out", renamed).when(own_line, gone).otherwise(kept)
+
+    none = F.array().cast("array<struct<at:int,type:string,old:string,new:string,reason:string>>")
+    edits = F.coalesce(F.col("_c"), none)
+    folded = joined.withColumn("_r", F.aggregate(edits, state(F.col("original"), F.lit(""), F.lit(0)), step))
+    return folded.select(
+        "id", "original", F.concat("_r.notes", "_r.text").alias("transformed"), (F.size(edits) - F.col("_r.left")).alias("applied"),
+        (F.col("_r.left") > 0).alias("needs_review"))
+
+
 def changes_type() -> str:
     return "array<struct<pos:int,type:string,old:string,new:string,reason:string>>"
 

@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import checkpoint
+
 
 def field_counts(access: DataFrame, *keys: str) -> DataFrame:
-    return access.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses"))
+    """Uses per key, of single accesses or of folded ones."""
+    uses = F.sum("uses") if "uses" in access.columns else F.count(F.lit(1))
+    return access.groupBy(*keys).agg(uses.alias("uses"))
 
 
 def top_fields(access: DataFrame, k: int = 20) -> DataFrame:
@@ -42,8 +46,15 @@ def variations(access: DataFrame, mapped: Column | None = None) -> DataFrame:
     )
 
 
+def folded(access: DataFrame, *extra: str) -> DataFrame:
+    """The fact folded once to distinct shapes with their ``uses``, stored for the branches of a report."""
+    keys = ["normalized", "field", "entity_type", "access_method", *extra]
+    return checkpoint(access.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses")))
+
+
 def usage_report(access: DataFrame, k_fields: int = 20, k_entity: int = 10) -> DataFrame:
-    """The report as one long table: section, group, item, value."""
+    """The report as one long table: section, group, item, value. The fact is read once."""
+    access = folded(access)
     fields = top_fields(access, k_fields).select(
         F.lit("top_fields").alias("section"), F.lit("").alias("grp"), F.col("normalized").alias("item"), "uses"
     )
@@ -96,13 +107,12 @@ def access_share(access: DataFrame, category: Column) -> DataFrame:
 
 
 def data_dictionary(access: DataFrame, category: Column) -> DataFrame:
-    """One row per field; the user list itself is ``dictionary_users``."""
+    """One row per field; the user list itself is ``dictionary_users``. The fact is read once."""
+    access = folded(access, "unit")
     users = units_per_field(access)
-    shapes = access.select("normalized", "entity_type", "access_method", "field").distinct().groupBy("normalized").agg(
-        *[
-            F.sort_array(F.collect_set(source)).alias(name)
-            for source, name in (("entity_type", "entities"), ("access_method", "methods"), ("field", "spellings"))
-        ]
+    shapes = access.groupBy("normalized").agg(
+        F.sort_array(F.collect_set("entity_type")).alias("entities"), F.sort_array(F.collect_set("access_method")).alias("methods"),
+        (F.min("field") != F.max("field")).alias("has_variations"),
     )
     merged = users.withColumnRenamed("units", "used_by").join(shapes, "normalized")
     return merged.select(
@@ -111,7 +121,7 @@ def data_dictionary(access: DataFrame, category: Column) -> DataFrame:
         "used_by",
         F.array_join("entities", ",").alias("entities"),
         F.array_join("methods", ",").alias("methods"),
-        (F.size("spellings") > 1).alias("has_variations"),
+        "has_variations",
     )
 
 
@@ -120,17 +130,19 @@ def dictionary_users(access: DataFrame) -> DataFrame:
 
 
 def unique_fields(access: DataFrame, category: Column, sub: Column, dtype: Column, top: int = 20) -> DataFrame:
+    """The ``top`` fields by units, with the first three spellings. The fact is read once."""
+    access = folded(access, "unit")
     users = dictionary_users(access).groupBy("normalized").agg(F.count(F.lit(1)).alias("units"))
-    shapes = access.select("normalized", "field", "entity_type").distinct().groupBy("normalized").agg(
-        F.sort_array(F.collect_set("field")).alias("raw"),
-        F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entities"),
-    )
+    entities = access.groupBy("normalized").agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entities"))
+    spellings = access.select("normalized", "field").distinct()
+    counts = spellings.groupBy("normalized").agg(F.count(F.lit(1)).alias("variation_count"))
+    rank = F.row_number().over(Window.partitionBy("normalized").orderBy("field"))
+    firsts = spellings.withColumn("_r", rank).filter("_r <= 3").groupBy("normalized").agg(F.array_join(F.sort_array(F.collect_list("field")), ",").alias("examples"))
     return (
-        users.join(shapes, "normalized")
+        users.join(entities, "normalized").join(counts, "normalized").join(firsts, "normalized")
         .select(
             "normalized", category.alias("category"), sub.alias("subcategory"), dtype.alias("dtype"), "units",
-            F.size("raw").cast("bigint").alias("variation_count"),
-            F.array_join(F.slice("raw", 1, 3), ",").alias("examples"), "entities",
+            "variation_count", "examples", "entities",
         )
         .orderBy(F.desc("units"), "normalized")
         .limit(top)
@@ -150,7 +162,8 @@ def usage_bands(access: DataFrame) -> DataFrame:
 
 
 def field_flags(access: DataFrame, critical_share: float = 0.5, shared_min: int = 10, spread: int = 2) -> DataFrame:
-    """critical: over half of the units; shared: >=10; rare: one; inconsistent: >2 spellings."""
+    """critical: over half of the units; shared: >=10; rare: one; inconsistent: >2 spellings. The fact is read once."""
+    access = folded(access, "unit")
     users = units_per_field(access)
     spell = access.select("normalized", "field").distinct().groupBy("normalized").agg(
         F.count(F.lit(1)).alias("spellings")
