@@ -86,21 +86,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """For rows (_id, _dup, n_chars): the row before each in descending order of id, the last one before the first.
+    """For rows (_id, _key, _dup, n_chars): the row before each in descending order of id, the last one before the first.
 
-    Returns (_nid, _ndup, _tid, _tdup, _tchars): row (_nid, _ndup) is the next document of row (_tid, _tdup). Only ids are
-    sorted, over ranges; the ranges' last rows (one per range) carry the order across their borders.
+    Returns (_nkey, _ndup, _tid, _tkey, _tdup, _tchars): row (_nkey, _ndup) is the next document of row (_tkey, _tdup). Only ids
+    are sorted, over ranges; the ranges' last rows (one per range) carry the order across their borders.
     """
     order = [F.col("_id").desc(), F.col("_dup")]
-    ranged = range_ordered(docs.select("_id", "_dup", "n_chars"), *order)
-    row = F.struct(F.col("_id"), F.col("_dup"), F.col("n_chars"))
-    last = ranged.groupBy("_part").agg(F.min(F.struct(F.col("_id"), (-F.col("_dup")).alias("_neg"), F.col("_dup"), F.col("n_chars"))).alias("_last"))
+    names = ("_id", "_key", "_dup", "n_chars")
+    ranged = range_ordered(docs.select(*names), *order)
+    last = ranged.groupBy("_part").agg(F.min(F.struct("_id", (-F.col("_dup")).alias("_neg"), "_key", "_dup", "n_chars")).alias("_last"))
     parts, everything = Window.orderBy("_part"), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     border = last.select(F.col("_part").alias("_border"), F.coalesce(F.lag("_last").over(parts), F.last("_last").over(everything)).alias("_before"))
-    inside = ranged.withColumn("_lag", F.lag(row).over(Window.partitionBy("_part").orderBy(*order)))
+    inside = ranged.withColumn("_lag", F.lag(F.struct(*names)).over(Window.partitionBy("_part").orderBy(*order)))
     joined = inside.join(border, F.col("_part") == F.col("_border"), "left")
-    pick = {k: F.when(F.col("_lag").isNull(), F.col(f"_before.{k}")).otherwise(F.col(f"_lag.{k}")) for k in ("_id", "_dup", "n_chars")}
-    return joined.select(F.col("_id").alias("_nid"), F.col("_dup").alias("_ndup"), pick["_id"].alias("_tid"), pick["_dup"].alias("_tdup"), pick["n_chars"].alias("_tchars"))
+    pick = [F.when(F.col("_lag").isNull(), F.col(f"_before.{k}")).otherwise(F.col(f"_lag.{k}")).alias(n) for k, n in zip(names, ("_tid", "_tkey", "_tdup", "_tchars"), strict=True)]
+    return joined.select(F.col("_key").alias("_nkey"), F.col("_dup").alias("_ndup"), *pick)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,28 +111,27 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text's hash, equal rows follow each other; a null id comes last; a single document is its own next; an empty table gives
     an empty result. Texts are shuffled once by id, and once more only as far as the neighbour's half needs them.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
-    same_id = Window.partitionBy("_id").orderBy("_hash")
+    ident = F.col(f"`{id_col}`")
+    key = F.coalesce(F.concat(F.lit("="), ident.cast("string")), F.lit(""))  # never null, so that joins keep its partitioning
+    base = docs.select(ident.alias("_id"), key.alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    same_id = Window.partitionBy("_key").orderBy("_hash")
+    n_chars = F.char_length("_text").cast("bigint")
 
-    def numbered(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_dup", F.row_number().over(same_id) - 1)
-
-    narrow = numbered(base.select("_id", F.xxhash64("_text").alias("_hash"), F.char_length("_text").cast("bigint").alias("n_chars")))
+    narrow = base.select("_id", "_key", F.xxhash64("_text").alias("_hash"), n_chars.alias("n_chars")).withColumn("_dup", F.row_number().over(same_id) - 1)
     order = next_documents(narrow)
-    full = add_fingerprint(base, "_text", "_fp").withColumn("_hash", F.xxhash64("_text")).withColumn("n_chars", F.char_length("_text").cast("bigint"))
-    full = numbered(full)
-    # the row number is compared beside the join key, so that both joins keep the texts' one partitioning by id
-    mine = F.col("_id").eqNullSafe(F.col("_nid")) & ((F.col("_dup") - F.col("_ndup")) == 0)
+    # both uses read the same three columns, so that one shuffle of the texts serves both
+    full = add_fingerprint(base.select("_key", "_text"), "_text", "_fp").repartition("_key")
+    full = full.withColumn("_hash", F.xxhash64("_text")).withColumn("_dup", F.row_number().over(same_id) - 1)
+    mine = (F.col("_key") == F.col("_nkey")) & ((F.col("_dup") - F.col("_ndup")) == 0)
     heads = full.join(order, mine).select(
-        "_tid", "_tdup", F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_tchars") / 2).cast("int")).alias("_head"), F.col("_fp").alias("_next_fp"))
-    theirs = F.col("_id").eqNullSafe(F.col("_tid")) & ((F.col("_dup") - F.col("_tdup")) == 0)
-    joined = full.join(heads, theirs)
-    kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
-    joined = joined.select("_id", "n_chars", "_fp", "_next_fp", F.concat(F.substring(F.col("_text"), F.lit(1), kept), F.col("_head")).alias("_edited"))
+        "_tid", "_tkey", "_tdup", F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_tchars") / 2).cast("int")).alias("_head"), F.col("_fp").alias("_next_fp"))
+    theirs = (F.col("_key") == F.col("_tkey")) & ((F.col("_dup") - F.col("_tdup")) == 0)
+    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 2)
+    joined = full.join(heads, theirs).withColumn("n_chars", n_chars)
+    joined = joined.select("_tid", "n_chars", "_fp", "_next_fp", F.concat(F.substring(F.col("_text"), F.lit(1), kept.cast("int")), F.col("_head")).alias("_edited"))
     scored = add_fingerprint(joined, "_edited", "_edited_fp")
     return scored.select(
-        F.col("_id").alias(id_col), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+        F.col("_tid").alias(id_col), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
         packed(F.col("_fp")).alias("fingerprint"), packed(F.col("_edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("_fp"), F.col("_edited_fp")).alias("near_edited"), likeness(F.col("_fp"), F.col("_next_fp")).alias("near_next"),
     )
