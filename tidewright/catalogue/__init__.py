@@ -3,6 +3,7 @@
 from tidewright.catalogue import (  # noqa: F401
     catalog_queries,
     extraction_queries,
+    file_queries,
     flow_queries,
     grouping_queries,
     health_queries,

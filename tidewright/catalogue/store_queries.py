@@ -58,14 +58,3 @@ def read_rules(spark, sf):
     p = table(spark, sf, "part")
     docs = p.select("p_type", F.to_json(F.create_map("p_type", F.array(F.struct(F.col("p_name").alias("name"), reason.alias("deprecationReason"))))).alias("content"))
     return files.parse_rules(docs, "content", root="PROMO").distinct()
-
-
-@query("scan_corpus")
-def scan_corpus(spark, sf):
-    return files.scan_corpus(spark, sf, include="*.parquet", on_error="quarantine")[1].select("path", "size", "error")
-
-
-@query("scan_corpus_globs")
-def scan_corpus_globs(spark, sf):
-    good, bad = files.scan_corpus(spark, sf, include=["p*.parquet", "*s.parquet"], ignore=(r"/pages\.",), on_error="quarantine")
-    return good.select("path", "size").unionByName(bad.select("path", "size"))

@@ -22,21 +22,22 @@ def replay(spark, sf):
     )
 
 
-@query("stream_health", f"""WITH {CALLS}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM calls), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, op, count(*) AS total, count_if(NOT ok) AS errors FROM calls GROUP BY 1, 2)
- SELECT epoch_ms(s) // 1000 AS window_start, op, total, errors FROM w, m WHERE s + INTERVAL 1 HOUR <= wm""")
+@query("stream_health", f"""WITH {CALLS}, m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM calls), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, op, count(*) AS total, count_if(NOT ok) AS errors, CAST(quantile_disc(latency, 0.99) AS BIGINT) AS p99, max(ts) FILTER (WHERE NOT ok) AS bad FROM calls GROUP BY 1, 2)
+ SELECT epoch_ms(s) // 1000 AS window_start, op, total, errors, p99, CASE WHEN total < 100 THEN 'healthy' WHEN errors::DOUBLE / total > 0.01 THEN 'unhealthy' WHEN p99 > 2000 THEN 'degraded' ELSE 'healthy' END AS status FROM w, m WHERE s + INTERVAL 1 HOUR <= wm""")
 def stream_health(spark, sf):
     out = J.run_to_table(J.health_windows(replay(spark, sf), "1 hour"), "health")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "op", "total", "errors")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "op", "total", "errors", F.col("p99").cast("bigint").alias("p99"), "status")
 
 
 @query("stream_arm_windows", f"""WITH {CALLS}, h AS (SELECT *, list_reduce(list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)), lambda a, b: (a * 31 + b) % 4294967296, 0::BIGINT) AS u FROM calls),
  a AS (SELECT *, CASE WHEN abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 100 < 30 THEN 'variant' ELSE 'control' END AS arm FROM h), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM calls),
- w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * o AS s, op AS experiment, arm, ok FROM a, (VALUES (0), (1)) t(o))
- SELECT epoch_ms(s) // 1000 AS window_start, experiment, count_if(arm = 'variant') AS variant_requests, count_if(arm = 'variant' AND NOT ok) AS variant_errors FROM w, m WHERE s + INTERVAL 2 HOUR <= wm GROUP BY 1, 2""")
+ w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * o AS s, op AS experiment, arm, ok, latency FROM a, (VALUES (0), (1)) t(o))
+ SELECT epoch_ms(s) // 1000 AS window_start, experiment, count_if(arm = 'variant') AS variant_requests, count_if(arm = 'variant' AND NOT ok) AS variant_errors,
+  coalesce(count_if(arm = 'variant' AND NOT ok)::DOUBLE / nullif(count_if(arm = 'variant'), 0), 0) > 0.05 OR coalesce(avg(latency) FILTER (WHERE arm = 'variant') / avg(latency) FILTER (WHERE arm = 'control') > 2.0, false) AS roll_back FROM w, m WHERE s + INTERVAL 2 HOUR <= wm GROUP BY 1, 2""")
 def stream_arm_windows(spark, sf):
     calls = replay(spark, sf).withColumn("experiment", F.col("op")).withColumn("arm", assign_arm(F.col("event_id").cast("string"), F.lit(30)))
     out = J.run_to_table(J.arm_windows(calls, "2 hours", "1 hour"), "arms")
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "experiment", "variant_requests", "variant_errors")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "experiment", "variant_requests", "variant_errors", "roll_back")
 
 
 @query("stream_last_samples", f"""WITH {CALLS}, l AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY ts DESC, event_id DESC) AS r FROM calls)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks join strategies from measured sizes and splits skewed partitions,
@@ -13,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -24,7 +30,31 @@ def build_session(master: str | None = None, name: str = "tidewright", **extra:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hands this package to the executors, once per application, so that its functions run there from any folder.
+
+    Spark copies the archive from the driver to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewright_shipped", None) is not None:
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    # the folder lives as long as the driver: executors that start later fetch the archive from it through Spark
+    sc._tidewright_shipped = tempfile.TemporaryDirectory(prefix="tidewright-")
+    path = os.path.join(sc._tidewright_shipped.name, "tidewright.zip")
+    with open(path, "wb") as out:
+        out.write(data.getvalue())
+    sc.addPyFile(path)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,8 +6,6 @@ Inputs are streams of ``event_id, ts, op, ok, latency[, arm, experiment]`` with
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewright.operators import health as H
 from tidewright.operators.experiments import ERROR_LIMIT, LATENCY_LIMIT
+from tidewright.session import shared_folder
 
 LATE = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,7 +33,7 @@ def health_windows(events: DataFrame, width: str = "1 minute", late: str = LATE)
     agg = rows.groupBy(F.window("ts", width).alias("w"), "op").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("ok")).alias("errors"),
         F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_error"),
-        F.percentile_approx("latency", F.lit(0.99), F.lit(10000)).alias("p99"),
+        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY latency)").alias("p99"),
     )
     found = H.issues(F.col("total"), F.col("errors"), F.col("p99"), F.col("last_error"), F.col("w.end"))
     return agg.select(
@@ -156,12 +155,7 @@ def incremental_corpus(current: DataFrame, manifest: DataFrame) -> tuple[DataFra
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="tidewright-stream-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
