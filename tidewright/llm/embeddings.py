@@ -16,6 +16,7 @@ from tidewright.llm.components import connected_components
 from tidewright.session import checkpoint
 
 SHARED = 12.0  # filters that two vectors at the threshold share on average
+TABLES = 8  # independent code books; filters of one book share code words, so their misses go together
 PER_CAP = 4.0  # vectors of random directions in one cap
 CHUNK = 1024
 
@@ -25,8 +26,8 @@ def _beyond(t: float) -> float:
 
 
 def cap_plan(vectors: int, cosine: float, shared: float = SHARED, per_cap: float = PER_CAP) -> tuple[float, int]:
-    """(height of the caps, code words per half): caps as high as leaves ``per_cap`` of the vectors in each, and so many of them that
-    two vectors at the threshold meet in ``shared``."""
+    """(height of the caps, code words per half and book): caps as high as leaves ``per_cap`` of the vectors in each, and so many of
+    them that two vectors at the threshold meet in ``shared``."""
     low, high = 1.5, 40.0
     while high - low > 1e-9:
         mid = (low + high) / 2
@@ -35,10 +36,10 @@ def cap_plan(vectors: int, cosine: float, shared: float = SHARED, per_cap: float
     rest = math.sqrt(max(1 - cosine * cosine, 1e-12))
     tails = np.array([_beyond((low - cosine * v) / rest) for v in x])
     both = np.trapezoid(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * tails, x)
-    return low, max(2, math.ceil(math.sqrt(shared / both)))
+    return low, max(2, math.ceil(math.sqrt(shared / both / TABLES)))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=4 * TABLES)
 def _codes(dim: int, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Random code words for either half of the components; the sum of one of each is a filter direction."""
     return tuple(np.random.default_rng([seed, dim, half]).standard_normal((words, width)) for half, width in enumerate((dim // 2, dim - dim // 2)))
@@ -50,16 +51,17 @@ def caps_of(unit: np.ndarray, height: float, words: int, seed: int) -> list[np.n
     A filter is a pair of code words and its product the sum of the halves' products, so that only words that can still reach
     the height with the best partner are combined.
     """
-    left, right = _codes(unit.shape[1], words, seed)
-    out = []
-    for a, b in zip(unit[:, :left.shape[1]] @ left.T, unit[:, left.shape[1]:] @ right.T, strict=True):
-        order = np.argsort(-b)
-        falling = -b[order]
-        able = np.flatnonzero(a - falling[0] >= height)
-        reach = np.searchsorted(falling, a[able] - height, side="right")
-        partner = order[np.concatenate([np.arange(r) for r in reach])] if len(able) else np.zeros(0, np.int64)
-        out.append(np.sort(np.repeat(able, reach) * words + partner))
-    return out
+    out = [[] for _ in unit]
+    for book in range(TABLES):
+        left, right = _codes(unit.shape[1], words, seed + book)
+        for held, a, b in zip(out, unit[:, :left.shape[1]] @ left.T, unit[:, left.shape[1]:] @ right.T, strict=True):
+            order = np.argsort(-b)
+            falling = -b[order]
+            able = np.flatnonzero(a - falling[0] >= height)
+            reach = np.searchsorted(falling, a[able] - height, side="right")
+            partner = order[np.concatenate([np.arange(r) for r in reach])] if len(able) else np.zeros(0, np.int64)
+            held.append(np.sort((book * words + np.repeat(able, reach)) * words + partner))
+    return [np.concatenate(held) for held in out]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
