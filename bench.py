@@ -21,7 +21,7 @@ HEADLINE = (
     "rewrite_operations", "confidence_score", "semantic_check",
     "compare_snapshots", "diff_rows", "verify_repairs", "line_diff",
     "operation_health", "percentile_ceil_rule", "arm_metrics", "significance", "rollout_state", "latest_checkpoint_as_of",
-    "upsert_snapshots", "stream_health",
+    "upsert_snapshots", "stream_health", "mine_usages", "rewrite_typed", "apply_rule_lookup", "resolve_templates", "inline_references_in_place",
 )
 
 
@@ -38,7 +38,7 @@ def main() -> None:
     took: dict[str, float] = {}
     for name in names:
         runs = []
-        for _ in range(2):
+        for _ in range(3):
             start = time.perf_counter()
             QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)

@@ -173,3 +173,41 @@ def test_word_diff_rebuilds_the_new_text(spark):
             toks[r["token_no"]:r["token_no"] + len(gone)] = [r["new_text"]] if r["new_text"] else []
         assert "".join(toks) == new
     assert not [r for r in out if r["id"] == 2]
+
+
+def test_missing_data_on_one_side_fails_the_gate(spark):
+    from tidewright.operators import diff as D
+
+    base = spark.createDataFrame([(1, '{"a":1}'), (2, None), (3, None), (4, "null"), (5, '{"a":1}')], "id int, data string")
+    cand = spark.createDataFrame([(1, None), (2, '{"a":1}'), (3, None), (4, None), (5, "null")], "id int, data string")
+    got = {r["id"]: r for r in D.compare_pairs(D.pair_snapshots(base, cand)).collect()}
+    assert {i for i, r in got.items() if r["identical"]} == {3, 4}
+    assert all([(d["path"], d["type"]) for d in got[i]["diffs"]] == [("data", "null-mismatch")] for i in (1, 2, 5))
+
+
+def test_nulls_are_stripped_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import diff as D
+
+    cases = [
+        ('{"k":1,"t":null,"other":{"z":2}}', '{"k":1,"other":{"z":2}}'), ('{"a":null}', "{}"), ('{"a":null,"b":null,"c":[null,{"d":null}]}', '{"c":[null,{}]}'),
+        ('{"a":"x\\": null, y","b":null}', '{"a":"x\\": null, y"}'), ('{"a":nullable}', '{"a":nullable}'),
+    ]
+    rows = spark.createDataFrame(cases, "j string, want string").withColumn("got", D.strip_nulls(F.col("j"))).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_comparators_see_types_and_nesting(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import comparators
+
+    cases = [
+        ("array-unordered", "[1,2]", "[2,1]", "array", True), ("array-unordered", "[1]", '["1"]', "array", False),
+        ("deep-partial", '{"a":{"x":1,"y":2}}', '{"a":{"x":1}}', "object", True), ("deep-partial", '[{"x":1,"y":2},3]', '[{"x":1}]', "array", True),
+        ("deep-partial", '{"a":{"x":1}}', '{"a":{"x":"1"}}', "object", False), ("deep-partial", "[]", "[1]", "array", False),
+    ]
+    for name, a, b, kind, want in cases:
+        row = spark.range(1).select(comparators.build(name)(F.lit(a), F.lit(b), F.lit(kind), F.lit(kind)).alias("r")).first()
+        assert row["r"] is want, (name, a, b)

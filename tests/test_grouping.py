@@ -100,3 +100,24 @@ def test_groups_partition_the_operations(spark, sets):
     df = spark.createDataFrame([(i, "query", s) for i, s in rows], "id int, kind string, items array<int>")
     got = {r["id"]: r["leader"] for r in G.group_similar(df).collect()}
     assert got == greedy(rows)
+
+
+def test_inlining_keeps_cycles_and_moves_directives(spark):
+    ops = spark.createDataFrame([(1, "{ a { ...A @include(if: $v) } }"), (2, "{ ...C ...A }")], "id int, content string")
+    fragments = spark.createDataFrame([(1, "A", "T", "x ...B", ""), (2, "B", "U", "y(k: $k) ...A", ""), (3, "C", "V", "z ...C", "")], "seq int, name string, type_name string, body string, content string")
+    got = {r["id"]: r["content"] for r in G.inline_references(ops, fragments, mode="inline").collect()}
+    assert got[1] == "{ a { ... on T @include(if: $v) { x ... on U { y(k: $k) ...A } } } }"
+    assert got[2] == "{ ... on V { z ...C } ... on T { x ... on U { y(k: $k) ...A } } }"
+
+
+def test_closure_follows_any_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0)], "src int, dst int")
+    reach = G.reference_closure(edges, spark.createDataFrame([(0,)], "node int"))
+    assert reach.count() == 13
+
+
+def test_many_switches_expand_to_all_combinations(spark):
+    ops = spark.createDataFrame([(1, "x")], "id int, content string")
+    switches = spark.createDataFrame([(1, i, f"v{i}", ["true", "false"]) for i in range(13)], "id int, seq int, variable string, choices array<string>")
+    rows = G.expand_variants(ops, switches)
+    assert rows.count() == 1 << 13 and rows.select("condition").distinct().count() == 1 << 13

@@ -126,7 +126,7 @@ def test_threshold_prefers_exact_name(spark):
     )
     ev = spark.createDataFrame([(1, "abc"), (2, "abcd"), (3, "zz")], "event_id int, op string")
     got = {r["op"]: r["warn_ms"] for r in H.attach_thresholds(ev, th).collect()}
-    assert got == {"abc": 10, "abcd": 1}
+    assert got == {"abc": 10, "abcd": 1, "zz": None}
 
 
 def test_rank_rows_spreads_one_hot_key(spark):
