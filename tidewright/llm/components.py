@@ -19,7 +19,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     pairs = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     nodes = checkpoint(nodes)
-    before = None
     while True:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
@@ -27,10 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         pairs = checkpoint(small.filter("u <> v").distinct())
-        # sums of hashes tell whether the set of edges still changes
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when all edges lead to roots: every node has one edge, and no node that is led to has one itself
+        led_to = pairs.select(F.col("v").alias("_v")).distinct()
+        degree = pairs.groupBy("u").agg(F.count("*").alias("_n"))
+        if degree.join(led_to, F.col("u") == F.col("_v"), "left").filter("_n > 1 OR _v IS NOT NULL").isEmpty():
             break
-        before = now
     found = pairs.groupBy("u").agg(F.min("v").alias("comp"))
     return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("comp", "node").alias("comp"))
