@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,8 +105,36 @@ def remap_json(df: DataFrame, col: str, renames: Sequence[tuple[str, str]], head
     return df.withColumn(col, remap(F.col(col)))
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and every head of ``y``, one row of memory."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for t in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == t)))
+    return row
+
+
+def common_steps(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, in order, in memory linear in the lengths.
+
+    ``x`` is halved and ``y`` cut where the halves' lengths add up best; parts wait on a stack, the earliest on top.
+    """
+    parts = [(0, len(x), 0, len(y))]
+    while parts:
+        a, b, c, d = parts.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            hits = np.flatnonzero(y[c:d] == x[a])
+            if len(hits):
+                yield a, c + int(hits[0])
+            continue
+        mid = (a + b) // 2
+        cut = c + int(np.argmax(_lengths(x[a:mid], y[c:d]) + _lengths(x[mid:b][::-1], y[c:d][::-1])[::-1]))
+        parts += [(mid, b, cut, d), (a, mid, c, cut)]
+
+
 def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
-    """Token-level changes by longest common subsequence: one row per change."""
+    """Token-level changes by longest common subsequence: one row per change. Memory is linear in the texts of a pair."""
     split = re.compile(TOKEN_PATTERN)
 
     def blocks(a, b):
@@ -116,23 +145,10 @@ def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
         while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
             ha, hb = ha - 1, hb - 1
         x, y = a[lo:ha], b[lo:hb]
-        table = [[0] * (len(y) + 1)]
-        for t in x:
-            prev, row = table[-1], [0]
-            for j, u in enumerate(y, 1):
-                row.append(prev[j - 1] + 1 if t == u else max(prev[j], row[j - 1]))
-            table.append(row)
-        i, j, kept = len(x), len(y), []
-        while i and j:
-            if x[i - 1] == y[j - 1]:
-                i, j = i - 1, j - 1
-                kept.append((i, j))
-            elif table[i - 1][j] > table[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
+        numbers = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
+        kept = list(common_steps(np.array([numbers[t] for t in x], np.int64), np.array([numbers[t] for t in y], np.int64)))
         i = j = 0
-        for p, q in kept[::-1] + [(len(x), len(y))]:
+        for p, q in kept + [(len(x), len(y))]:
             if p > i or q > j:
                 yield lo + i, x[i:p], y[j:q]
             i, j = p + 1, q + 1
