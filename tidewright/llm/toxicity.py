@@ -59,7 +59,7 @@ def _swaps(terms: tuple[tuple[str, ...], ...]) -> dict[str, str]:
 
 def counterfactual(text: str, swaps: dict[str, str]) -> str | None:
     """The text with every identity term replaced by the next of its group; None if it names none."""
-    found = re.compile(rf"(?<!\\w)(?:{'|'.join(sorted(map(re.escape, swaps), key=len, reverse=True))})(?!\\w)", re.IGNORECASE) if swaps else None
+    found = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, swaps), key=len, reverse=True))})(?!\w)", re.IGNORECASE) if swaps else None
     changed, n = found.subn(lambda m: swaps[m[0].lower()], text) if found else (text, 0)
     return changed if n else None
 
@@ -125,7 +125,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], penalty: float =
             swapped, owner_swapped, other = line([rows[mine[k]][2] for k in twins])
             gap = penalty * 2 * (score[twins] - other) / len(mine)
             np.add.at(push, twins, gap)
-            step = np.bincount(flat, weights=push[owner], minlength=len(weights)) + np.bincount(swapped, weights=-gap[owner_swapped], minlength=len(weights))
+            step = np.zeros(len(weights))
+            step += np.bincount(flat, weights=push[owner], minlength=len(weights))
+            step -= np.bincount(swapped, weights=gap[owner_swapped], minlength=len(weights))
             step[-1] = push.sum() - gap.sum()
             step[:-1] += decay * weights[:-1]
             grown += step * step
