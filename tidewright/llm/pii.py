@@ -12,18 +12,19 @@ _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "Mademoiselle", "Mlle", "госпожа", "г-жа")
 _NEUTRAL = ("Dr", "Prof")
 _TITLE = "(?:" + "|".join(sorted((*_MALE, *_FEMALE, *_NEUTRAL), key=len, reverse=True)) + r")\.?"
-# Alternatives are tried in this order at each place; each starts with a test that fails at once inside ordinary words.
+# Alternatives are tried in this order at each place. Each begins with a look at one character, which fails at once inside ordinary
+# words; only e-mail addresses can begin with any letter.
 PATTERNS = {
-    "secret": rf"(?<![\p{{L}}\p{{N}}_])(?i:{_LABEL})\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"']{{6,200}}",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
-    "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
+    "secret": rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}_])(?i:{_LABEL})\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"']{{6,200}}",
+    "email": r"(?=[^\s])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
+    "key": r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
+    "ssn": r"(?=[0-9])(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
+    "phone": r"(?=[0-9+(])(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
+    "card": r"(?=[0-9])(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
+    "name": rf"(?=[MHFSDPг])(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Letters are replaced by letters of their own alphabet.
@@ -34,6 +35,12 @@ _CYRILLIC = ("ба", "ве", "го", "да", "же", "за", "ки", "ла", "л
 ATTEMPTS = 64
 
 
+def found_entities(text: Column) -> Column:
+    """All entities of a text in order. What every entity needs one of (a digit, an at sign, a label's sign, a title) is looked for first."""
+    may = text.rlike("[0-9]") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(rf"(?=[MHFSDPг]){_TITLE} \p{{Lu}}")
+    return F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
@@ -167,9 +174,9 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text_col: str = "
     ``n_entities`` is replaced. An empty table gives an empty result.
     """
     text, base = F.col(f"`{text_col}`"), docs.drop("n_entities")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    found = found_entities(text)
     digest = F.sha2(text.cast("binary"), 256)
-    holders = base.select(text.alias("_text")).withColumn("_found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).filter(F.size("_found") > 0)
+    holders = base.select(text.alias("_text")).withColumn("_found", found_entities(F.col("_text"))).filter(F.size("_found") > 0)
     holders = holders.select(F.sha2(F.col("_text").cast("binary"), 256).alias("_digest"), "_found").groupBy("_digest").agg(F.first("_found").alias("_found"))
     tokens = checkpoint(holders.select("_digest", F.explode(F.flatten(F.transform("_found", _tokens))).alias("t")).select("_digest", "t.*"))
     again = _settle(checkpoint(tokens.select("kind", "value").distinct()), key)
