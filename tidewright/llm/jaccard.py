@@ -21,6 +21,7 @@ SPLITS = (5.0, 2.5, 1.25, 0.0)
 CHUNK = 2048  # members of a subspace cell that meet in one step
 FILTER_BITS = 1 << 27  # size of the filter of wanted sets, whatever their number
 SEEN = 1 << 16
+LEAF = 24  # members of a cell that need no tree
 
 
 def token_sets(part: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -40,14 +41,16 @@ def subspace_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the set's points in subspaces: linked sets share at least one.
 
     The tokens' space is cut into subspaces by hash, so many that one holds ``split`` tokens of a set of this size class on
-    average at most. In a subspace a set is the point of its group counts, with groups so fine that each token has its own; a key is one
-    such point. A set of n tokens differs from a linked one in at most n * (100 - percent) / percent tokens (the most, with the largest
-    partner), hence in at most as many subspaces. A set with more occupied subspaces than that could differ in from any partner is served: some point of
-    its own is the partner's as well. Of those it needs only the fullest, down to the largest count s for which more
-    subspaces hold s tokens or more. As shared points hold equally many tokens, it suffices that one of two sets is served: the
-    other gives all its points. A set that is not served takes part in the next, finer split too, and in the last, where
-    each token is a subspace, every set is. A set near the upper end of its size class also takes part in the class above.
+    average at most. In a subspace a set is the point of its group counts, with groups so fine that each token has its own; a key is
+    one such point. A set of n tokens differs from a linked one in at most n * (100 - percent) / percent tokens (the most, with
+    the largest partner), hence in at most as many subspaces. Points have one common order: those of more tokens first, then by
+    hash. Before the first point that two linked sets share, each has only points the other lacks, so it is among either one's
+    first ``differ + 1``, and a set gives no more than these. A set with fewer points gives them all and takes part in the next,
+    finer split too; in the last one each token is a subspace, and every set has enough. A set near the upper end of its size
+    class also takes part in the class above, where a larger partner may be.
     """
+    if percent < 50:
+        raise ValueError("similarities below a half would need more size classes")
     n = len(tokens)
     differ = n * (100 - percent) // percent
     out = []
@@ -65,9 +68,7 @@ def subspace_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             else:
                 points, held = mix(tokens + salt), np.ones(n, np.int64)
             if len(points) > differ:
-                fullest = np.sort(held)[::-1][differ]
-                # in the last split any differ + 1 points of a common order would do, but those of one token are all alike
-                out.append(points[held >= fullest] if split else points[np.argsort(points)[:differ + 1]])
+                out.append(points[np.lexsort((points, -held))[:differ + 1]])
                 break
             out.append(points)
     return np.concatenate(out)
@@ -94,16 +95,46 @@ def _profile(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n bigint, class bigint, keys array<bigint>")
 
 
-def _wanted(classes: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over the classes: rows that miss it are surely not wanted."""
-    bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
-    cells = classes.groupBy((bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("bits"))
-    found = cells.toPandas()
+def _wanted(values: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over a column of bigints: values that miss it are surely not among them.
+
+    At most FILTER_BITS / 64 rows reach the driver, whatever the number of values; with very many it lets more pass.
+    """
+    bit = F.pmod(F.col(values.columns[0]), F.lit(FILTER_BITS))
+    cells = values.groupBy((bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("bits"))
+    found = cells.toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found["cell"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
+def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
+def _cells(profile: DataFrame) -> DataFrame:
+    """(key, class, hub) of the keys that more than one class gives; the hub is the smallest of them.
+
+    The keys' extremes are folded before they are shuffled. Of the keys that only one class gives, a bit filter drops most before the join.
+    """
+    points = profile.select(F.explode("keys").alias("key"), "class")
+    shared = checkpoint(points.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("_last")).filter("hub < _last").select("key", "hub"))
+    held = profile.sparkSession.sparkContext.broadcast(_wanted(shared.select("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            values = keys.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(batch.column("class").to_numpy(), keys.value_lengths().to_numpy())
+            kept = _hits(held.value, values)
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept]), pa.array(owner[kept])], ["key", "class"])
+
+    cells = checkpoint(profile.select("class", "keys").mapInArrow(run, "key bigint, class bigint").join(shared, "key"))
+    held.destroy()  # the cells are stored, nothing reads the filter again
+    return cells
+
+
 def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(class, n, counts, text) once for each wanted class: whole texts, the group counts as packed 16-bit numbers."""
     held = docs.sparkSession.sparkContext.broadcast(_wanted(classes))
@@ -114,8 +145,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             rows = []
             for i, tokens in enumerate(token_sets(part, "text", width)):
                 c = set_class(tokens)
-                at = c % FILTER_BITS
-                if len(tokens) and c not in seen and bits[at // 64] >> np.int64(at % 64) & 1:
+                if len(tokens) and c not in seen and _hits(bits, np.array([c]))[0]:
                     rows.append((i, c, len(tokens), counts(tokens).tobytes()))
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -125,7 +155,9 @@ def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), part.column("text").take(pa.array(where))], ["class", "n", "counts", "text"])
 
     found = docs.select("text").mapInArrow(run, "class bigint, n bigint, counts binary, text string")
-    return checkpoint(found.join(classes.distinct(), "class", "left_semi").dropDuplicates(["class", "n"]))
+    texts = checkpoint(found.join(classes.distinct(), "class", "left_semi").dropDuplicates(["class", "n"]))
+    held.destroy()
+    return texts
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -156,89 +188,127 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return checkpoint(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of rows (key, chunk, side, class, comp, n, counts): members of one cell in different components whose
-    summed minima allow the similarity. Each step holds one pair of chunks."""
-    def near(cell: tuple) -> tuple[np.ndarray, np.ndarray]:
-        own, comp, n, points, side = cell
-        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(own)),) * 2
-        tree, found = CountTree(points[right], n[right]), []
-        for query, member in tree.search(points[left], n[left], percent):
-            q, m = left[query], right[member]
-            other = comp[q] != comp[m]
-            found.append((np.minimum(own[q[other]], own[m[other]]), np.maximum(own[q[other]], own[m[other]])))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([a, b]), axis=1)
+def _shared(points: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of row pairs."""
+    out = np.empty(len(p), np.int64)
+    for at in range(0, len(p), 2048):
+        out[at:at + 2048] = np.minimum(points[p[at:at + 2048]], points[q[at:at + 2048]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _large_cell(comp: np.ndarray, n: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one cell (or of a pair of its chunks) in different components that the R-tree lets pass."""
+    left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(n)),) * 2
+    found = []
+    for query, member in CountTree(points[right], n[right]).search(points[left], n[left], percent):
+        q, m = left[query], right[member]
+        other = comp[q] != comp[m]
+        found.append((np.minimum(q[other], m[other]), np.maximum(q[other], m[other])))
+    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.unique(p * len(n) + q)
+    return pairs // len(n), pairs % len(n)
+
+
+def _small_cells(heads: np.ndarray, sizes: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of many small cells at once, by the sizes of their sets and their components only: one leaf each."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for size in np.unique(sizes):
+        rows = heads[sizes == size][:, None] + np.arange(size)[None, :]
+        for i in range(size):
+            for j in range(i + 1, size):
+                p, q = rows[:, i], rows[:, j]
+                able = (comp[p] != comp[q]) & (100 * n[p] >= percent * n[q]) & (100 * n[q] >= percent * n[p])
+                found.append((p[able], q[able]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _cell_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of rows (key, low, high, side, class, comp, n, counts): members of one cell in different components whose
+    summed minima allow the similarity; with ``nearest`` only each member's best one in the cell.
+
+    A task holds the cells of one Arrow batch; a cell of more than ``LEAF`` members is searched by its R-tree, one pair of chunks at a time.
+    """
+    def candidates(cells: list[np.ndarray], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, comp, n, points, side = cells
+        sizes = np.diff(np.append(whole, len(own)))
+        small = sizes <= LEAF
+        p, q = _small_cells(whole[small], sizes[small], comp, n, percent)
+        parts = [(p, q)]
+        for at, size in zip(whole[~small], sizes[~small], strict=True):
+            part = slice(at, at + size)
+            if comp[part].min() != comp[part].max():
+                x, y = _large_cell(comp[part], n[part], points[part], side[part], percent)
+                parts.append((x + at, y + at))
+        p, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shared = _shared(points, p, q)
+        able = enough(shared, n[p], n[q], percent)
+        p, q, shared = p[able], q[able], shared[able]
+        if nearest and len(p):
+            row, other = np.concatenate([p, q]), np.concatenate([q, p])
+            order = np.lexsort((other, -np.tile(2 * shared / (n[p] + n[q]), 2), row))
+            first = np.concatenate([[True], row[order][1:] != row[order][:-1]])
+            p, q = row[order][first], other[order][first]
+        pairs = np.unique(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])]), axis=1)
         return pairs[0], pairs[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = None, []
+        held: list[list[np.ndarray]] = []  # rows of the cell that may go on in the next batch
+        last = None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cell = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            if len(cell[0]) > 1 and cell[1].min() != cell[1].max():
-                a, b = near(cell)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def done(cells: list[list[np.ndarray]], whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = candidates([np.concatenate(x) for x in zip(*cells, strict=True)], whole)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in ("key", "low", "high")])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "low", "high")])
             cols = [batch.column(k).to_numpy() for k in ("class", "comp", "n")]
             cols += [np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint16).reshape(batch.num_rows, -1), batch.column("side").to_numpy(zero_copy_only=False)]
-            heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if batch.num_rows else []
-            for a, b in zip(heads, [*heads[1:], batch.num_rows], strict=True):
-                if waiting is not None and (keys[:, a] != waiting).any():
-                    yield from flush()
-                    held = []
-                waiting = keys[:, a]
-                held.append(tuple(c[a:b] for c in cols))
+            heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            if last is not None and (keys[:, 0] != last).any():
+                yield from done(held, np.zeros(1, np.int64))
+                held = []
+            before, last, tail = sum(len(h[0]) for h in held), keys[:, -1], heads[-1]
+            if tail:  # every cell but the last has ended
+                whole = np.concatenate([[0], heads[1:-1] + before]).astype(np.int64)
+                yield from done([*held, [c[:tail] for c in cols]], whole)
+                held = []
+            held.append([c[tail:] for c in cols])
         if held:
-            yield from flush()
+            yield from done(held, np.zeros(1, np.int64))
 
     order = ["key", "low", "high"]
     dealt = rows.select(*order, "side", "class", "comp", "n", "counts").repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, hub_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """For rows (id, text): (id, n, class) of every row, and (node, comp) of the classes of equal sets that are linked to others.
 
     Sets are points of group counts. The top of the index are the cells of :func:`subspace_keys`, which bring every linked pair
     together in some task; under it each cell is a packed R-tree searched with the bound of the summed minima; pairs that pass are
-    compared token by token. Members of a cell are first compared with one of them, its hub, and linked ones are joined up, so a
-    cell of near copies does not list its pairs; the search then only looks for pairs that are not joined yet. All such
-    pairs are looked at: the components are exact.
+    compared token by token. So that a cell of near copies need not list its pairs, members are joined up first: all with the
+    cell's first one, then each with its nearest one in another component, ``nearest_rounds`` times. The last round takes every
+    pair that passes the bound and is not in one component yet: the components are exact.
     """
     profile = checkpoint(_profile(docs, width, percent))
-    points = profile.select(F.explode("keys").alias("key"), "class")
-    shared = points.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("_last")).filter("hub < _last").drop("_last")
-    cells = checkpoint(points.join(shared, "key"))
+    cells = _cells(profile)
     texts = _texts_of(docs, cells.select("class"), width)
-    links, tested, comps = None, None, None
-    for turn in range(hub_rounds + 1):
-        if turn == 0:
-            pairs = cells.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-        else:
-            comps = checkpoint(connected_components(links))
-            rows = cells.join(comps, cells["class"] == comps["node"], "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
-            open_cells = rows.groupBy("key").agg(
-                F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members"),
-                F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "comp")).alias("_hub")).filter("_lo < _hi")
-            rows = rows.join(open_cells, "key")
-            if turn < hub_rounds:
-                hub = F.col("_hub.class")
-                pairs = rows.filter("comp <> _hub.comp").select(F.least(hub, "class").alias("a"), F.greatest(hub, "class").alias("b")).distinct()
-            else:
-                known = texts.select(F.col("class").alias("_class"), "n", "counts")
-                chunks = F.ceil(F.col("_members") / CHUNK).cast("int")
-                members = rows.select("key", "class", "comp", "_members").dropDuplicates(["key", "class"]).join(known, F.col("class") == F.col("_class"))
-                split = members.withColumn("_chunk", F.pmod(F.xxhash64("class"), chunks).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-                split = split.withColumn("low", F.least("_chunk", "_with")).withColumn("high", F.greatest("_chunk", "_with")).withColumn("side", F.col("_chunk") == F.col("low"))
-                pairs = _cell_pairs(split, percent)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        new = _verified(pairs, texts, width, percent)
-        links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
+    known = texts.select(F.col("class").alias("_class"), "n", "counts")
+    tested = checkpoint(cells.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
+    links = _verified(tested, texts, width, percent)
+    for turn in range(nearest_rounds + 1):
+        comps = connected_components(links)
+        rows = checkpoint(cells.join(comps, cells["class"] == comps["node"], "left").select("key", "class", F.coalesce("comp", "class").alias("comp")))
+        open_cells = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members")).filter("_lo < _hi")
+        chunks = F.ceil(F.col("_members") / CHUNK).cast("int")
+        members = rows.join(open_cells, "key").select("key", "class", "comp", "_members").dropDuplicates(["key", "class"]).join(known, F.col("class") == F.col("_class"))
+        split = members.withColumn("_chunk", F.pmod(F.xxhash64("class"), chunks).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        split = split.withColumn("low", F.least("_chunk", "_with")).withColumn("high", F.greatest("_chunk", "_with")).withColumn("side", F.col("_chunk") == F.col("low"))
+        pairs = checkpoint(_cell_pairs(split, percent, nearest=turn < nearest_rounds).join(tested, ["a", "b"], "left_anti"))
+        links, tested = links.union(_verified(pairs, texts, width, percent)), tested.union(pairs)
     return profile.select("id", "n", "class"), connected_components(links)
 
 
