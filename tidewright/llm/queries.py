@@ -13,6 +13,7 @@ from tidewright.llm.jaccard import jaccard_join
 from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
 from tidewright.llm.pii import replace_entities
+from tidewright.llm.quality import score_quality
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
 from tidewright.llm.sharding import shard_by_bytes
 from tidewright.llm.toxicity import learn_toxicity, score_toxicity
@@ -50,6 +51,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 @query("op6_embedding_dedup", """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
  u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
  l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.9),
