@@ -17,6 +17,19 @@ def counts(tokens: np.ndarray) -> np.ndarray:
     return np.full(GROUPS, _ALL, np.uint16) if found.max() >= _ALL else found.astype(np.uint16)
 
 
+def pack(points: np.ndarray) -> bytes:
+    """A point as bytes, one per group where all counts fit."""
+    return (points.astype(np.uint8) if points.max() < 256 else points).tobytes()
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    """The points of packed ones, one row each."""
+    out = np.empty((len(packed), GROUPS), np.uint16)
+    for i, data in enumerate(packed):
+        out[i] = np.frombuffer(data, np.uint8 if len(data) == GROUPS else np.uint16)
+    return out
+
+
 def minima(points: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     """Summed coordinate minima of every point with every box corner: no set in the box shares more tokens with the point's set."""
     out = np.empty((len(points), len(boxes)), np.int64)

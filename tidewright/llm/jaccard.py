@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.components import connected_components
-from tidewright.llm.countvectors import CountTree, counts, enough
+from tidewright.llm.countvectors import CountTree, counts, enough, pack, unpack
 from tidewright.llm.textarrays import U, mix, raw, shingles, slices, word_hashes, words
 from tidewright.session import checkpoint
 
@@ -136,7 +136,7 @@ def _cells(profile: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(class, n, counts, text) once for each wanted class: whole texts, the group counts as packed 16-bit numbers."""
+    """(class, n, counts, text) once for each wanted class: whole texts, the group counts packed."""
     held = docs.sparkSession.sparkContext.broadcast(_wanted(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             for i, tokens in enumerate(token_sets(part, "text", width)):
                 c = set_class(tokens)
                 if len(tokens) and c not in seen and _hits(bits, np.array([c]))[0]:
-                    rows.append((i, c, len(tokens), counts(tokens).tobytes()))
+                    rows.append((i, c, len(tokens), pack(counts(tokens))))
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
@@ -160,11 +160,25 @@ def _texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return texts
 
 
+def _bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose summed minima allow the similarity; no text is moved for it."""
+    side = lambda k: texts.select(F.col("class").alias(k), F.col("counts").alias(f"points_{k}"), F.col("n").alias(f"n_{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "points_a", "points_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = np.minimum(unpack(batch.column("points_a").to_pylist()), unpack(batch.column("points_b").to_pylist())).sum(axis=1, dtype=np.int64)
+            able = enough(shared, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[able]) for k in ("a", "b")], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, compared token by token. The text of a is not copied per pair."""
-    member = texts.select(F.col("class").alias("b"), F.col("counts").alias("points_b"), F.col("text").alias("text_b"), F.col("n").alias("n_b"))
-    hub = texts.select(F.col("class").alias("a"), F.col("counts").alias("points_a"), F.col("text").alias("text_a"), F.col("n").alias("n_a"))
-    both = pairs.join(member, "b").join(hub, "a").select("a", "b", "n_a", "n_b", "points_a", "points_b", "text_a", "text_b")
+    member = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"), F.col("n").alias("n_b"))
+    hub = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"), F.col("n").alias("n_a"))
+    both = pairs.join(member, "b").join(hub, "a").select("a", "b", "n_a", "n_b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, None
@@ -174,9 +188,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 n_a, n_b = part.column("n_a").to_pylist(), part.column("n_b").to_pylist()
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 for i in range(part.num_rows):
-                    points = (np.frombuffer(part.column(k)[i].as_py(), np.uint16) for k in ("points_a", "points_b"))
-                    if not enough(int(np.minimum(*points).sum(dtype=np.int64)), n_a[i], n_b[i], percent):
-                        continue
                     if (a[i], n_a[i]) != last:
                         last, tokens = (a[i], n_a[i]), next(token_sets(part.slice(i, 1), "text_a", width))
                     shared = len(np.intersect1d(tokens, next(token_sets(part.slice(i, 1), "text_b", width)), assume_unique=True))
@@ -265,7 +276,7 @@ def _cell_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 continue
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "low", "high")])
             cols = [batch.column(k).to_numpy() for k in ("class", "comp", "n")]
-            cols += [np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint16).reshape(batch.num_rows, -1), batch.column("side").to_numpy(zero_copy_only=False)]
+            cols += [unpack(batch.column("counts").to_pylist()), batch.column("side").to_numpy(zero_copy_only=False)]
             heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
             if last is not None and (keys[:, 0] != last).any():
                 yield from done(held, np.zeros(1, np.int64))
@@ -284,13 +295,13 @@ def _cell_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """For rows (id, text): (id, n, class) of every row, and (node, comp) of the classes of equal sets that are linked to others.
 
     Sets are points of group counts. The top of the index are the cells of :func:`subspace_keys`, which bring every linked pair
     together in some task; under it each cell is a packed R-tree searched with the bound of the summed minima; pairs that pass are
     compared token by token. So that a cell of near copies need not list its pairs, members are joined up first: all with the
-    cell's first one, then each with its nearest one in another component, ``nearest_rounds`` times. The last round takes every
+    cell's first one, then each with its nearest one in another component (``nearest_rounds`` times). The last round takes every
     pair that passes the bound and is not in one component yet: the components are exact.
     """
     profile = checkpoint(_profile(docs, width, percent))
@@ -298,7 +309,7 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_
     texts = _texts_of(docs, cells.select("class"), width)
     known = texts.select(F.col("class").alias("_class"), "n", "counts")
     tested = checkpoint(cells.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
-    links = _verified(tested, texts, width, percent)
+    links = _verified(_bounded(tested, texts, percent), texts, width, percent)
     for turn in range(nearest_rounds + 1):
         comps = connected_components(links)
         rows = checkpoint(cells.join(comps, cells["class"] == comps["node"], "left").select("key", "class", F.coalesce("comp", "class").alias("comp")))
