@@ -96,3 +96,19 @@ def test_surrogate_edges(spark, edges, nothing):
     assert replace_entities(nothing).collect() == []
     twice = replace_entities(spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (2, "a@b.org c@d.org a@b.org")], "doc_id bigint, text string")).collect()
     assert sorted(r["n_entities"] for r in twice) == [1, 1, 3] and len({r["text"] for r in twice if r["doc_id"] == 1}) == 1
+
+
+def test_values_without_surrogates_of_their_format_are_settled(spark):
+    masks = [(1, "Password: ********"), (2, "token = ------ next"), (3, "secret: 'xxxxxx'")]
+    strange = ["密码安全测试秘", "كلمةسرية", "비밀번호입니다", "ßőřąłš", "!@#$%^&*(", "１２３４５６"]
+    few = [(100 + i, f"pwd={i}-----") for i in range(10)] + [(200 + i, f"to {chr(97 + i // 26)}@{chr(97 + i % 26)}.org") for i in range(676)]
+    got = replaced(spark, masks + [(10 + i, f"password={v}") for i, v in enumerate(strange)] + few)
+    assert [got[i]["text"] for i in (1, 2)] == [t for _, t in masks[:2]] and got[1]["n_entities"] == got[2]["n_entities"] == 0
+    assert re.fullmatch(r"secret: '[a-z]{6}'", got[3]["text"]) and got[3]["text"] != masks[2][1]
+    for i, v in enumerate(strange):
+        new = got[10 + i]["text"].removeprefix("password=")
+        assert len(new) == len(v) and sum(a == b for a, b in zip(new, v, strict=True)) <= 3
+    secrets = {got[i]["text"].removeprefix("pwd=") for i in range(100, 110)}
+    assert len(secrets) == 10 and not secrets & {f"{i}-----" for i in range(10)} and all(re.fullmatch(r"\d-----[a-z]", x) for x in secrets)
+    mails = {got[200 + i]["text"].removeprefix("to ") for i in range(676)}
+    assert len(mails) == 676 and not mails & {t.removeprefix("to ") for _, t in few} and all(re.fullmatch(r"[a-z]{2}@[a-z]\.org", m) for m in mails)
