@@ -112,3 +112,12 @@ def test_values_without_surrogates_of_their_format_are_settled(spark):
     assert len(secrets) == 10 and not secrets & {f"{i}-----" for i in range(10)} and all(re.fullmatch(r"\d-----[a-z]", x) for x in secrets)
     mails = {got[200 + i]["text"].removeprefix("to ") for i in range(676)}
     assert len(mails) == 676 and not mails & {t.removeprefix("to ") for _, t in few} and all(re.fullmatch(r"[a-z]{2}@[a-z]\.org", m) for m in mails)
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(5000))
+    got = replaced(spark, [(1, f"token={long} end"), (2, f"api_key: {long[:300]}\u2028{long[300:900]}")])
+    new = re.fullmatch(r"token=(\w{5000}) end", got[1]["text"])[1]
+    assert not any(long[i:i + 12] in new for i in range(0, 4988))
+    assert got[2]["text"].startswith("api_key: ") and not any(long[i:i + 12] in got[2]["text"] for i in range(0, 880))

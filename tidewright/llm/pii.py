@@ -18,7 +18,7 @@ _UNMASKED = r"(?!(?<mask>[^\p{L}\p{N}\s\"'])\k<mask>{3,}+[.,;:)\]}>]{0,2}+(?:[\s
 # Alternatives are tried in this order at each place. Each begins with a look at one character, which fails at once inside ordinary
 # words; only e-mail addresses can begin with any letter.
 PATTERNS = {
-    "secret": rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}_])(?i:{_LABEL})\s{{0,3}}[=:]\s{{0,3}}[\"']?{_UNMASKED}[^\s\"']{{6,200}}",
+    "secret": rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}_])(?i:{_LABEL})\s{{0,3}}[=:]\s{{0,3}}[\"']?{_UNMASKED}[^\s\"']{{6,}}+",
     "email": r"(?=[^\s])(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,8}\.\p{L}{2,24}",
     "key": r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -56,14 +56,14 @@ def found_entities(text: Column) -> Column:
 
 
 def _byte(stream: Column, i: Column) -> Column:
-    return F.conv(F.substring(stream, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substring(F.get(stream, (i / 16).cast("int")), (i % 16 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
 def _stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """Keyed pseudo-random hexadecimal text, at least four digits for each character of the value."""
-    blocks = F.sequence(F.lit(0), (F.length(value) / 16).cast("int"))
-    seed = F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), value)
-    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")).cast("binary"), 256)), "")
+    """Keyed pseudo-random hexadecimal texts, one for 16 characters of the value; each hashes a digest of it, so long values cost linear time."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.length(value) / 16, F.lit(1)).cast("int"))
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), value).cast("binary"), 256)
+    return F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")).cast("binary"), 256))
 
 
 def _pick(alphabet: str, r: Column) -> Column:
@@ -152,7 +152,7 @@ def _tokens(match: Column, at: Column) -> Column:
         .when(match.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip").when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(match.rlike(r"^[+(]|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$"), "phone").otherwise("card")
     )
-    bare = F.regexp_extract(match, rf"{label}(.*)$", 1)
+    bare = F.regexp_extract(match, rf"(?s){label}(.*)$", 1)
     norm = F.when(kind == "email", F.lower(match)).when(kind.isin("phone", "ssn", "card"), F.regexp_replace(match, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(match, " ", "")).otherwise(match)
     title = F.regexp_extract(match, rf"^({_TITLE}) ", 1)
     first, second = (F.regexp_extract(match, rf"^{_TITLE} (\p{{L}}+)(?: (\p{{L}}+))?$", k) for k in (1, 2))
