@@ -187,3 +187,25 @@ def test_snapshot_store_last_write_wins(spark, tmp_path):
     assert S.read_store(spark, path).first()["payload"] == "new"
     kept, dropped = S.apply_retention(spark.read.parquet(path), F.lit("2024-01-02 00:00:00").cast("timestamp"))
     assert kept.count() == 2 and dropped.first()[0] == 1
+
+
+def test_file_queries_write_more_files_not_larger_ones(spark, tmp_path, monkeypatch):
+    from tidewright.catalogue import QUERIES, file_queries as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(Q, "FILE_BYTES", 2000, raising=False)
+    sf = str(tmp_path)
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10).alias("text")).write.parquet(f"{sf}/documents.parquet")
+    # one user has all events
+    spark.range(2000).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.lit('{"k":3}').alias("props")).write.parquet(f"{sf}/events.parquet")
+    written = []
+    make = Q.folder
+    monkeypatch.setattr(Q, "folder", lambda *a: written.append(make(*a)) or written[-1])
+    lines = {r["part"]: r["lines"] for r in QUERIES["scan_corpus"].run(spark, sf).collect()}
+    assert lines == {p: 250 for p in range(16) if p != 3}
+    status = sorted((r["part"], r["status"]) for r in QUERIES["scan_corpus_globs"].run(spark, sf).collect())
+    assert status == [(p, "bad" if p == 5 else "good") for p in range(16)]
+    assert QUERIES["read_snapshot_files"].run(spark, sf).count() == 2000 + 667
+    for path, most in zip(written, (8000, 8000, 10_000), strict=True):
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()
+        assert max(r["length"] for r in sizes) <= most

@@ -15,6 +15,10 @@ from tidewright.sinks import tables as S
 from tidewright.sources import files
 
 
+# What one file holds: a file is read back as one row, so files grow in number with the table, not in size.
+FILE_ROWS, FILE_BYTES = 10_000, 8 << 20
+
+
 def folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/files-{name}-{uuid.uuid4().hex}"
 
@@ -26,11 +30,16 @@ def _written(df, spark, name: str) -> str:
     return path
 
 
+def _group(id_col: str, groups: int):
+    return F.pmod(F.xxhash64(id_col), F.lit(groups))
+
+
 @query("read_operation_set", f"WITH {OPS} SELECT CAST(id AS VARCHAR) AS id, name, kind AS type, content, file_path FROM ops")
 def read_operation_set(spark, sf):
-    """Operations written as JSON sets, one set per component folder, read back row by row."""
+    """Operations written as JSON sets, one set for at most about ``FILE_ROWS`` of them, read back row by row."""
     row = F.struct(F.col("id").cast("string").alias("id"), "name", F.col("kind").alias("type"), F.col("content").alias("source"), F.col("file_path").alias("filePath"))
-    sets = ops(spark, sf).groupBy(F.pmod("o_custkey", F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.collect_list(row).alias("queries"))).alias("text"))
+    all_ops = ops(spark, sf)
+    sets = all_ops.groupBy(_group("id", all_ops.count() // FILE_ROWS + 1).alias("part")).agg(F.to_json(F.struct(F.collect_list(row).alias("queries"))).alias("text"))
     path = folder(spark, "operations")
     sets.write.partitionBy("part").text(path)
     found = files.read_operation_set(spark, path)
@@ -44,7 +53,7 @@ def read_snapshot_files(spark, sf):
     good = F.concat(F.lit('{"response":{"data":{"k":'), F.get_json_object("props", "$.k"), F.lit("}}}"))
     pair = F.concat(F.lit('"baseline":'), good, F.when(F.col("event_id") % 3 == 0, ',"transformed":{"response":{"data":null}}').otherwise(""))
     entry = F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('":{'), pair, F.lit("}"))
-    sets = e.groupBy(F.pmod("user_id", F.lit(32)).alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("text"))
+    sets = e.groupBy(_group("event_id", e.count() // FILE_ROWS + 1).alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("text"))
     path = folder(spark, "snapshots")
     sets.write.partitionBy("part").text(path)
     return files.snapshot_fields(files.read_snapshots(spark, path)).select("id", "version", "data")
@@ -103,18 +112,21 @@ def read_name_map(spark, sf):
 
 
 def _corpus(spark, sf, broken: int = -1) -> str:
-    """Documents as text files, one per part; the files of part ``broken`` are not valid UTF-8."""
+    """Documents as text files of about ``FILE_BYTES``, at least one per part; the files of part ``broken`` are not valid UTF-8."""
     path = folder(spark, "corpus")
     line = F.regexp_replace("text", r"[\r\n]", " ")
     odd = F.concat(F.unhex(F.lit("FF")), line.cast("binary")).cast("string")
-    rows = table(spark, sf, "documents").select((F.col("doc_id") % 16).alias("part"), F.when(F.col("doc_id") % 16 == broken, odd).otherwise(line).alias("value"))
-    rows.repartition("part").write.partitionBy("part").text(path)
+    docs = table(spark, sf, "documents")
+    groups = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (16 * FILE_BYTES) + 1
+    rows = docs.select(_group("doc_id", groups).alias("group"), (F.col("doc_id") % 16).alias("part"), F.when(F.col("doc_id") % 16 == broken, odd).otherwise(line).alias("value"))
+    rows.repartition("part", "group").write.partitionBy("part", "group").text(path)
     return path
 
 
 def _lines(found):
     part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("bigint")
-    return found.select(part.alias("part"), F.regexp_count("content", F.lit("\n")).cast("bigint").alias("lines")).filter("part IS NOT NULL AND lines > 0")
+    lines = found.select(part.alias("part"), F.regexp_count("content", F.lit("\n")).cast("bigint").alias("lines"))
+    return lines.filter("part IS NOT NULL AND lines > 0").groupBy("part").agg(F.sum("lines").alias("lines"))
 
 
 @query("scan_corpus", "SELECT doc_id % 16 AS part, count(*) AS lines FROM documents WHERE doc_id % 16 <> 3 GROUP BY 1")
@@ -128,7 +140,7 @@ def scan_corpus_globs(spark, sf):
     """Two globs that both match give each file once; a file that is not valid UTF-8 goes apart."""
     good, bad = files.scan_corpus(spark, _corpus(spark, sf, broken=5), include=["part-*", "*.txt"], ignore=(r"/_", r"\.crc$"), on_error="quarantine")
     part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("bigint").alias("part")
-    return good.filter("size > 0").select(part, F.lit("good").alias("status")).unionByName(bad.select(part, F.lit("bad").alias("status")))
+    return good.filter("size > 0").select(part, F.lit("good").alias("status")).unionByName(bad.select(part, F.lit("bad").alias("status"))).distinct()
 
 
 # Typed usages: one field name under two types, in the operation's name, as a variable and as an argument.
