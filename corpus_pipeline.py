@@ -16,13 +16,10 @@ from tidewright.llm.mixing import mix_sources
 from tidewright.llm.pii import replace_entities
 from tidewright.session import shared_folder
 
-MIN_SCORE = 0.1  # below it a text is like none of the learned languages
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is like a learned language; null texts, texts without letters and unlike ones go."""
-    told = identify_languages(docs)
-    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    """Documents whose language is told; null texts and texts without letters go. Cosines fall with the length of a text, so none is too small."""
+    return identify_languages(docs).filter(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,19 @@ def test_stages_keep_the_columns_and_take_effect(spark, edges):
     assert len(last) == 12 and all(len(np.frombuffer(r["ids"], "<u4")) == r["n_tokens"] for r in last)
 
 
+def test_short_clean_texts_of_learned_languages_stay(spark):
+    import zlib
+
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    taught = {"en": "the house of the river was there and people were walking to it", "fr": "les maisons du village sont belles quand il pleut sur la route", "zh": "我们在学校里学习中文和数学"}
+    short = [("Avec.", "fr"), ("A.", "en"), ("Edrere.", "en"), ("Osrañ.", "es"), ("好", "zh"), ("Oui", "fr")]
+    rows = [(i, f"{t} {t[:i]}", lang) for k, (lang, t) in enumerate(taught.items()) for i in range(40 * k, 40 * k + 40)]
+    rows += [(i, t, lang) for i, (t, lang) in zip(held, short, strict=False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["text"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert {t for t, _ in short} <= kept
+
+
 def test_stages_take_empty_tables(spark, nothing):
     docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
