@@ -121,3 +121,20 @@ def test_long_secrets_are_replaced_whole(spark):
     new = re.fullmatch(r"token=(\w{5000}) end", got[1]["text"])[1]
     assert not any(long[i:i + 12] in new for i in range(0, 4988))
     assert got[2]["text"].startswith("api_key: ") and not any(long[i:i + 12] in got[2]["text"] for i in range(0, 880))
+
+
+def test_names_of_several_parts_and_untitled_mentions(spark):
+    text = ("Smith came first. Mrs. Anna Maria Weber, Mr. Jean-Luc Picard, Mr. O'Brien's dog, Mr. McDonald, Dr. Ludwig van der Rohe, Mr. J. R. Tolkien and Mr. John Smith. "
+            "Later Smith said (Picard-Smith, SMITH's) that O'Brien and John met Maria in Smithfield.")
+    row = replaced(spark, [(1, text)])[1]
+    new = row["text"]
+    head, tail = new.split(" Later ")
+    for gone in ("Anna", "Maria", "Weber", "Jean", "Luc", "Picard", "O'Brien", "Brien", "McDonald", "Donald", "Ludwig", "Rohe", "Tolkien", "John"):
+        assert gone not in new
+    assert new.startswith("Smith came first. Mrs. ") and new.endswith(" in Smithfield.") and "'s dog" in new and " van der " in new
+    smith = re.search(r"and Mr\. (\w+) (\w+)\.$", head)
+    said = re.fullmatch(r"(\w+) said \((\w+)-(\w+), (\w+)'s\) that (\w+) and (\w+) met (\w+) in Smithfield\.", tail)
+    assert said[1] == said[3] == said[4] == smith[2] and said[6] == smith[1]
+    names = re.search(r"Mrs\. (\w+) (\w+) (\w+), Mr\. (\w+)-(\w+) (\w+), Mr\. (\w+)'s", head)
+    assert said[7] == names[2] and said[2] == names[6] and said[5] == names[7]
+    assert row["n_entities"] == 3 + 3 + 1 + 1 + 2 + 3 + 2 + 7

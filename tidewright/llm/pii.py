@@ -13,6 +13,12 @@ _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "господин", "г-н")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Madame", "Mme", "Mademoiselle", "Mlle", "госпожа", "г-жа")
 _NEUTRAL = ("Dr", "Prof")
 _TITLE = "(?:" + "|".join(sorted((*_MALE, *_FEMALE, *_NEUTRAL), key=len, reverse=True)) + r")\.?"
+_LINK = r"(?:van|von|vom|zu|zum|zur|de|der|den|del|della|di|da|do|dos|das|du|des|la|le|las|los|ten|ter|bin|ibn|al|el|af|av) "
+# A part of a name: inner capitals and apostrophes belong to it, the possessive 's does not; a hyphen stands between parts.
+_PART = r"\p{Lu}[\p{L}\p{M}]*+(?:['’](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
+_PARTS = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_'’]){_PART}|(?<=\p{{L}}-)\p{{L}}[\p{{L}}\p{{M}}]*+"
+_WORD = rf"(?=\p{{Lu}}['’]?[\p{{L}}\p{{M}}]){_PART}(?:-(?:{_PART}|\p{{L}}[\p{{L}}\p{{M}}]*+))*+"
+_NAME = rf"(?:{_LINK}|\p{{Lu}}\. ?){{0,6}}{_WORD}"
 # A secret that is one sign again and again, such as ********, is masked already: nothing is there to hide.
 _UNMASKED = r"(?!(?<mask>[^\p{L}\p{N}\s\"'])\k<mask>{3,}+[.,;:)\]}>]{0,2}+(?:[\s\"']|\z))"
 # Alternatives are tried in this order at each place. Each begins with a look at one character, which fails at once inside ordinary
@@ -27,7 +33,7 @@ PATTERNS = {
     "phone": r"(?=[0-9+(])(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .\-]?[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
     "card": r"(?=[0-9])(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
-    "name": rf"(?=[MHFSDPг])(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})",
+    "name": rf"(?=[MHFSDPг])(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME}){{0,8}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Letters are replaced by letters of their own alphabet.
@@ -51,7 +57,7 @@ COUNTED = ("secret", "email", "phone", "ssn")  # the kinds whose formats can be
 
 def found_entities(text: Column) -> Column:
     """All entities of a text in order. What every entity needs one of (a digit, an at sign, a label's sign, a title) is looked for first."""
-    may = text.rlike("[0-9]") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(rf"(?=[MHFSDPг]){_TITLE} \p{{Lu}}")
+    may = text.rlike("[0-9]") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(rf"(?=[MHFSDPг]){_TITLE} (?:{_LINK})*+\p{{Lu}}")
     return F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
@@ -155,10 +161,12 @@ def _tokens(match: Column, at: Column) -> Column:
     bare = F.regexp_extract(match, rf"(?s){label}(.*)$", 1)
     norm = F.when(kind == "email", F.lower(match)).when(kind.isin("phone", "ssn", "card"), F.regexp_replace(match, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(match, " ", "")).otherwise(match)
     title = F.regexp_extract(match, rf"^({_TITLE}) ", 1)
-    first, second = (F.regexp_extract(match, rf"^{_TITLE} (\p{{L}}+)(?: (\p{{L}}+))?$", k) for k in (1, 2))
-    sex = F.when(F.rtrim(title, F.lit(".")).isin(*_FEMALE), "given_f").when(F.rtrim(title, F.lit(".")).isin(*_MALE), "given_m").when(F.lower(first).rlike("[aая]$"), "given_f").otherwise("given_m")
-    named = F.when(second == "", F.array(token(0, F.concat(title, F.lit(" ")), F.lit("surname"), first, F.lower(first)))).otherwise(F.array(
-        token(0, F.concat(title, F.lit(" ")), sex, first, F.lower(first)), token(1, F.lit(" "), F.lit("surname"), second, F.lower(second))))
+    rest = F.substring(match, F.length(title) + 2, F.length(match))
+    parts, between = F.regexp_extract_all(rest, F.lit(_PARTS), F.lit(0)), F.split(rest, _PARTS, -1)
+    sex = F.when(F.rtrim(title, F.lit(".")).isin(*_FEMALE), "given_f").when(F.rtrim(title, F.lit(".")).isin(*_MALE), "given_m").when(F.lower(F.get(parts, F.lit(0))).rlike("[aая]$"), "given_f").otherwise("given_m")
+    named = F.transform(parts, lambda part, i: F.struct(
+        at.cast("int").alias("pos"), i.alias("sub"), F.concat(F.when(i == 0, F.concat(title, F.lit(" "))).otherwise(""), F.get(between, i)).alias("before"),
+        F.when(i == F.size(parts) - 1, "surname").otherwise(sex).alias("kind"), part.alias("raw"), F.lower(part).alias("value")))
     hidden = F.array(token(0, F.left(match, F.length(match) - F.length(bare)), F.lit("secret"), bare, bare))
     return F.when(secret, hidden).when(title != "", named).otherwise(F.array(token(0, none, kind, match, norm)))
 
@@ -241,13 +249,26 @@ def _count_out(waiting: DataFrame, entities: DataFrame, settled: DataFrame) -> D
     return settled
 
 
+def _mentions(gap: Column, at: Column, names: Column) -> Column:
+    """(text, n) of the text between two entities: words among the ``names`` introduced before it are replaced, n of them."""
+    words, between = F.regexp_extract_all(gap, F.lit(_PARTS), F.lit(0)), F.split(gap, _PARTS, -1)
+
+    def known(word: Column) -> Column:
+        name = F.element_at(names, F.lower(word))
+        return F.when(name["pos"] < at, name["new"])
+
+    new = F.transform(words, lambda w, i: F.concat(F.coalesce(known(w), w), F.get(between, i + 1)))
+    told = F.struct(F.concat(F.get(between, F.lit(0)), F.array_join(new, "")).alias("text"), F.size(F.filter(words, lambda w: known(w).isNotNull())).alias("n"))
+    return F.when((at == 0) | (F.size(names) == 0), F.struct(gap.alias("text"), F.lit(0).alias("n"))).otherwise(told)
+
+
 def replace_entities(docs: DataFrame, key: str = "surrogates", text_col: str = "text") -> DataFrame:
     """``docs`` with every detected entity of ``text_col`` replaced by a keyed surrogate, and ``n_entities``.
 
     Detected are e-mail and IPv4 addresses, telephone, card, account and social security numbers, access keys, labelled secrets and
     names after a title. A surrogate keeps the type and format: separators, letter case, script of letters, brand digit and Luhn
     validity of cards, country digit of numbers, top-level domain, key prefix, label and title; given names keep the title's
-    gender. Equal entities (in whatever format or case) have equal surrogates in the whole table, different ones of a
+    gender. Names may have any parts (hyphens, apostrophes, particles, inner capitals); their later mentions in the same text are replaced without a title too. Equal entities (in whatever format or case) have equal surrogates in the whole table, different ones of a
     kind different surrogates, which are no original of that kind either: clashes draw again, see :func:`_settle`.
     A format with too few surrogates gets longer ones. A secret of one repeated sign (********) is a mask already and stays.
 
@@ -267,12 +288,16 @@ def replace_entities(docs: DataFrame, key: str = "surrogates", text_col: str = "
     kind, value = F.col("kind"), F.col("value")
     made = tried.withColumn("_stream", _stream(key, kind, value, F.col("_attempt"))).withColumn("_new", F.coalesce("_given", _surrogate(kind, value, F.col("_stream"), F.col("_attempt"))))
     made = made.withColumn("_out", F.concat("before", _layout(kind, F.col("raw"), F.col("_new"))))
-    ready = made.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "_out"))).alias("_new"), F.count("*").cast("int").alias("_n"))
-    ready = ready.withColumnRenamed("_digest", "_key")
+    name = F.when((kind.startswith("given") | (kind == "surname")) & (F.length(value) > 1), F.struct("pos", "sub", "value", "_new"))
+    ready = made.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "_out"))).alias("_new"), F.count("*").cast("int").alias("_n"), F.sort_array(F.collect_list(name)).alias("_named"))
+    introduced = F.filter("_named", lambda n, i: F.array_position(F.col("_named")["value"], n["value"]) == i + 1)
+    ready = ready.withColumn("_names", F.map_from_entries(F.transform(introduced, lambda n: F.struct(n["value"], F.struct(n["pos"].alias("pos"), n["_new"].alias("new"))))))
+    ready = ready.withColumnRenamed("_digest", "_key").drop("_named")
     holds = F.coalesce(F.size(found) > 0, F.lit(False))
     changed = base.filter(holds).withColumn("_digest", digest).join(ready, F.col("_digest") == F.col("_key"))
-    gaps = changed.withColumn("_gaps", F.split(text, ANY, -1))
-    filled = F.array_join(F.transform("_new", lambda t: F.concat(F.when(t["sub"] == 0, F.get("_gaps", t["pos"])).otherwise(""), t["_out"])), "")
-    new_text = F.concat(filled, F.element_at("_gaps", -1))
+    gaps = changed.withColumn("_gaps", F.transform(F.split(text, ANY, -1), lambda gap, i: _mentions(gap, i, F.col("_names"))))
+    filled = F.array_join(F.transform("_new", lambda t: F.concat(F.when(t["sub"] == 0, F.get("_gaps", t["pos"])["text"]).otherwise(""), t["_out"])), "")
+    new_text = F.concat(filled, F.element_at("_gaps", -1)["text"])
     columns = [F.col(f"`{c}`") if c != text_col else new_text.alias(text_col) for c in base.columns]
-    return gaps.select(*columns, F.col("_n").alias("n_entities")).unionByName(base.filter(~holds).withColumn("n_entities", F.lit(0)))
+    n = F.col("_n") + F.aggregate(F.col("_gaps")["n"], F.lit(0), lambda a, x: a + x)
+    return gaps.select(*columns, n.alias("n_entities")).unionByName(base.filter(~holds).withColumn("n_entities", F.lit(0)))
