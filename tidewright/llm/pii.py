@@ -56,8 +56,8 @@ COUNTED = ("secret", "email", "phone", "ssn")  # the kinds whose formats can be
 
 
 def found_entities(text: Column) -> Column:
-    """All entities of a text in order. What every entity needs one of (a digit, an at sign, a label's sign, a title) is looked for first."""
-    may = text.rlike("[0-9]") | text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(rf"(?=[MHFSDPг]){_TITLE} (?:{_LINK})*+\p{{Lu}}")
+    """All entities of a text in order. What every entity needs one of (a digit, an at sign, a label's sign, a key's prefix, a title) is looked for first."""
+    may = text.rlike("[0-9]") | text.contains("@") | text.contains("=") | text.contains(":") | text.contains("AKIA") | text.contains("ASIA") | text.rlike(rf"(?=[MHFSDPг]){_TITLE} (?:{_LINK})*+\p{{Lu}}")
     return F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
