@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidewright.llm.textarrays import raw, slices
+from tidewright.llm.textarrays import mix, raw, slices
 from tidewright.llm.toxicity import BITS, features, fit
 
 SAMPLE = 20_000
@@ -19,6 +19,23 @@ LABELLERS = (("symbols", 0.04, 0.12, True), ("capitals", 0.15, 0.5, True), ("dis
              ("digits", 0.05, 0.2, True), ("words", 4, 25, False), ("letters", 0.55, 0.7, False))
 
 
+WINDOW, RUN = 400, 8  # words
+
+
+def distinct_words(words: list[str]) -> float:
+    """Share of distinct words, averaged over consecutive windows, so that it does not fall with the length; of more than one window the
+    share of distinct runs of words where that is smaller, so that repetition from window to window counts."""
+    share = sum(len(set(words[i:i + WINDOW])) for i in range(0, len(words), WINDOW)) / len(words)
+    if len(words) <= WINDOW:
+        return share
+    number: dict[str, int] = {}
+    codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    runs = np.zeros(len(words) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        runs = mix(runs + codes[k:len(words) - RUN + 1 + k] + np.uint64(1))
+    return min(share, len(np.unique(runs)) / len(runs))
+
+
 def shape(text: str) -> np.ndarray:
     """The quantities the labellers look at; zeros for an empty text."""
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
@@ -26,7 +43,7 @@ def shape(text: str) -> np.ndarray:
         return np.zeros(len(LABELLERS))
     n = sum(map(len, words))
     letters, digits, capitals = (sum(map(f, text)) for f in (str.isalpha, str.isdigit, str.isupper))
-    return np.array([(n - letters - digits) / n, capitals / max(letters, 1), len(set(words)) / min(len(words), 400), len(set(lines)) / max(len(lines), 1), digits / n, len(words), letters / n])
+    return np.array([(n - letters - digits) / n, capitals / max(letters, 1), distinct_words(words), len(set(lines)) / max(len(lines), 1), digits / n, len(words), letters / n])
 
 
 def votes(values: np.ndarray) -> np.ndarray:
