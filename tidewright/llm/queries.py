@@ -15,6 +15,8 @@ from tidewright.llm.mixing import mix_sources
 from tidewright.llm.pii import replace_entities
 from tidewright.llm.quality import score_quality
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
+from tidewright.llm.repetition import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, base_failed, repeats_too_much, repetition
+from tidewright.llm.runs import word_runs
 from tidewright.llm.sharding import shard_by_bytes
 from tidewright.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -104,3 +106,47 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat_from(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where every tenth document, by the checksum of its id, repeats a stretch of its words to its end. Null ids repeat nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w"))
+    sized = words.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    placed = placed.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    again = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)")
+    edited = F.array_join(F.concat(F.expr("slice(w, 1, a)"), again), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs(repeat_from(table(spark, sf_dir, "documents")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("(1000 * b.length) div (-b.period)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_repetition", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+ i AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM w),
+ g AS (SELECT doc_id, i, k, hash(list_slice(w, i, i + k - 1)) AS h FROM i, (SELECT unnest([3, {MIN_REPEAT}, {MAX_REPEAT + 1}]) AS k) WHERE i + k - 1 <= len(w)),
+ m AS (SELECT doc_id, k, h FROM g GROUP BY ALL HAVING count(*) > 1),
+ c AS (SELECT doc_id, k, count(DISTINCT i + j) AS covered FROM g JOIN m USING (doc_id, k, h), (SELECT unnest(range(0, {MAX_REPEAT + 1})) AS j) WHERE j < k GROUP BY 1, 2),
+ l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+ s AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM l GROUP BY 1),
+ b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+   CAST(coalesce(x.covered, 0) AS BIGINT) AS n_repeat_words, coalesce(y.covered, 0) AS covered, z.covered IS NOT NULL AS long
+  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c x ON x.doc_id = w.doc_id AND x.k = 3 LEFT JOIN c y ON y.doc_id = w.doc_id AND y.k = {MIN_REPEAT} LEFT JOIN c z ON z.doc_id = w.doc_id AND z.k = {MAX_REPEAT + 1}),
+ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT long AND 100 * covered <= {MAX_COVERED} * n_words AS kept FROM f""")
+def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition(table(spark, sf_dir, "documents")).withColumn("base_failed", base_failed())
+    kept = ~F.col("base_failed") & ~repeats_too_much()
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

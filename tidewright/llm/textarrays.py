@@ -12,6 +12,8 @@ U = np.uint64
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WORD = ~_SPACE  # words [^\x20\x09-\x0D]+
+TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])  # ASCII letters and digits, and all that is not ASCII
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -56,10 +58,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, ends - ends[0]
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z) bytes, starts and stops of the words ``[^\\x20\\x09-\\x0D]+``, and the words before each row."""
-    low = _LOWER[data]
-    inside = ~_SPACE[low]
+def words(data: np.ndarray, ends: np.ndarray, lower: bool = True, member: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (A-Z in lower case, unless ``lower`` is off), starts and stops of the maximal runs of ``member`` bytes, and the runs before each row."""
+    low = _LOWER[data] if lower else data
+    inside = member[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = ends[:-1][(ends[:-1] < ends[1:])]
@@ -96,3 +98,57 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
         for k in range(width):
             total += hashes[k:n - width + 1 + k] * keys[k]
         return mix(total)
+
+
+def windows(hashes: np.ndarray, counted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of all runs of ``width`` words that lie in one row; equal runs of different rows differ."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    owner = np.repeat(np.arange(len(counted) - 1, dtype=np.int64), np.diff(counted))
+    at = np.flatnonzero(owner[:n] == owner[width - 1:])
+    with np.errstate(over="ignore"):
+        total = owner[at].astype(U) * U(0x9E3779B97F4A7C15)
+        for k, key in enumerate(_powers(width + 1)[1:]):
+            total += hashes[at + k] * key
+    return at, mix(total)
+
+
+def repeated_words(hashes: np.ndarray, counted: np.ndarray, width: int) -> np.ndarray:
+    """Which words lie in a run of ``width`` words that its row has twice or more."""
+    at, keys = windows(hashes, counted, width)
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:]] |= same
+    again[order[:-1]] |= same
+    steps = np.zeros(len(hashes) + 1, np.int64)
+    steps[at[again]] += 1
+    steps[at[again] + width] -= 1
+    return np.cumsum(steps)[:-1] > 0
+
+
+def stretches(mask: np.ndarray, counted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of set words inside one row with at least ``least`` words."""
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    last[:-1] &= ~mask[1:]
+    heads = counted[:-1][counted[:-1] < counted[1:]]
+    first[heads] = mask[heads]
+    tails = counted[1:][counted[:-1] < counted[1:]] - 1
+    last[tails] = mask[tails]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long = stops - starts >= least
+    return starts[long], stops[long]
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of all spans, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
+def within(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many flags are set in each row."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[ends[1:]] - total[ends[:-1]]
