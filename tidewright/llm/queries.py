@@ -14,6 +14,7 @@ from tidewright.llm.language import held_out, identify_languages
 from tidewright.llm.mixing import mix_sources
 from tidewright.llm.pii import replace_entities
 from tidewright.llm.quality import score_quality
+from tidewright.llm.ranked import ranked_search
 from tidewright.llm.registry import ORACLES, QUERIES, query, table
 from tidewright.llm.repetition import MAX_COVERED, MAX_REPEAT, MIN_REPEAT, base_failed, repeats_too_much, repetition
 from tidewright.llm.runs import word_runs
@@ -150,3 +151,16 @@ def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition(table(spark, sf_dir, "documents")).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & ~repeats_too_much()
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+@query("op12_ranked_search", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+ b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+ m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n, g),
+ f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM b) GROUP BY 1, 2),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM b JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
