@@ -177,3 +177,32 @@ def test_caps_are_all_that_exceed_the_height():
     for v, caps in zip(x, caps_of(x, height, words, 1)):
         inner = np.stack([(left @ v[:5])[:, None] + (right @ v[5:])[None, :] for left, right in books])
         assert caps.tolist() == np.flatnonzero(inner.ravel() >= height).tolist()
+
+
+@pytest.mark.parametrize("chunk", [None, 150])
+def test_many_near_copies_by_matrix(spark, monkeypatch, chunk):
+    """1 200 near copies of two texts: all links against the matrix of intersections, with whole cells and with cells in chunks."""
+    from tidewright.llm import jaccard
+
+    if chunk:
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "HUB", 7)
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(2)]
+    rows = []
+    for i in range(1200):
+        text = list(bases[i % 2])
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            text[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    sets = [shingle_set(t, 4) for _, t in rows]
+    index = {s: k for k, s in enumerate(set().union(*sets))}
+    matrix = np.zeros((len(rows), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [index[x] for x in s]] = 1
+    common, size = (matrix @ matrix.T).astype(int), matrix.sum(axis=1).astype(int)
+    a, b = np.nonzero(100 * common >= 85 * (size[:, None] + size[None, :] - common))
+    comp = smallest(range(len(rows)), zip(a.tolist(), b.tolist()))
+    assert len(set(comp.values())) > 3
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), width=4, percent=85)
+    assert sorted(map(tuple, got.collect())) == [(i, len(sets[i]), comp[i]) for i in range(len(rows))]

@@ -22,6 +22,8 @@ CHUNK = 2048  # members of a subspace cell that meet in one step
 FILTER_BITS = 1 << 27  # size of the filter of wanted sets, whatever their number
 SEEN = 1 << 16
 LEAF = 24  # members of a cell that need no tree
+NEAR = 3  # likest partners of a member, in a block of the tree's answers, that a forest is made from
+HUB = 512  # members that stand behind one copy of their hub's text
 
 
 def token_sets(part: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -130,7 +132,7 @@ def _cells(profile: DataFrame) -> DataFrame:
             kept = _hits(held.value, values)
             yield pa.RecordBatch.from_arrays([pa.array(values[kept]), pa.array(owner[kept])], ["key", "class"])
 
-    cells = checkpoint(profile.select("class", "keys").mapInArrow(run, "key bigint, class bigint").join(shared, "key"))
+    cells = checkpoint(profile.select("class", "keys").mapInArrow(run, "key bigint, class bigint").join(shared, "key").dropDuplicates(["key", "class"]))
     held.destroy()  # the cells are stored, nothing reads the filter again
     return cells
 
@@ -175,28 +177,30 @@ def _bounded(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, compared token by token. The text of a is not copied per pair."""
-    member = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"), F.col("n").alias("n_b"))
-    hub = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"), F.col("n").alias("n_a"))
-    both = pairs.join(member, "b").join(hub, "a").select("a", "b", "n_a", "n_b", "text_a", "text_b")
+    """The pairs (a, b) of classes whose sets are similar enough, compared token by token.
+
+    A row holds one text. The members of a hub stand behind it in one task; hubs of more than ``HUB`` members are dealt over several.
+    """
+    parts = F.ceil(F.count("*") / HUB).cast("int")
+    dealt = pairs.join(pairs.groupBy("a").agg(parts.alias("_parts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("salt"))
+    held = texts.select("class", "n", "text")
+    members = dealt.join(held, F.col("b") == F.col("class")).select("a", "salt", "b", F.lit(True).alias("member"), "n", "text")
+    hubs = dealt.select("a", "salt").distinct().join(held, F.col("a") == F.col("class")).select("a", "salt", F.col("a").alias("b"), F.lit(False).alias("member"), "n", "text")
+    rows = members.union(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens = None, None
-        for batch in batches:
-            for part in slices(iter([batch]), "text_b"):
-                kept = []
-                n_a, n_b = part.column("n_a").to_pylist(), part.column("n_b").to_pylist()
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                for i in range(part.num_rows):
-                    if (a[i], n_a[i]) != last:
-                        last, tokens = (a[i], n_a[i]), next(token_sets(part.slice(i, 1), "text_a", width))
-                    shared = len(np.intersect1d(tokens, next(token_sets(part.slice(i, 1), "text_b", width)), assume_unique=True))
-                    if enough(shared, n_a[i], n_b[i], percent):
-                        kept.append(i)
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
-
-    return checkpoint(both.mapInArrow(run, "a bigint, b bigint"))
+        tokens, size = np.zeros(0, U), 0
+        for part in slices(batches, "text"):
+            kept = []
+            for i, (own, n, member) in enumerate(zip(token_sets(part, "text", width), part.column("n").to_pylist(), part.column("member").to_pylist(), strict=True)):
+                if not member:
+                    tokens, size = own, n
+                elif enough(len(np.intersect1d(tokens, own, assume_unique=True)), size, n, percent):
+                    kept.append(i)
+            if kept:
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(kept)) for k in ("a", "b")], ["a", "b"])
+
+    return checkpoint(rows.mapInArrow(run, "a bigint, b bigint"))
 
 
 def _shared(points: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -207,17 +211,53 @@ def _shared(points: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _large_cell(comp: np.ndarray, n: np.ndarray, points: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one cell (or of a pair of its chunks) in different components that the R-tree lets pass."""
-    left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(n)),) * 2
+def _forest(comp: np.ndarray, p: np.ndarray, q: np.ndarray, likeness: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of the row pairs, the likest first, join up components that none before has joined."""
+    root = {c: c for c in comp.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    taken = []
+    for k in np.lexsort((names[q], names[p], -likeness)).tolist():
+        x, y = find(int(comp[p[k]])), find(int(comp[q[k]]))
+        if x != y:
+            root[x] = y
+            taken.append(k)
+    return np.array(taken, np.int64)
+
+
+def _large_cell(own: np.ndarray, comp: np.ndarray, n: np.ndarray, points: np.ndarray, side: np.ndarray, chunks_differ: bool, percent: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of row pairs of one cell (or of a pair of its chunks) in different components that the R-tree lets pass.
+
+    One of two members in different components is not in the largest one, so only members of the others are looked up. With
+    ``forest`` each keeps its ``NEAR`` likest partners of a block, and of all these only those that join up components.
+    """
+    if chunks_differ:
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    else:
+        kinds, sizes = np.unique(comp, return_counts=True)
+        left, right = np.flatnonzero(comp != kinds[sizes.argmax()]), np.arange(len(n))
+    if not len(left) or not len(right):
+        return
     found = []
     for query, member in CountTree(points[right], n[right]).search(points[left], n[left], percent):
-        q, m = left[query], right[member]
-        other = comp[q] != comp[m]
-        found.append((np.minimum(q[other], m[other]), np.maximum(q[other], m[other])))
-    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
-    pairs = np.unique(p * len(n) + q)
-    return pairs // len(n), pairs % len(n)
+        p, q = left[query], right[member]
+        other = comp[p] != comp[q]
+        p, q = p[other], q[other]
+        if not forest:
+            yield p, q
+        elif len(p):
+            likeness = 2 * _shared(points, p, q) / (n[p] + n[q])
+            order = np.lexsort((own[q], -likeness, p))
+            place = np.arange(len(order)) - np.searchsorted(p[order], p[order])
+            found.append((p[order][place < NEAR], q[order][place < NEAR], likeness[order][place < NEAR]))
+    if found:
+        p, q, likeness = (np.concatenate(x) for x in zip(*found, strict=True))
+        taken = _forest(comp, p, q, likeness, own)
+        yield p[taken], q[taken]
 
 
 def _small_cells(heads: np.ndarray, sizes: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,50 +273,51 @@ def _small_cells(heads: np.ndarray, sizes: np.ndarray, comp: np.ndarray, n: np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _cell_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _cell_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) of rows (key, low, high, side, class, comp, n, counts): members of one cell in different components whose
-    summed minima allow the similarity; with ``nearest`` only each member's best one in the cell.
+    summed minima allow the similarity; with ``forest`` only those of the likest that join up the cell's components.
 
-    A task holds the cells of one Arrow batch; a cell of more than ``LEAF`` members is searched by its R-tree, one pair of chunks at a time.
+    A task holds the small cells of one Arrow batch; a cell of more than ``LEAF`` members is searched by its R-tree, one pair of chunks at
+    a time, and its pairs leave the task block by block.
     """
-    def candidates(cells: list[np.ndarray], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, comp, n, points, side = cells
+    def named(own: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(p):
+            a, b = np.unique(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def candidates(cells: list[np.ndarray], whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, comp, n, points, side, differ = cells
         sizes = np.diff(np.append(whole, len(own)))
         small = sizes <= LEAF
         p, q = _small_cells(whole[small], sizes[small], comp, n, percent)
-        parts = [(p, q)]
-        for at, size in zip(whole[~small], sizes[~small], strict=True):
-            part = slice(at, at + size)
-            if comp[part].min() != comp[part].max():
-                x, y = _large_cell(comp[part], n[part], points[part], side[part], percent)
-                parts.append((x + at, y + at))
-        p, q = (np.concatenate(x) for x in zip(*parts, strict=True))
         shared = _shared(points, p, q)
         able = enough(shared, n[p], n[q], percent)
         p, q, shared = p[able], q[able], shared[able]
-        if nearest and len(p):
+        if forest and len(p):
             row, other = np.concatenate([p, q]), np.concatenate([q, p])
-            order = np.lexsort((other, -np.tile(2 * shared / (n[p] + n[q]), 2), row))
+            order = np.lexsort((own[other], -np.tile(2 * shared / (n[p] + n[q]), 2), row))
             first = np.concatenate([[True], row[order][1:] != row[order][:-1]])
             p, q = row[order][first], other[order][first]
-        pairs = np.unique(np.stack([np.minimum(own[p], own[q]), np.maximum(own[p], own[q])]), axis=1)
-        return pairs[0], pairs[1]
+        yield from named(own, p, q)
+        for at, size in zip(whole[~small], sizes[~small], strict=True):
+            part = slice(at, at + size)
+            if comp[part].min() != comp[part].max():
+                for x, y in _large_cell(own[part], comp[part], n[part], points[part], side[part], bool(differ[at]), percent, forest):
+                    yield from named(own, x + at, y + at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows of the cell that may go on in the next batch
         last = None
 
         def done(cells: list[list[np.ndarray]], whole: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = candidates([np.concatenate(x) for x in zip(*cells, strict=True)], whole)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from candidates([np.concatenate(x) for x in zip(*cells, strict=True)], whole)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("key", "low", "high")])
             cols = [batch.column(k).to_numpy() for k in ("class", "comp", "n")]
-            cols += [unpack(batch.column("counts").to_pylist()), batch.column("side").to_numpy(zero_copy_only=False)]
+            cols += [unpack(batch.column("counts").to_pylist()), batch.column("side").to_numpy(zero_copy_only=False), keys[1] != keys[2]]
             heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
             if last is not None and (keys[:, 0] != last).any():
                 yield from done(held, np.zeros(1, np.int64))
@@ -295,14 +336,35 @@ def _cell_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+def _open_cells(cells: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of :func:`_cell_pairs` for all cells that hold more than one component.
+
+    A cell of more than ``CHUNK`` members is cut into chunks that meet in pairs. Members of its largest component need not meet each
+    other: they form chunks of their own that meet only those of the other members.
+    """
+    rows = checkpoint(cells.join(comps, cells["class"] == comps["node"], "left").select("key", "class", F.coalesce("comp", "class").alias("comp")))
+    kinds = rows.groupBy("key", "comp").agg(F.count("*").alias("_n"))
+    sizes = kinds.groupBy("key").agg(F.count("*").alias("_kinds"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_most")).filter("_kinds > 1")
+    whole = F.col("_all") <= CHUNK
+    sizes = sizes.select(
+        "key", F.col("_most.comp").alias("_most"), F.when(whole, 1).otherwise(F.ceil((F.col("_all") - F.col("_most._n")) / CHUNK)).cast("int").alias("_few"),
+        F.when(whole, 0).otherwise(F.ceil(F.col("_most._n") / CHUNK)).cast("int").alias("_many"))
+    members = rows.join(sizes, "key").join(known, F.col("class") == F.col("_class"))
+    large = (F.col("_many") > 0) & (F.col("comp") == F.col("_most"))
+    chunk = F.when(large, F.col("_few") + F.pmod(F.xxhash64("class"), F.greatest("_many", F.lit(1)))).otherwise(F.pmod(F.xxhash64("class"), F.col("_few"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(large, F.col("_few") - 1).otherwise(F.col("_few") + F.col("_many") - 1))
+    split = members.withColumn("_chunk", chunk).withColumn("_with", F.explode(meets))
+    return split.withColumn("low", F.least("_chunk", "_with")).withColumn("high", F.greatest("_chunk", "_with")).withColumn("side", F.col("_chunk") == F.col("low"))
+
+
+def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, forest_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """For rows (id, text): (id, n, class) of every row, and (node, comp) of the classes of equal sets that are linked to others.
 
     Sets are points of group counts. The top of the index are the cells of :func:`subspace_keys`, which bring every linked pair
     together in some task; under it each cell is a packed R-tree searched with the bound of the summed minima; pairs that pass are
     compared token by token. So that a cell of near copies need not list its pairs, members are joined up first: all with the
-    cell's first one, then each with its nearest one in another component (``nearest_rounds`` times). The last round takes every
-    pair that passes the bound and is not in one component yet: the components are exact.
+    cell's first one, then by forests of the likest pairs between the components of a cell (``forest_rounds`` times). The last round
+    takes every pair that passes the bound and is not in one component yet: the components are exact.
     """
     profile = checkpoint(_profile(docs, width, percent))
     cells = _cells(profile)
@@ -310,16 +372,11 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, nearest_
     known = texts.select(F.col("class").alias("_class"), "n", "counts")
     tested = checkpoint(cells.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     links = _verified(_bounded(tested, texts, percent), texts, width, percent)
-    for turn in range(nearest_rounds + 1):
-        comps = connected_components(links)
-        rows = checkpoint(cells.join(comps, cells["class"] == comps["node"], "left").select("key", "class", F.coalesce("comp", "class").alias("comp")))
-        open_cells = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_members")).filter("_lo < _hi")
-        chunks = F.ceil(F.col("_members") / CHUNK).cast("int")
-        members = rows.join(open_cells, "key").select("key", "class", "comp", "_members").dropDuplicates(["key", "class"]).join(known, F.col("class") == F.col("_class"))
-        split = members.withColumn("_chunk", F.pmod(F.xxhash64("class"), chunks).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        split = split.withColumn("low", F.least("_chunk", "_with")).withColumn("high", F.greatest("_chunk", "_with")).withColumn("side", F.col("_chunk") == F.col("low"))
-        pairs = checkpoint(_cell_pairs(split, percent, nearest=turn < nearest_rounds).join(tested, ["a", "b"], "left_anti"))
-        links, tested = links.union(_verified(pairs, texts, width, percent)), tested.union(pairs)
+    for turn in range(forest_rounds + 1):
+        rows = _open_cells(cells, connected_components(links), known)
+        pairs = checkpoint(_cell_pairs(rows, percent, forest=turn < forest_rounds).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            links, tested = links.union(_verified(pairs, texts, width, percent)), tested.union(pairs)
     return profile.select("id", "n", "class"), connected_components(links)
 
 
