@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.functions import comparators, json_pairs
+from tidewright.functions import comparators, json_trees
 from tidewright.operators import diff as D
 from tidewright.operators import repairs as R
 
@@ -37,9 +37,12 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("base,cand,want", CASES)
-def test_golden_differences(spark, base, cand, want):
-    assert diffs(spark, base, cand) == sorted(want)
+def test_golden_differences(spark):
+    left = frame(spark, [(i, c[0]) for i, c in enumerate(CASES)])
+    right = frame(spark, [(i, c[1]) for i, c in enumerate(CASES)])
+    found = D.diff_rows(D.compare_pairs(D.pair_snapshots(left, right))).collect()
+    for i, (_, _, want) in enumerate(CASES):
+        assert sorted((r["path"], r["type"], r["severity"], r["fixable"]) for r in found if r["id"] == i) == sorted(want), CASES[i]
 
 
 def test_strict_mode_reports_positions(spark):
@@ -109,7 +112,7 @@ def test_dice_matches_brute_force(spark):
                 hit += 1
         return 2 * hit / (len(x) + len(y) - 2)
 
-    got = spark.createDataFrame(pairs, "a string, b string").select(json_pairs.dice(F.col("a"), F.col("b"))).collect()
+    got = spark.createDataFrame(pairs, "a string, b string").select(json_trees.dice(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == pytest.approx([brute(*p) for p in pairs])
 
 
@@ -211,3 +214,77 @@ def test_comparators_see_types_and_nesting(spark):
     for name, a, b, kind, want in cases:
         row = spark.range(1).select(comparators.build(name)(F.lit(a), F.lit(b), F.lit(kind), F.lit(kind)).alias("r")).first()
         assert row["r"] is want, (name, a, b)
+
+
+def test_malformed_and_deep_texts(spark):
+    deep = lambda n, x: "[" * n + x + "]" * n
+    bad = ['{"a":1,}', "[1 2]", '{"a" 1}', '{"a":01}', '{"a":"x', '["\\x"]', "tru", "[1]]", '{"a":1}{', "{1:2}", '["a\nb"]', ""]
+    base = spark.createDataFrame([(i, '{"a":1}') for i in range(len(bad))] + [(100, deep(600, "1")), (101, "9007199254740993"), (102, '{"b": 1.0}')], "id int, data string")
+    cand = spark.createDataFrame(list(enumerate(bad)) + [(100, deep(600, "2")), (101, "9007199254740992"), (102, '{"b":1}')], "id int, data string")
+    got = {r["id"]: r for r in D.compare_pairs(D.pair_snapshots(base, cand)).collect()}
+    for i in range(len(bad)):
+        assert [(d["path"], d["type"]) for d in got[i]["diffs"]] == [("data", "malformed-json")], bad[i]
+        assert got[i]["verdict"] == "unsafe" and got[i]["similarity"] == 0.0
+    assert [d["type"] for d in got[100]["diffs"]] == ["value-change"] and len(got[100]["diffs"][0]["segments"]) == 601
+    assert [d["type"] for d in got[101]["diffs"]] == ["value-change"] and got[102]["identical"]
+
+
+def test_repairs_of_odd_names_and_null_items(spark):
+    base = {"o'k": [2, 1], "a.b": {"[0]": 5, "q\"": "x\\y"}, "l": [3, {"k": 4}], "e": 1, "z\u0001": 1}
+    cand = {"x1": 1, "o'k": [1, 2], "a.b": {"[0]": None, "q\"": None}, "l": [None, {"k": None}], "e": None, "more": {"d": [1]}, "z\u0001": None, "x2": 2}
+    again = R.apply_repairs(D.pair_snapshots(frame(spark, [(1, base)]), frame(spark, [(1, cand)]))).first()
+    assert json.loads(again["cand_data"]) == base
+
+
+def test_edits_by_action(spark):
+    from tidewright.functions import json_trees as T
+
+    text = '{"a": [1, 2, 3], "b": {}, "c": {"d": 1, "e": 2}}'
+    cases = [
+        ([(["r", "a"], "adjust-array", "5")], {"a": [1, 2, 3, None, None], "b": {}, "c": {"d": 1, "e": 2}}),
+        ([(["r", "a"], "adjust-array", "1")], {"a": [1], "b": {}, "c": {"d": 1, "e": 2}}), ([(["r", "a"], "adjust-array", "0")], {"a": [], "b": {}, "c": {"d": 1, "e": 2}}),
+        ([(["r", "b", "n"], "add-field", '"v"'), (["r", "c", "d"], "remove-field", None)], {"a": [1, 2, 3], "b": {"n": "v"}, "c": {"e": 2}}),
+        ([(["r", "c", "d"], "remove-field", None), (["r", "c", "e"], "remove-field", None)], {"a": [1, 2, 3], "b": {}, "c": {}}),
+        ([(["r", "a", "#1"], "map-value", "9"), (["r", "a"], "reorder-array", "[7]")], {"a": [7], "b": {}, "c": {"d": 1, "e": 2}}),
+        ([(["r", "q", "z"], "map-value", "9"), (["r", "c", "e"], "convert-type", '"2"')], {"a": [1, 2, 3], "b": {}, "c": {"d": 1, "e": "2"}}),
+    ]
+    df = spark.createDataFrame([(i, text, c[0]) for i, c in enumerate(cases)], "i int, t string, r array<struct<segments: array<string>, action: string, value: string>>")
+    got = T.with_tree(df, "t", "tree", "r").select("i", T.edit(F.col("tree"), F.col("r")).alias("out")).collect()
+    assert [json.loads(r["out"]) for r in sorted(got)] == [c[1] for c in cases]
+
+
+def test_a_long_string_does_not_stop_null_stripping(spark):
+    text = json.dumps({"a": "x\\\"y" * 200_000, "b": None})
+    got = spark.createDataFrame([(text,)], "j string").select(D.strip_nulls(F.col("j")).alias("r")).first()["r"]
+    assert json.loads(got) == {"a": "x\\\"y" * 200_000}
+
+
+def test_comparison_has_no_python_node(spark):
+    pairs = D.pair_snapshots(frame(spark, [(1, {"a": 1})]), frame(spark, [(1, {"a": 2})]))
+    plan = R.verify_repairs(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_trees_against_a_parser(spark):
+    import random
+
+    from tidewright.functions import json_trees as T
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind < 6:
+            return [None, True, False, rng.randrange(-5, 10**17), round(rng.random() * 100, 3), rng.choice(["", "a\"b", "x\\", "é\n", "{[,:"])][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 6 else {rng.choice("abcdefgh\"\\") + str(i): value(depth - 1) for i in range(rng.randrange(4))}
+
+    def walk(v, path="$", parent=None, depth=0):
+        kind = {dict: "object", list: "array", str: "string", type(None): "null", bool: "boolean"}.get(type(v), "number")
+        yield (path, parent, depth, kind, None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v))
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+            yield from walk(x, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]", path, depth + 1)
+
+    values = [value(4) for _ in range(150)]
+    rows = [(i, json.dumps(v, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)) for i, v in enumerate(values)]
+    flat = D.flatten_json(spark.createDataFrame(rows, "id int, j string"), "id", "j").orderBy("id", "ordinal").collect()
+    assert [tuple(r)[:6] for r in flat] == [(i, *n) for i, v in enumerate(values) for n in walk(v)]

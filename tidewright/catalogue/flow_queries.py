@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.catalogue.bindings import OPS, SNAPSHOTS, ops, snapshots
 from tidewright.catalogue.registry import query, table
-from tidewright.functions import comparators, json_pairs
+from tidewright.functions import comparators, json_trees
 from tidewright.operators import diff as D
 from tidewright.operators import repairs as R
 from tidewright.operators.strategies import FieldMapping, extract_with, map_fields, regex_strategy
@@ -67,7 +67,7 @@ def dice_similarity(spark, sf):
     names = li.join(p, li.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(F.min("p_name").alias("p"), F.max("p_name").alias("q"))
     strip = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     pairs = names.select(strip(F.col("p")).alias("x"), strip(F.col("q")).alias("y")).distinct()
-    return pairs.withColumn("d", json_pairs.dice(F.col("x"), F.col("y")))
+    return pairs.withColumn("d", json_trees.dice(F.col("x"), F.col("y")))
 
 
 @query("json_leaves", f"WITH {SNAPSHOTS} SELECT id, 5 + 2 * len(items) AS leaves, 1 + len(items) AS objects, 'cust,id,priority,status,total' AS top_keys FROM snap2 WHERE has_base")
@@ -77,7 +77,7 @@ def json_leaves(spark, sf):
     leaf = F.col("node_type").isin("string", "number", "boolean")
     return nodes.groupBy("id").agg(
         F.count_if(leaf).alias("leaves"), F.count_if(F.col("node_type") == "object").alias("objects"),
-        F.array_join(F.sort_array(F.collect_list(F.when((F.col("depth") == 1) & leaf, F.substring("path", 3, 100)))), ",").alias("top_keys"),
+        F.array_join(F.sort_array(F.collect_list(F.when((F.col("depth") == 1) & leaf, F.expr("substring(path, 3)")))), ",").alias("top_keys"),
     )
 
 

@@ -1,8 +1,8 @@
 """Comparison of two JSON snapshots per id.
 
 The one shuffle is the pairing by id. Alignment, classification, scoring and
-the verdict then run on the paired row, so no path row is ever exchanged.
-Pairs with equal texts skip the parser.
+the verdict then are columns of the paired row, so no path row is ever exchanged.
+Pairs with equal texts are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions import comparators, json_pairs
+from tidewright.functions import comparators, json_trees
 
 # Field words that raise a value change to medium, and the
 # breaking-change table.
@@ -25,6 +25,7 @@ BREAKING = (
     ("type-mismatch", "type-change", "high", "Add type conversion in alignment function"),
     ("structure-change", "semantic-change", "medium", "Restructure data in alignment function"),
 )
+MALFORMED = "malformed-json"  # of the one difference of a pair whose texts cannot be read
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ def convertible(a: Column, b: Column, ta: Column, tb: Column) -> Column:
 
 def severity(type_: Column, important: Column) -> Column:
     return (
-        F.when(type_.isin("missing-field", "type-mismatch"), "critical")
+        F.when(type_.isin("missing-field", "type-mismatch", MALFORMED), "critical")
         .when(type_ == "structure-change", "high")
         .when((type_ == "value-change") & important, "medium")
         .otherwise("low")
@@ -192,6 +193,15 @@ def _diffs(nodes: Column, cfg: CompareConfig) -> Column:
     return out
 
 
+def _unread(test: Column, root: str, base: Column, cand: Column) -> Column:
+    """The difference of a pair of which a text is malformed, or none."""
+    null = F.lit(None).cast("string")
+    row = F.struct(
+        F.lit(root).alias("path"), F.array(F.lit(root)).alias("segments"), F.lit(MALFORMED).alias("type"), base.alias("baseline"), cand.alias("candidate"),
+        F.lit("string").alias("base_type"), F.lit("string").alias("cand_type"), F.lit("critical").alias("severity"), F.lit(False).alias("fixable"), null.alias("ignored"))
+    return F.filter(F.array(row), lambda _: F.coalesce(test, F.lit(False)))
+
+
 def percent_change(old: Column, new: Column) -> Column:
     return F.when(old == 0, F.when(new > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise((new - old) / old * 100.0)
 
@@ -216,26 +226,32 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
 
     ``pairs`` comes from ``pair_snapshots`` over frames with ``data`` (JSON),
     and optionally ``errors`` (JSON), ``duration`` and ``size``. ``keep`` carries
-    the input columns along.
+    the input columns and the alignment ``_p`` along.
+
+    No data is JSON's null: a side without data differs from one with data at the root. Texts that differ and of which one is
+    malformed give one difference of type ``malformed-json`` at the root, similarity 0 and the verdict unsafe.
     """
     cfg = cfg or CompareConfig()
     null = F.lit(None).cast("string")
     have = lambda c, t: F.col(c) if c in pairs.columns else F.lit(None).cast(t)
-    align = json_pairs.align_pairs("data", frozenset(cfg.comparators))
-    align_errors = json_pairs.align_pairs("errors", frozenset(cfg.comparators))
-    # No data is JSON's null: a side without data differs from one with data at the root.
     data = {p: F.coalesce(F.col(f"{p}_data"), F.lit("null")) for p in ("base", "cand")}
     changed = F.col("has_base") & F.col("has_cand") & (data["base"] != data["cand"])
     be, ce = have("base_errors", "string"), have("cand_errors", "string")
     err_changed = F.col("has_base") & F.col("has_cand") & ~be.eqNullSafe(ce)
-    # Equal texts are sent as nulls, so the helper returns no nodes for them.
+    # Equal texts are left out as nulls, which have no nodes.
     gate = lambda test, c: F.when(test, c).otherwise(null)
-    rows = pairs.withColumn("_p", align(gate(changed, data["base"]), gate(changed, data["cand"])))
+    rows = pairs.withColumn("_base", gate(changed, data["base"])).withColumn("_cand", gate(changed, data["cand"]))
+    rows = json_trees.align(rows, "_base", "_cand", "_p", "data", cfg.comparators)
+    malformed = F.coalesce(F.col("_p.malformed"), F.lit(False))
     if "base_errors" in pairs.columns:
-        rows = rows.withColumn("_e", align_errors(gate(err_changed, be), gate(err_changed, ce)))
+        rows = rows.withColumn("_base", gate(err_changed, be)).withColumn("_cand", gate(err_changed, ce))
+        rows = json_trees.align(rows, "_base", "_cand", "_e", "errors", cfg.comparators)
         error_diffs = _diffs(F.col("_e.nodes"), CompareConfig(cfg.strict, cfg.ignore, [], cfg.comparators))
+        error_diffs = F.concat(error_diffs, _unread(F.col("_e.malformed"), "errors", be, ce))
+        malformed = malformed | F.coalesce(F.col("_e.malformed"), F.lit(False))
     else:
         error_diffs = F.filter(_diffs(F.col("_p.nodes"), cfg), lambda d: F.lit(False))
+    data_diffs = F.concat(_diffs(F.col("_p.nodes"), cfg), _unread(F.col("_p.malformed"), "data", data["base"], data["cand"]))
     both = F.col("has_base") & F.col("has_cand")
     lost = F.array(
         F.struct(
@@ -247,8 +263,8 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
         )
     )
     rows = rows.withColumn(
-        "diffs", F.when(both, F.concat(_diffs(F.col("_p.nodes"), cfg), error_diffs)).otherwise(lost)
-    ).withColumn("_structure", json_pairs.dice(F.col("_p.base_shape"), F.col("_p.cand_shape")))
+        "diffs", F.when(both, F.concat(data_diffs, error_diffs)).otherwise(lost)
+    ).withColumn("_structure", json_trees.dice(F.col("_p.base_shape"), F.col("_p.cand_shape"))).withColumn("_malformed", malformed)
     count = lambda f: F.size(F.filter("diffs", f))
     breaking = [b[0] for b in BREAKING]
     values = F.when(F.coalesce(F.col("_p.base_leaves"), F.lit(0)) == 0, 1.0).otherwise(
@@ -256,13 +272,13 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
     )
     weighted = F.coalesce("_structure", F.lit(1.0)) * 0.7 + values * 0.3
     raw = weighted - count(lambda d: d["severity"] == "critical") * 0.1
-    similarity = F.when(~both, 0.0).when(F.size("diffs") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), raw))
+    similarity = F.when(~both | F.col("_malformed"), 0.0).when(F.size("diffs") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), raw))
     zero = F.lit(0.0)
     change = lambda n: (
         F.when(both, percent_change(F.col(f"base_{n}"), F.col(f"cand_{n}"))).otherwise(zero)
         if f"base_{n}" in pairs.columns else zero
     )
-    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] if keep else []
+    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] + ["_p"] if keep else []
     out = rows.select(
         "id", "has_base", "has_cand", *carried, "diffs", (F.size("diffs") == 0).alias("identical"), similarity.alias("similarity"),
         count(lambda d: d["type"].isin(*breaking)).alias("breaking"),
@@ -342,7 +358,8 @@ def ignored_counts(compared: DataFrame) -> DataFrame:
 
 
 def flatten_json(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.inline(json_pairs.flatten_nodes(F.col(text))))
+    """Every node of the JSON column ``text`` with its path, type, scalar and order key. Null and malformed texts have no rows."""
+    return df.select(F.col(id_col).alias("id"), F.inline(json_trees.flat_nodes(f"`{text}`")))
 
 
 def pair_paths(base: DataFrame, cand: DataFrame) -> DataFrame:
@@ -359,17 +376,7 @@ def positional_matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda m: m))
 
 
-_TEXT = r'"(?:[^"\\]|\\.)*"'  # a JSON text
-
-
-def strip_nulls(json_col: Column) -> Column:
-    """Drops the null members of every object of a JSON text, nested ones too; nulls inside lists stay.
-
-    Texts are stepped over whole, so member order, numbers and the rest stay as written.
-    """
-    null = rf"{_TEXT}\s*:\s*null(?=\s*[,}}])"
-    later = F.regexp_replace(json_col, rf",\s*{null}|({_TEXT})", "$1")
-    return F.regexp_replace(later, rf"{null}\s*,?\s*|({_TEXT})", "$1")
+strip_nulls = json_trees.strip_nulls
 
 
 def line_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import json_pairs
+from tidewright.functions import json_trees
 from tidewright.functions.text import TOKEN_PATTERN
 from tidewright.operators import diff as D
 
@@ -45,34 +45,28 @@ def derive_repairs(diffs: DataFrame) -> DataFrame:
     )
 
 
-def _repairs_of(diffs: Column, base: Column) -> Column:
-    """Repairs of one pair as structs for the JSON helper, on the same row."""
-    def step(s):
-        return F.when(s.rlike(r"^#\d+$"), F.concat(F.lit("["), F.substring(s, 2, 20), F.lit("]"))).otherwise(
-            F.concat(F.lit("['"), s, F.lit("']"))
-        )
-
+def _repairs_of(diffs: Column, moved: Column) -> Column:
+    """Repairs of one pair as structs for ``json_trees.edit``; ``moved`` has the baseline text of reordered lists. A repair without a value is left out."""
     def value(d):
-        tail = F.transform(F.slice(d["segments"], 2, F.size(d["segments"])), step)
-        whole = F.call_function("get_json_object", base, F.concat(F.lit("$"), F.array_join(tail, "")))
-        quoted = F.to_json(F.array(d["baseline"]))
-        text = F.when(d["base_type"] == "string", F.regexp_extract(quoted, r"^\[([\s\S]*)\]$", 1))
-        return F.when(d["type"] == "array-order", whole).otherwise(F.coalesce(text, d["baseline"]))
-
-    return F.transform(
-        F.filter(diffs, lambda d: d["fixable"] & (F.size(d["segments"]) > 1)),
+        whole = F.get(F.filter(moved, lambda m: m["path"] == json_trees.path_of(d["segments"])), F.lit(0))["text"]
+        text = F.when(d["base_type"] == "string", F.regexp_extract(F.to_json(F.array(d["baseline"])), r"^\[([\s\S]*)\]$", 1)).otherwise(F.coalesce(d["baseline"], F.lit("null")))
+        return F.when(d["type"] == "array-order", whole).otherwise(text)
+
+    found = F.transform(
+        F.filter(diffs, lambda d: d["fixable"] & (F.size(d["segments"]) > 1) & (F.get(d["segments"], F.lit(0)) == "data")),
         lambda d: F.struct(d["segments"].alias("segments"), action_of(d["type"]).alias("action"), value(d).alias("value")),
     )
+    return F.filter(found, lambda r: r["value"].isNotNull())
 
 
 def apply_repairs(pairs: DataFrame, cfg: D.CompareConfig | None = None) -> DataFrame:
     """The pairs with the candidate repaired toward the baseline.
 
     Both texts are already on one row, so repairs are derived and applied there
-    without another shuffle.
+    without another shuffle, on the tree that the comparison has read. Malformed candidates and those without a repair stay as they are.
     """
-    compared = D.compare_pairs(pairs, cfg, keep=True)
-    fixed = json_pairs.repair_json(F.col("cand_data"), _repairs_of(F.col("diffs"), F.col("base_data")))
+    compared = D.compare_pairs(pairs, cfg, keep=True).withColumn("_fixes", _repairs_of(F.col("diffs"), F.col("_p.moved")))
+    fixed = F.when(F.col("_p.cand_tree").isNull() | (F.size("_fixes") == 0), F.col("cand_data")).otherwise(json_trees.edit(F.col("_p.cand_tree"), F.col("_fixes")))
     return compared.select(*[c for c in pairs.columns if c != "cand_data"], fixed.alias("cand_data"))
 
 
@@ -100,7 +94,7 @@ def remap_json(df: DataFrame, col: str, renames: Sequence[tuple[str, str]], head
                 at[last] = walk(x)
             return out
 
-        return pd.Series([None if t is None else json_pairs.dumps(walk(json.loads(t))) for t in texts])
+        return pd.Series([None if t is None else json.dumps(walk(json.loads(t)), separators=(",", ":"), ensure_ascii=False) for t in texts])
 
     return df.withColumn(col, remap(F.col(col)))
 
