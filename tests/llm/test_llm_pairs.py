@@ -75,7 +75,12 @@ def test_tree_search_equals_a_scan(n, seed):
     assert linked <= got
 
 
-def test_components_of_paths_stars_and_noise(spark):
+@pytest.mark.parametrize("edges", [None, 0])
+def test_components_of_paths_stars_and_noise(spark, monkeypatch, edges):
+    from tidewright.llm import components
+
+    if edges is not None:
+        monkeypatch.setattr(components, "TASK_EDGES", edges)
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 1000 + i) for i in range(300)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(5, 5), (160, 100), (None, 3)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}

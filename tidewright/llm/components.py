@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidewright.session import checkpoint
 
 
+TASK_EDGES = 1 << 18  # edges (16 bytes each) that one task takes; a graph of no more stays in one partition, which needs no exchange
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b): comp is the smallest node that can be reached. Nodes are bigints.
 
@@ -16,11 +19,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. Loops and repeated edges are harmless; null ends are left out; no edges give no rows.
     """
     edges = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     pairs = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    nodes = checkpoint(nodes)
+    small = pairs.count() <= TASK_EDGES and nodes.count() <= 2 * TASK_EDGES
+    dealt = (lambda df: df.coalesce(1)) if small else (lambda df: df)
     while True:
-        both = pairs.union(pairs.select("v", "u"))
+        pairs = dealt(pairs)
+        both = pairs.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -31,5 +36,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         degree = pairs.groupBy("u").agg(F.count("*").alias("_n"))
         if degree.join(led_to, F.col("u") == F.col("_v"), "left").filter("_n > 1 OR _v IS NOT NULL").isEmpty():
             break
-    found = pairs.groupBy("u").agg(F.min("v").alias("comp"))
+    found, nodes = dealt(pairs).groupBy("u").agg(F.min("v").alias("comp")), dealt(nodes)
     return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("comp", "node").alias("comp"))
