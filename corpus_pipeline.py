@@ -18,22 +18,30 @@ from tidewright.session import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; null texts and texts without letters go. Cosines fall with the length of a text, so none is too small."""
-    return identify_languages(docs).filter(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    """Documents whose language is told, a missing ``lang`` filled with it; null texts and texts without letters are rejected.
+
+    Cosines fall with the length of a text, so none is too small. Where no language is learned, because no text is labelled, none is
+    told: then all texts with a letter stay, as they are.
+    """
+    told = F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred"))
+    kept = identify_languages(docs).filter(told.isNotNull() | F.regexp_like("text", F.lit(r"\p{L}")))
+    return kept.withColumn("lang", F.coalesce("lang", told)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; of rows with equal id and text one stays.
+    """Of each group of linked documents the one of the smallest id stays, null ids last; ties go by the text's hash.
 
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay. Of rows with equal id and text one stays. Rows are told apart by id and
+    text, so repeated and null ids lose and keep nothing they should not.
     """
-    groups = jaccard_join(docs.select("doc_id", "text"), width=5, percent=80)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    same = Window.partitionBy("_key").orderBy("_hash")
-    kept = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(first, "_key", "left_semi")
-    kept = kept.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = kept.withColumn("_again", F.coalesce(F.lag("_hash").over(same) == F.col("_hash"), F.lit(False)))
-    return kept.filter(~F.col("_again")).select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    groups = jaccard_join(docs.select(key.alias("doc_id"), "text"), width=5, percent=80)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
+    first = first.select(F.struct("doc_id", "times").alias("found"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    kept = held.join(first, F.col("key") == F.col("found.doc_id"))
+    once, again = kept.filter("found.times = 1"), kept.filter("found.times > 1").dropDuplicates(["key"])
+    return once.select("row").union(again.select("row")).select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +50,15 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    mixed = mix_sources(hashed.select("doc_id", "text", "source", "_hash"), carry=("_hash",))
-    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\x00")), F.col("_hash").cast("string"))
-    copies = mixed.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).filter(F.get("_copies", F.lit(0)) > 0)
-    placed = hashed.withColumn("_key", key).join(copies, "_key")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
-    taken = placed.withColumn("_n", F.get("_copies", turn)).filter("_n > 0")
-    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice. Rows of equal id, source and text are taken as often as the mix takes them together."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    mixed = mix_sources(held.select("doc_id", "text", "source", "hash"), carry=("hash",))
+    key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\x00")), F.col("hash").cast("string"))
+    copies = mixed.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).filter(F.get("copies", F.lit(0)) > 0)
+    placed = held.select("row", key.alias("key")).join(copies, "key")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
+    taken = placed.withColumn("n", F.get("copies", turn)).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
