@@ -64,3 +64,47 @@ def test_incremental_corpus(spark):
     changed, kept = J.incremental_corpus(now, manifest)
     assert sorted(r["path"] for r in changed.collect()) == ["b", "c"]
     assert [r["path"] for r in kept.collect()] == ["a"]
+
+
+def test_manifest_versions_survive_a_second_run(spark, tmp_path):
+    folder = str(tmp_path / "manifest")
+    rounds = [[("a", "1", 0), ("b", "2", 0), ("c", "3", 0), ("n", None, 0)], [("a", "1", 1), ("b", "2!", 1), ("c", None, 1), ("d", "4", 1), ("d", "5", 2)], [("c", "3", 3), ("d", None, 3)]]
+    J.start_manifest(spark, folder)
+    frames = [spark.createDataFrame(r, "path string, content string, seq int") for r in rounds]
+    for n, df in enumerate(frames):
+        J.merge_into_manifest(df, n, folder)
+    want = [("a", "added", 0), ("b", "added", 0), ("c", "added", 0), ("b", "changed", 1), ("c", "deleted", 1), ("d", "added", 1), ("c", "added", 2), ("d", "deleted", 2)]
+    read = lambda: sorted((r["path"], r["status"], r["version"]) for r in J.manifest_versions(spark, folder).collect())
+    assert read() == sorted(want)
+    for n in (1, 2):  # a batch that was stopped is run again
+        J.merge_into_manifest(frames[n], n, folder)
+    assert read() == sorted(want)
+    assert sorted(r["path"] for r in J.manifest_as_of(spark, folder).collect()) == ["a", "b", "c"]
+    assert sorted(r["path"] for r in J.manifest_as_of(spark, folder, 0).collect()) == ["a", "b", "c"]
+    assert sorted(r["path"] for r in J.manifest_as_of(spark, folder, 1).collect()) == ["a", "b", "d"]
+
+
+def test_a_failed_handler_is_called_again_for_its_batch_only(spark, tmp_path):
+    src, calls, broken = str(tmp_path / "src"), [], [True]
+    schema = "op string, ts timestamp, action string"
+
+    def handler(df, n):
+        if n == 1 and broken[0]:
+            broken[0] = False
+            raise RuntimeError("handler failed")
+        calls.append((n, sorted(r["op"] for r in df.collect())))
+
+    def run():
+        live = spark.readStream.schema(schema).parquet(src)
+        J.rollback_stream(live, handler, str(tmp_path / "ledger"), str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+
+    for n, ops in enumerate((["x", "y", "x"], ["x", "z"], ["w"])):
+        spark.createDataFrame([(o, T0 + dt.timedelta(hours=n), "rollback") for o in ops] + [("q", T0, "increase")], schema).coalesce(1).write.mode("append").parquet(src)
+        if n == 1:
+            with pytest.raises(Exception, match="handler failed"):
+                run()
+        run()
+    assert calls == [(0, ["x", "y"]), (1, ["x", "z"]), (2, ["w"])]
+    again = spark.createDataFrame([("x", T0, "rollback"), ("v", T0, "rollback")], schema)
+    J.handle_rollbacks(again, 1, handler, str(tmp_path / "ledger"))  # the entry of a batch keeps its operations from a second call
+    assert calls[-1] == (1, ["v"])

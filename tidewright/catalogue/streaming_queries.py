@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.catalogue.bindings import CALLS
-from tidewright.catalogue.registry import query
+from tidewright.catalogue.registry import query, table
 from tidewright.operators.experiments import assign_arm
 from tidewright.streaming import jobs as J
 
@@ -76,10 +76,42 @@ def stream_alerts(spark, sf):
 
 @query("incremental_corpus", """SELECT doc_id, 'changed' AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 3 UNION ALL SELECT doc_id, 'kept' FROM documents WHERE NOT (doc_id % 7 = 0 OR doc_id % 11 = 3)""")
 def incremental_corpus(spark, sf):
-    from tidewright.catalogue.registry import table
-
     d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.col("text").alias("content"))
     old = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
     manifest = d.filter("doc_id % 11 <> 3").select("path", "doc_id", F.sha2(old, 256).alias("sha"))
     changed, kept = J.incremental_corpus(d, manifest)
     return changed.select("doc_id", F.lit("changed").alias("status")).unionByName(kept.select("doc_id", F.lit("kept").alias("status")))
+
+
+@query("stream_corpus", """SELECT doc_id, 'added' AS status, 0 AS version FROM documents WHERE doc_id % 5 > 0 AND text IS NOT NULL
+ UNION ALL SELECT doc_id, 'added', 1 FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL
+ UNION ALL SELECT doc_id, 'changed', 1 FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 = 0 AND text IS NOT NULL
+ UNION ALL SELECT doc_id, 'deleted', 2 FROM documents WHERE doc_id % 11 = 3 AND text IS NOT NULL
+ UNION ALL SELECT doc_id, 'changed', 2 FROM documents WHERE doc_id % 11 <> 3 AND doc_id % 5 > 0 AND doc_id % 7 = 0 AND doc_id % 2 = 0 AND text IS NOT NULL""")
+def stream_corpus(spark, sf):
+    """Three rounds of the documents as files: all but some; the rest and changes; deletions and changes taken back."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
+    i, changed = F.col("doc_id"), F.concat("text", F.lit("!"))
+    rounds = [
+        d.filter(i % 5 > 0).withColumn("content", F.col("text")),
+        d.withColumn("content", F.when((i % 5 > 0) & (i % 7 == 0), changed).otherwise(F.col("text"))),
+        d.filter((i % 2 == 0) | (i % 11 == 3)).withColumn("content", F.when(i % 11 == 3, None).otherwise(F.col("text"))),
+    ]
+    source, folder = J.work_folder(spark, "corpus-files"), J.work_folder(spark, "corpus")
+    schema = "path string, content string, seq int"
+    for n, rows in enumerate(rounds):  # the files of a round come before the next round is merged
+        rows.select("path", "content", F.lit(n).alias("seq")).write.mode("append").parquet(source)
+        live = spark.readStream.schema(schema).parquet(source)
+        J.corpus_stream(live, f"{folder}/manifest", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return J.manifest_versions(spark, f"{folder}/manifest").select(F.col("path").cast("bigint").alias("doc_id"), "status", "version")
+
+
+@query("stream_rollbacks", f"""WITH {CALLS} SELECT op, epoch_us(min(ts)) AS first_us, 1 AS calls FROM calls WHERE NOT ok GROUP BY op""")
+def stream_rollbacks(spark, sf):
+    """Failed calls as rollback decisions; the handler's own table tells how often each operation was handed over."""
+    folder = J.work_folder(spark, "rollbacks")
+    decisions = replay(spark, sf).select("op", "ts", F.when(F.col("ok"), "increase").otherwise("rollback").alias("action"))
+    q = J.rollback_stream(decisions, lambda df, n: df.write.mode("append").parquet(f"{folder}/handled"), f"{folder}/ledger", f"{folder}/ckpt")
+    q.trigger(availableNow=True).start().awaitTermination()
+    handled = spark.read.parquet(f"{folder}/handled")
+    return handled.groupBy("op").agg(F.unix_micros(F.min("ts")).alias("first_us"), F.count(F.lit(1)).cast("int").alias("calls"))

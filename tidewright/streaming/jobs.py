@@ -153,6 +153,72 @@ def incremental_corpus(current: DataFrame, manifest: DataFrame) -> tuple[DataFra
     return changed, kept
 
 
+MANIFEST = "path string, sha string, status string"
+
+
+def manifest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of a manifest table (path, sha, status, version); a deleted path's row has no sha."""
+    return spark.read.schema(f"{MANIFEST}, version int").parquet(folder)
+
+
+def start_manifest(spark: SparkSession, folder: str) -> None:
+    """An empty manifest, unless there is one."""
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{folder}/version=-1")
+
+
+def manifest_as_of(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """(path, sha, version) of the files that the corpus held after ``version``, or holds now."""
+    rows = manifest_versions(spark, folder)
+    rows = rows if version is None else rows.filter(F.col("version") <= version)
+    last = rows.groupBy("path").agg(F.max_by("sha", "version").alias("sha"), F.max("version").alias("version"))
+    return last.filter("sha IS NOT NULL")
+
+
+def merge_into_manifest(files: DataFrame, version: int, folder: str) -> None:
+    """Writes one version of the manifest: the paths of ``files`` (path, content, seq) that are added, changed or deleted.
+
+    A null content is a tombstone. Of several rows of a path the one of the largest ``seq`` counts. The version is compared with what
+    the versions before it hold and replaces what an earlier attempt at it has written, so a batch may be run again at any time.
+    """
+    spark = files.sparkSession
+    now = files.withColumn("sha", F.sha2("content", 256)).groupBy("path").agg(F.max_by("sha", "seq").alias("sha"))
+    old = manifest_as_of(spark, folder, version - 1).select("path", F.col("sha").alias("old"))
+    status = F.when(F.col("old").isNull() & F.col("sha").isNotNull(), "added").when(F.col("sha").isNull() & F.col("old").isNotNull(), "deleted").when(F.col("sha") != F.col("old"), "changed")
+    found = now.join(old, "path", "left").withColumn("status", status).filter("status IS NOT NULL")
+    found.select("path", "sha", "status").write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def corpus_stream(files: DataFrame, folder: str, checkpoint: str):
+    """A stream of files and tombstones (path, content, seq) merged into the manifest in ``folder``, one version per batch."""
+    start_manifest(files.sparkSession, folder)
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: merge_into_manifest(df, n, folder))
+
+
+LEDGER = "op string, ts timestamp"
+
+
+def handle_rollbacks(decisions: DataFrame, batch: int, handler: Callable[[DataFrame, int], None], ledger: str) -> None:
+    """Calls ``handler`` for the operations of a batch of rollout-log rows (op, ts, action) that roll back and have not been handled in this batch.
+
+    The handler gets (op, ts) with the first time of each. What it has handled is entered in the ledger, by batch; when it fails, or the
+    job stops before the entry, the batch is run again and only operations without an entry are handed over.
+    """
+    spark = decisions.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(f"{ledger}/batch=-1")
+    asked = decisions.filter("action = 'rollback'").groupBy("op").agg(F.min("ts").alias("ts"))
+    done = spark.read.schema(f"{LEDGER}, batch int").parquet(ledger).filter(F.col("batch") == batch)
+    todo = asked.join(done.select("op"), "op", "left_anti").persist()
+    if not todo.isEmpty():
+        handler(todo, batch)
+        todo.select("op", "ts").write.mode("append").parquet(f"{ledger}/batch={batch}")
+    todo.unpersist()
+
+
+def rollback_stream(decisions: DataFrame, handler: Callable[[DataFrame, int], None], ledger: str, checkpoint: str):
+    """A stream of rollout-log rows whose rollbacks are handed to ``handler`` once per batch and operation."""
+    return decisions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: handle_rollbacks(df, n, handler, ledger))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
