@@ -63,3 +63,22 @@ def test_queries_on_the_smallest_tables(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not mounted")
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+def test_repeated_and_null_ids_in_near_duplicates(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (2, text), (2, text), (None, text), (None, text), (2, "another text"), (None, "and a third one"), (None, "and a third one"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id bigint, text string, _key string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert {(r[0], r[1]) for r in got if r[0] != 3} == {(1, text), (2, "another text"), (None, "and a third one")}
+    assert {r[2] for r in got} == {"kept"} and len(got) == 4
+
+
+def test_languages_are_filled_and_unlabelled_corpora_stay(spark):
+    texts = ["the house of the river was there", "people were walking to it", "123 !!!", None]
+    plain = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, plain, "").collect()} == {0, 1}
+    taught = [(i, f"the house of the river was there {i} people walking", "en") for i in range(100, 160)]
+    mixed = spark.createDataFrame([*taught, (0, texts[0], None), (1, texts[1], "xx")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, mixed, "").collect()}
+    assert got[0] == "en" and got[1] == "xx" and len(got) == 62
