@@ -288,3 +288,29 @@ def test_trees_against_a_parser(spark):
     rows = [(i, json.dumps(v, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)) for i, v in enumerate(values)]
     flat = D.flatten_json(spark.createDataFrame(rows, "id int, j string"), "id", "j").orderBy("id", "ordinal").collect()
     assert [tuple(r)[:6] for r in flat] == [(i, *n) for i, v in enumerate(values) for n in walk(v)]
+
+
+def test_few_steps_are_a_longest_common_subsequence():
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(500):
+        x, y = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        got = R.few_steps(np.array(x, np.int64), np.array(y, np.int64))
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        if len(x) + len(y) - 2 * len(got) > 3:
+            assert R.few_steps(np.array(x, np.int64), np.array(y, np.int64), 3) is None
+    old = np.array([rng.randrange(1000) for _ in range(100_000)], np.int64)
+    new = np.delete(old, [rng.randrange(100_000) for _ in range(5)])
+    new[[10, 50_000, 90_000]] = 5000
+    start = time.time()
+    assert len(R.few_steps(old, new)) == len(new) - 3
+    assert time.time() - start < 10

@@ -127,8 +127,63 @@ def common_steps(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
         parts += [(mid, b, cut, d), (a, mid, c, cut)]
 
 
+FEW = 256  # edits that a frontier is followed for; texts further apart are halved
+
+
+def _run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """How many places from ``i`` and ``j`` on are equal."""
+    done, step = 0, 32
+    most = min(len(x) - i, len(y) - j)
+    while done < most:
+        part = x[i + done:i + min(done + step, most)] != y[j + done:j + min(done + step, most)]
+        hit = int(part.argmax()) if part.any() else len(part)
+        done += hit
+        if hit < len(part):
+            break
+        step *= 2
+    return done
+
+
+def few_steps(x: np.ndarray, y: np.ndarray, most: int = FEW) -> list[tuple[int, int]] | None:
+    """Index pairs of a longest common subsequence of sequences at most ``most`` insertions and deletions apart, else None.
+
+    For each number of edits the furthest place reached on every diagonal is kept; the time is the length times the edits at most.
+    """
+    n, m = len(x), len(y)
+    reach, trace = {1: 0}, []
+    for edits in range(min(most, n + m) + 1):
+        trace.append(dict(reach))
+        for k in range(-edits, edits + 1, 2):
+            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
+            i = reach.get(k + 1, 0) if down else reach[k - 1] + 1
+            if i <= n and 0 <= i - k <= m:
+                i += _run(x, y, i, i - k)
+            reach[k] = i
+            if i >= n and i - k >= m:
+                return _back(trace, n, m)
+    return None
+
+
+def _back(trace: list[dict[int, int]], n: int, m: int) -> list[tuple[int, int]]:
+    """The equal places on the way that ``trace`` took to the ends."""
+    pairs: list[tuple[int, int]] = []
+    i, j = n, m
+    for edits in range(len(trace) - 1, -1, -1):
+        reach, k = trace[edits], i - j
+        down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
+        last = (reach.get(k + 1, 0), reach.get(k + 1, 0) - k - 1) if down else (reach[k - 1], reach[k - 1] - k + 1)
+        start = (last[0], last[1] + 1) if down else (last[0] + 1, last[1])
+        start = start if edits else (0, 0)
+        pairs += zip(range(i - 1, start[0] - 1, -1), range(j - 1, start[1] - 1, -1))
+        i, j = last
+    return pairs[::-1]
+
+
 def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
-    """Token-level changes by longest common subsequence: one row per change. Memory is linear in the texts of a pair."""
+    """Token-level changes by longest common subsequence: one row per change.
+
+    Texts few edits apart take time in proportion to their length; others are halved, in memory linear in the texts of a pair.
+    """
     split = re.compile(TOKEN_PATTERN)
 
     def blocks(a, b):
@@ -140,7 +195,9 @@ def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
             ha, hb = ha - 1, hb - 1
         x, y = a[lo:ha], b[lo:hb]
         numbers = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
-        kept = list(common_steps(np.array([numbers[t] for t in x], np.int64), np.array([numbers[t] for t in y], np.int64)))
+        coded = [np.array([numbers[t] for t in tokens], np.int64) for tokens in (x, y)]
+        kept = few_steps(*coded)
+        kept = list(common_steps(*coded)) if kept is None else kept
         i = j = 0
         for p, q in kept + [(len(x), len(y))]:
             if p > i or q > j:
