@@ -202,6 +202,27 @@ def semantic_check(spark, sf):
     return W.semantic_check(_fields_after(spark, sf).join(o, "id"))
 
 
+@query("semantic_check_texts", """WITH t AS (SELECT DISTINCT l_orderkey AS id, lower(p_type) AS f FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT DISTINCT id FROM t)
+ SELECT id, 'warning' AS level, 'field-rename' AS what, CASE f WHEN 'economy' THEN 'order.economy > order.economyPrice' ELSE 'order.large > order.huge' END AS field FROM t WHERE f IN ('economy', 'large')
+ UNION ALL SELECT id, 'error', 'missing-field', 'order.promo' FROM t WHERE f = 'promo' AND id % 2 = 0 UNION ALL SELECT id, 'warning', 'added', 'order.extra' FROM o WHERE id % 3 = 0
+ UNION ALL SELECT id, 'error', 'missing-variable', 'b' FROM o WHERE id % 5 = 0 UNION ALL SELECT id, 'warning', 'missing-directive', 'live' FROM o WHERE id % 7 = 0""")
+def semantic_check_texts(spark, sf):
+    """Texts whose selections are the part types of an order, and the same after a rewrite."""
+    li, p = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("f"))
+    kinds = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_set("f")).alias("kinds"))
+    i = F.col("id")
+    kept = F.filter("kinds", lambda f: (f != "promo") | (i % 2 != 0))
+    named = F.transform(kept, lambda f: F.when(f == "economy", "economyPrice").when(f == "large", "huge").otherwise(f))
+
+    def text(names, second, live, more):
+        head = F.when(second, 'query Q($a: Int, $b: Int = 1) { order(id: $a, n: $b, text: "$c: @no {") { ').otherwise("query Q($a: Int) { order(id: $a) { ")
+        return F.concat(head, F.array_join(names, " "), F.when(live, " status @live").otherwise(" status"), F.when(more, " extra").otherwise(""), F.lit(" } } # { @not $d: "))
+
+    yes, no = F.lit(True), F.lit(False)
+    pairs = kinds.select("id", text(F.col("kinds"), yes, yes, no).alias("old"), text(named, i % 5 != 0, i % 7 != 0, i % 3 == 0).alias("new"))
+    return W.semantic_check_texts(pairs, "id", "old", "new", known=(("large", "huge"),))
+
+
 @query("rule_impact", f"WITH {_CH} SELECT id, old AS field, CASE type WHEN 'field-rename' THEN 'field-removal' ELSE 'schema-mismatch' END AS change, CASE type WHEN 'field-rename' THEN 'low' ELSE 'medium' END AS impact FROM ch WHERE type <> 'comment-out'")
 def rule_impact(spark, sf):
     return W.rule_impact(changes(spark, sf))

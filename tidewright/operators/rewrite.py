@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions import json_trees, selections
+from tidewright.functions import text as T
+from tidewright.operators import extraction as X
+
 # Score weights, pattern scores, history rates and path scores.
 WEIGHTS = (("complexity", 0.3), ("pattern_match", 0.3), ("coverage", 0.2), ("history", 0.2))
 HIGH_PATTERNS = ("simple-field-rename", "field-rename", "root-query-migration", "connection-to-array", "deprecated-field-removal")
@@ -294,6 +298,65 @@ def semantic_check(df: DataFrame) -> DataFrame:
     return df.select("id", F.inline(F.concat(*found, flags)))
 
 
+def alike(a: Column, b: Column, known: Sequence[tuple[str, str]] = ()) -> Column:
+    """Whether two names look like a rename: one contains the other, whatever the case, or the pair is ``known``."""
+    x, y = F.lower(a), F.lower(b)
+    listed = F.concat(a, F.lit(">"), b).isin([f"{old}>{new}" for old, new in known]) if known else F.lit(False)
+    return (a != b) & (x.contains(y) | y.contains(x) | listed)
+
+
+def outline(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """``df`` with what the semantic check needs of an operation text: paths of its fields, variables, directives, depth and kind.
+
+    Comments, texts and interpolations are stepped over by the field reader; variables are those that the header declares.
+    """
+    c = F.col(text)
+    bare = F.regexp_replace(json_trees.coded(c), r'#[^\n]*+|"[^"\n]*+"', " ")
+    paths = F.array_distinct(F.transform(selections.fields(c), lambda f: F.concat(f["trail"], F.array(f["name"]))))
+    return df.withColumns({
+        f"{prefix}_paths": paths, f"{prefix}_vars": F.array_distinct(X.all_matches(bare, r"\$([A-Za-z_]\w*)\s*:")),
+        f"{prefix}_directives": F.array_distinct(X.all_matches(bare, r"@([A-Za-z_]\w*)")), f"{prefix}_depth": T.brace_depth(bare), f"{prefix}_kind": F.coalesce(T.op_kind(c), F.lit("query")),
+    })
+
+
+def semantic_check_texts(df: DataFrame, id_col: str, before: str, after: str, known: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Findings (id, level, what, field) of a rewrite, from the two texts alone.
+
+    A field's place is the path of names above it. A path that the new text lacks is renamed if a new path of the same length agrees in
+    every step, each equal or :func:`alike` (the first such path counts), else missing; new paths that no rename explains are added.
+    Lost variables are errors, lost directives warnings; kind, depth, connections and node lists are compared as a whole. Null texts
+    have no fields; a pair without findings has no rows.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(before).alias("old"), F.col(after).alias("new"))
+    rows = outline(outline(rows, "old", "old"), "new", "new")
+    empty = F.array().cast("array<array<string>>")
+    old, new = F.coalesce("old_paths", empty), F.coalesce("new_paths", empty)
+    rows = rows.withColumn("_lost", F.array_except(old, new)).withColumn("_added", F.array_except(new, old))
+
+    def partner(p):
+        step = lambda x, y: (x == y) | alike(x, y, known)
+        return F.get(F.filter("_added", lambda q: (F.size(q) == F.size(p)) & F.forall(F.zip_with(p, q, step), lambda m: F.coalesce(m, F.lit(False)))), 0)
+
+    rows = rows.withColumn("_matched", F.transform("_lost", lambda p: F.struct(p.alias("path"), partner(p).alias("to"))))
+    shown = lambda p: F.array_join(p, ".")
+    row = lambda level, what, field: F.struct(F.lit(level).alias("level"), F.lit(what).alias("what"), field.alias("field"))
+    used = F.transform(F.filter("_matched", lambda m: m["to"].isNotNull()), lambda m: m["to"])
+    lost = lambda kind: F.array_except(F.coalesce(f"old_{kind}", F.array().cast("array<string>")), F.coalesce(f"new_{kind}", F.array().cast("array<string>")))
+    one = lambda test, level, what: F.when(test, row(level, what, F.lit("")))
+    findings = F.concat(
+        F.transform(F.filter("_matched", lambda m: m["to"].isNull()), lambda m: row("error", "missing-field", shown(m["path"]))),
+        F.transform(F.filter("_matched", lambda m: m["to"].isNotNull()), lambda m: row("warning", "field-rename", F.concat(shown(m["path"]), F.lit(" > "), shown(m["to"])))),
+        F.transform(F.array_except("_added", used), lambda p: row("warning", "added", shown(p))),
+        F.transform(lost("vars"), lambda v: row("error", "missing-variable", v)),
+        F.transform(lost("directives"), lambda v: row("warning", "missing-directive", v)),
+        F.array_compact(F.array(
+            one(F.col("new_depth") < F.col("old_depth"), "incompatible", "shallower"),
+            one(F.col("old").contains("edges") & ~F.col("new").contains("edges"), "warning", "connection removed"),
+            one(~F.col("old").contains("nodes") & F.col("new").contains("nodes"), "warning", "nodes added"),
+            one(F.col("old_kind") != F.col("new_kind"), "error", "kind changed"))))
+    return rows.select("id", F.inline(findings))
+
+
 def rule_impact(changes: DataFrame) -> DataFrame:
     """Breaking-change rows implied by rewrite rules."""
     # Fixed values: (rule type, change, impact).
