@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -71,3 +72,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of finished rounds.
+
+    They go when the driver's garbage collector finds that nothing refers to them any more, which may otherwise take half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
