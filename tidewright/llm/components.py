@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import checkpoint
+from tidewright.session import checkpoint, release
 
 
 TASK_EDGES = 1 << 18  # edges (16 bytes each) that one task takes; a graph of no more stays in one partition, which needs no exchange
@@ -36,5 +36,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         degree = pairs.groupBy("u").agg(F.count("*").alias("_n"))
         if degree.join(led_to, F.col("u") == F.col("_v"), "left").filter("_n > 1 OR _v IS NOT NULL").isEmpty():
             break
+    release(edges.sparkSession)
     found, nodes = dealt(pairs).groupBy("u").agg(F.min("v").alias("comp")), dealt(nodes)
     return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("comp", "node").alias("comp"))

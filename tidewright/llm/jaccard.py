@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.components import connected_components
 from tidewright.llm.countvectors import CountTree, counts, enough, pack, unpack
 from tidewright.llm.textarrays import U, mix, raw, shingles, slices, word_hashes, words
-from tidewright.session import checkpoint
+from tidewright.session import checkpoint, release
 
 # Tokens per subspace in turn: a set that the first split cannot serve takes part in the next one too, the last takes any set.
 SPLITS = (5.0, 2.5, 1.25, 0.0)
@@ -372,11 +372,14 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, forest_r
     known = texts.select(F.col("class").alias("_class"), "n", "counts")
     tested = checkpoint(cells.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     links = _verified(_bounded(tested, texts, percent), texts, width, percent)
+    release(docs.sparkSession)
     for turn in range(forest_rounds + 1):
-        rows = _open_cells(cells, connected_components(links), known)
-        pairs = checkpoint(_cell_pairs(rows, percent, forest=turn < forest_rounds).join(tested, ["a", "b"], "left_anti"))
+        found = _cell_pairs(_open_cells(cells, connected_components(links), known), percent, forest=turn < forest_rounds)
+        pairs = checkpoint(found.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             links, tested = links.union(_verified(pairs, texts, width, percent)), tested.union(pairs)
+        del found
+        release(docs.sparkSession)
     return profile.select("id", "n", "class"), connected_components(links)
 
 
