@@ -340,7 +340,8 @@ def edit(tree: Column, repairs: Column) -> Column:
                 .when((act == "adjust-array") & (t["type"] == "array") & (length > t["n"]), longer)
                 .when((act == "adjust-array") & (t["type"] == "array") & (length < t["n"]) & (length >= 0), shorter))
 
-        return let(F.struct(at(path).alias("t"), at(up).alias("p"), r["action"].alias("action"), r["value"].alias("value")), made)
+        places = F.struct(path.alias("path"), up.alias("up"))  # each path is rendered once, not for every node
+        return let(places, lambda q: let(F.struct(at(q["path"]).alias("t"), at(q["up"]).alias("p"), r["action"].alias("action"), r["value"].alias("value")), made))
 
     def outermost(spans):
         inside = lambda e, f: (f["first"] <= e["first"]) & (f["last"] >= e["last"]) & (f["last"] - f["first"] > e["last"] - e["first"])
