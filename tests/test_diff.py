@@ -314,3 +314,26 @@ def test_few_steps_are_a_longest_common_subsequence():
     start = time.time()
     assert len(R.few_steps(old, new)) == len(new) - 3
     assert time.time() - start < 10
+
+
+def test_texts_far_apart_are_told_by_their_tokens_and_dealt_over_tasks(spark):
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(3)
+    x, y = (np.array([rng.randrange(k, 4000, 2) for _ in range(3000)], np.int64) for k in (0, 1))
+    start = time.time()
+    assert all(R.few_steps(x, y) is None for _ in range(20))
+    assert time.time() - start < 1
+    for n, m in ((0, 5), (7, 0), (30, 64), (200, 5000)):
+        a, b = (np.array([rng.randrange(6) for _ in range(k)], np.int64) for k in (n, m))
+        row = [0] * (m + 1)
+        for t in a.tolist():
+            last = 0
+            for j, u in enumerate(b.tolist(), 1):
+                last, row[j] = row[j], last + 1 if t == u else max(row[j], row[j - 1])
+        assert R._lengths(a, b).tolist() == row
+    one = spark.createDataFrame([(i, "a b", "b c") for i in range(100)], "id int, o string, n string").coalesce(1)
+    assert R.word_diff(one, "id", "o", "n").rdd.getNumPartitions() > 1

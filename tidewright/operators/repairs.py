@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -99,12 +99,41 @@ def remap_json(df: DataFrame, col: str, renames: Sequence[tuple[str, str]], head
     return df.withColumn(col, remap(F.col(col)))
 
 
+SHORT, MARKS = 4096, 1 << 28  # places of a text that all are marked at once, and bits that marks of a longer one may take
+
+
+def _marks(y: np.ndarray) -> Callable[[int], int]:
+    """For a token a number with a bit set for each of its places in ``y``."""
+    places: dict[int, int] = {}
+    if len(y) <= SHORT:
+        for j, t in enumerate(y.tolist()):
+            places[t] = places.get(t, 0) | 1 << j
+        return lambda t: places.get(t, 0)
+
+    def marks(t: int) -> int:
+        bits = places.get(t)
+        if bits is None:
+            bits = int.from_bytes(np.packbits(y == t, bitorder="little").tobytes(), "little")
+            if (len(places) + 1) * len(y) <= MARKS:
+                places[t] = bits
+        return bits
+
+    return marks
+
+
 def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of ``x`` and every head of ``y``, one row of memory."""
-    row = np.zeros(len(y) + 1, np.int64)
-    for t in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == t)))
-    return row
+    """Lengths of the longest common subsequences of ``x`` and every head of ``y``.
+
+    A row of the table is a number with a bit for each place of ``y``, unset where the length grows: a step on ``x`` is four operations on it.
+    """
+    marks, full = _marks(y), (1 << len(y)) - 1
+    row = full
+    for t in x.tolist():
+        hits = row & marks(t)
+        if hits:
+            row = (row + hits | row - hits) & full
+    grown = np.unpackbits(np.frombuffer((full ^ row).to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(y)]
+    return np.concatenate([[0], np.cumsum(grown, dtype=np.int64)])
 
 
 def common_steps(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -144,34 +173,56 @@ def _run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
     return done
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the edits between two sequences: tokens that one holds more often than the other."""
+    most = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
+    return int(np.abs(np.bincount(x, minlength=most) - np.bincount(y, minlength=most)).sum())
+
+
 def few_steps(x: np.ndarray, y: np.ndarray, most: int = FEW) -> list[tuple[int, int]] | None:
     """Index pairs of a longest common subsequence of sequences at most ``most`` insertions and deletions apart, else None.
 
-    For each number of edits the furthest place reached on every diagonal is kept; the time is the length times the edits at most.
+    For each number of edits the furthest place reached on every diagonal is kept, all diagonals in one step; the time is the length times
+    the edits at most. ``trace`` has the places before each number of edits, by diagonal from ``-edits - 1`` on.
     """
     n, m = len(x), len(y)
-    reach, trace = {1: 0}, []
+    if _apart(x, y) > most:
+        return None
+    reach, trace = np.array([-1, 0], np.int64), []  # diagonals -1 and 1 before the first edit
     for edits in range(min(most, n + m) + 1):
-        trace.append(dict(reach))
-        for k in range(-edits, edits + 1, 2):
-            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            i = reach.get(k + 1, 0) if down else reach[k - 1] + 1
-            if i <= n and 0 <= i - k <= m:
-                i += _run(x, y, i, i - k)
-            reach[k] = i
-            if i >= n and i - k >= m:
-                return _back(trace, n, m)
+        trace.append(reach)
+        k = np.arange(-edits, edits + 1, 2)
+        below, above = reach[:-1], reach[1:]
+        down = below < above
+        down[0] = True
+        if edits:
+            down[-1] = False
+        i = np.where(down, above, below + 1)
+        going = np.flatnonzero((i < n) & (i >= 0) & (i - k < m) & (i - k >= 0))
+        for _ in range(8):
+            going = going[x[i[going]] == y[i[going] - k[going]]]
+            i[going] += 1
+            going = going[(i[going] < n) & (i[going] - k[going] < m)]
+            if not len(going):
+                break
+        for g in going.tolist():  # the long runs
+            i[g] += _run(x, y, int(i[g]), int(i[g] - k[g]))
+        if ((i >= n) & (i - k >= m)).any():
+            return _back(trace, n, m)
+        reach = np.concatenate([[-1], i, [-1]])
     return None
 
 
-def _back(trace: list[dict[int, int]], n: int, m: int) -> list[tuple[int, int]]:
+def _back(trace: list[np.ndarray], n: int, m: int) -> list[tuple[int, int]]:
     """The equal places on the way that ``trace`` took to the ends."""
     pairs: list[tuple[int, int]] = []
     i, j = n, m
     for edits in range(len(trace) - 1, -1, -1):
-        reach, k = trace[edits], i - j
-        down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        last = (reach.get(k + 1, 0), reach.get(k + 1, 0) - k - 1) if down else (reach[k - 1], reach[k - 1] - k + 1)
+        k = i - j
+        at = (k + edits) // 2
+        below, above = int(trace[edits][at]), int(trace[edits][at + 1])
+        down = k == -edits or (k != edits and below < above)
+        last = (above, above - k - 1) if down else (below, below - k + 1)
         start = (last[0], last[1] + 1) if down else (last[0] + 1, last[1])
         start = start if edits else (0, 0)
         pairs += zip(range(i - 1, start[0] - 1, -1), range(j - 1, start[1] - 1, -1))
@@ -183,6 +234,7 @@ def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
     """Token-level changes by longest common subsequence: one row per change.
 
     Texts few edits apart take time in proportion to their length; others are halved, in memory linear in the texts of a pair.
+    Rows are dealt over ``spark.sql.shuffle.partitions`` tasks, since few bytes of text may be much work.
     """
     split = re.compile(TOKEN_PATTERN)
 
@@ -217,7 +269,9 @@ def word_diff(df: DataFrame, id_col: str, old: str, new: str) -> DataFrame:
             ])
         return pd.Series(out)
 
-    return df.select(F.col(id_col).alias("id"), F.inline(changes(F.col(old), F.col(new))))
+    rows = df.select(F.col(id_col).alias("id"), F.col(old).alias("_old"), F.col(new).alias("_new"))
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select("id", F.inline(changes("_old", "_new")))
 
 
 def convert_value(value: Column, to_type: str) -> Column:
