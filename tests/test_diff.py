@@ -337,3 +337,8 @@ def test_texts_far_apart_are_told_by_their_tokens_and_dealt_over_tasks(spark):
         assert R._lengths(a, b).tolist() == row
     one = spark.createDataFrame([(i, "a b", "b c") for i in range(100)], "id int, o string, n string").coalesce(1)
     assert R.word_diff(one, "id", "o", "n").rdd.getNumPartitions() > 1
+
+
+def test_a_step_of_the_fold_looks_its_act_up_once():
+    folded = json_trees._parts("t", "$", False, "k", "f")[1]
+    assert folded.count("s.want * 11") == 1

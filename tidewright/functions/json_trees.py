@@ -108,16 +108,17 @@ def _parts(text: str, root: str, ordered: bool, k: str, f: str) -> tuple[str, st
     bump = lambda f: f"CASE WHEN t.e = ',' THEN named_struct('path', {f}.path, 'ord', {f}.ord, 'obj', {f}.obj, 'n', {f}.n + 1, 'start', {f}.start, 'skip', {f}.skip) ELSE {f} END"
     after = lambda f: f"CASE WHEN {f} IS NULL THEN CASE WHEN t.e = ',' THEN 6 ELSE 5 END WHEN {f}.obj THEN CASE WHEN t.e = ',' THEN 2 ELSE 4 END ELSE CASE WHEN t.e = ',' THEN 0 ELSE 7 END END"
     up = "get(s.stack, size(s.stack) - 1)"
-    sketch = (f"CASE {act} WHEN 1 THEN CASE WHEN {skip} THEN '' ELSE t.t END WHEN 3 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, ':') END "
-              f"WHEN 2 THEN CASE WHEN {skip} THEN '' ELSE concat(CASE t.c WHEN 5 THEN '\"string\"' WHEN 8 THEN '\"boolean\"' WHEN 9 THEN 'null' ELSE '\"number\"' END, CASE WHEN s.top.obj THEN t.e ELSE '' END) END "
-              "WHEN 4 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, CASE WHEN get(s.stack, size(s.stack) - 1).obj THEN t.e ELSE '' END) END ELSE '' END")
-    # bound values are copied whole, so the state is not: the act is looked up where it is asked for
+    sketch = (f"CASE WHEN t.c < 2 THEN CASE WHEN {skip} THEN '' ELSE t.t END WHEN t.c < 4 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, CASE WHEN {up}.obj THEN t.e ELSE '' END) END "
+              "WHEN t.c = 4 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, ':') END "
+              f"ELSE CASE WHEN {skip} THEN '' ELSE concat(CASE t.c WHEN 5 THEN '\"string\"' WHEN 8 THEN '\"boolean\"' WHEN 9 THEN 'null' ELSE '\"number\"' END, CASE WHEN s.top.obj THEN t.e ELSE '' END) END END")
+    # bound values are copied whole, so the state is not. The act is looked up once, for what may come next: a malformed text never
+    # comes back from there, so the rest goes by the kind alone
     step = f"""named_struct(
-      'top', CASE {act} WHEN 1 THEN {frame} WHEN 2 THEN {bump('s.top')} WHEN 4 THEN {bump(up)} ELSE s.top END,
-      'stack', CASE {act} WHEN 1 THEN array_append(s.stack, s.top) WHEN 4 THEN slice(s.stack, 1, size(s.stack) - 1) ELSE s.stack END,
-      'want', CASE {act} WHEN 2 THEN {after('s.top')} WHEN 3 THEN 0 WHEN 1 THEN CASE WHEN t.c = 0 THEN 3 ELSE 1 END WHEN 4 THEN {after(up)} ELSE 6 END,
+      'top', CASE WHEN t.c > 4 THEN {bump('s.top')} WHEN t.c = 4 THEN s.top WHEN t.c > 1 THEN {bump(up)} ELSE {frame} END,
+      'stack', CASE WHEN t.c > 3 THEN s.stack WHEN t.c > 1 THEN slice(s.stack, 1, greatest(size(s.stack) - 1, 0)) ELSE array_append(s.stack, s.top) END,
+      'want', CASE WHEN {act} = 0 THEN 6 WHEN t.c > 4 THEN {after('s.top')} WHEN t.c = 4 THEN 0 WHEN t.c > 1 THEN {after(up)} WHEN t.c = 0 THEN 3 ELSE 1 END,
       'key', CASE WHEN t.c = 4 THEN replace({_plain('t.t')}, '{m}', '{m}e') ELSE s.key END,
-      'nodes', CASE {act} WHEN 2 THEN array_append(s.nodes, {node}) WHEN 4 THEN array_append(s.nodes, {whole}) ELSE s.nodes END,
+      'nodes', CASE WHEN t.c > 4 THEN array_append(s.nodes, {node}) WHEN t.c > 1 AND t.c < 4 THEN array_append(s.nodes, {whole}) ELSE s.nodes END,
       'shape', array_append(s.shape, {sketch}),
       'i', s.i + 1)"""
     zero = (f"named_struct('top', CAST(NULL AS {_FRAME}), 'stack', CAST(array() AS ARRAY<{_FRAME}>), 'want', 0, 'key', '', "
