@@ -342,3 +342,40 @@ def test_texts_far_apart_are_told_by_their_tokens_and_dealt_over_tasks(spark):
 def test_a_step_of_the_fold_looks_its_act_up_once():
     folded = json_trees._parts("t", "$", False, "k", "f")[1]
     assert folded.count("s.want * 11") == 1
+
+
+def test_equal_members_are_left_out_and_change_no_result(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import json_trees as T
+
+    cases = [
+        ('{"a":1,"b":[1,{"c":"x, }"}],"d":2.50}', '{"a":1,"b":[1,{"c":"x, }"}],"d":2}', '{"d":2.50}', '{"d":2}'),
+        ('{"w":{"v":{"a":1,"b":{}},"k":0},"n":1}', '{"w":{"v":{"a":1,"b":{}},"k":1},"n":1}', '{"w":{"k":0}}', '{"w":{"k":1}}'),
+        ('{"w":{"v":1},"n":[1,2]}', '{"n":[2,1]}', '{"w":{"v":1},"n":[1,2]}', '{"n":[2,1]}'), ('[1,2]', '[2,1]', '[1,2]', '[2,1]'),
+        ('{"a":1,"b":' + "[" * 9 + "]" * 9 + '}', '{"a":1}', '{"a":1,"b":' + "[" * 9 + "]" * 9 + '}', '{"a":1}'), ('{"a":{}}', '{}', '{"a":{}}', '{}'),
+    ]
+    df = spark.createDataFrame([(a, b) for a, b, _, _ in cases], "a string, b string").withColumn("k", F.expr(T._unlike("a", "b", T.WRAPPED)))
+    assert [(r["k"]["a"], r["k"]["b"]) for r in df.collect()] == [c[2:] for c in cases]
+    bad = ["[1]]", "1,2", "1],[2", '1},{"x":1', '1,"x":2', '{"a":1,"a":2}', "", "01", '{"a":1}{']
+    good = ["1", ' {"a" : [1, {"b": "\\u00e9"}]}\n', "[]", '"x"']
+    held = spark.createDataFrame([(t,) for t in bad + good], "t string").select(F.expr(T._sound("t")).alias("s")).collect()
+    assert [r["s"] for r in held] == [False] * len(bad) + [True] * len(good)
+    # a malformed part that both texts have in common is told, and a stop sees whole texts
+    assert [d[1] for d in _raw(spark, '{"a":01,"b":1}', '{"a":01,"b":2}')] == ["malformed-json"]
+    cfg = D.CompareConfig(comparators={"data.m": ("deep-partial", {})})
+    assert _raw(spark, '{"m":{"x":1,"y":2}}', '{"m":{"x":1}}', cfg) == [] and len(_raw(spark, '{"m":{"x":1}}', '{"m":{"x":1,"y":2}}', cfg)) == 1
+    long = json.dumps({f"k{i}": "v" * 20 for i in range(20_000)})
+    assert [d[0] for d in _raw(spark, long, long.replace('"k7": "v', '"k7": "w'))] == ["data.k7"]
+
+
+def _raw(spark, base, cand, cfg=None):
+    side = lambda t: spark.createDataFrame([(1, t)], "id int, data string")
+    return [(r["path"], r["type"]) for r in D.diff_rows(D.compare_pairs(D.pair_snapshots(side(base), side(cand)), cfg)).collect()]
+
+
+def test_a_filter_on_repaired_texts_stays_above_their_making(spark):
+    one = frame(spark, [(1, {"a": 1})])
+    fixed = R.apply_repairs(D.pair_snapshots(one, frame(spark, [(1, {"a": None})])))
+    plan = fixed.filter("cand_data = base_data")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 300_000 and plan.index("Filter") < plan.index("Generate")

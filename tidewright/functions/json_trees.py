@@ -2,7 +2,8 @@
 
 A text is cut into tokens by one pattern, and the tokens are folded once with a stack of open containers. That keeps member
 order, takes any depth, and tells malformed texts. Everything is an expression on the row: nothing is exchanged and no row
-leaves the JVM. The fold runs over chunks of tokens, so that the arrays a step appends to stay short.
+leaves the JVM. The fold runs over chunks of about as many tokens as there are chunks, because Spark copies the state at every
+step and arrays must stay short. Members that two texts have in common word by word are left out before they are compared.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 # Control characters cannot stand in a JSON text as such, so they serve as marks.
 MARK = "\x01"  # of an escape in coded text; before s or # it starts a path's next segment, before e it is itself
 GONE = "\x02"  # stands for a removed member
-CHUNK = 64  # tokens folded into one piece
+CHUNK = 8  # least number of tokens folded into one piece
+WRAPPED = 8  # objects around the only difference that are looked into
 
 _TOKEN = r'("[^"]*+"[:,]?|[{\[]|[}\]],?|[^ \t\r\n{}\[\],:"]++,?|[,:"])'  # with the colon or comma behind it
 _PAIR, _BACK, _SPACE = r"\\([\s\S])", "\\", r"[ \t\r\n]"
 _PADDED = r'("[^"]*+")|[ \t\r\n]*+([{}\[\],:])[ \t\r\n]*+'  # a string, or punctuation with the white space around it
 _RAW = r"[\x00\x02-\x1f]"
+_NAME = r'^("[^"]*+":)[{]'  # of a member that holds an object
+NESTED = 6  # levels of a member's value that the pattern of members follows
 _WHOLE = r"^-?(0|[1-9][0-9]*)$"
 _NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _ESCAPE = MARK + r'(?![q\\/bfnrt]|u[0-9a-fA-F]{4})'  # what follows the mark of no valid escape
@@ -36,7 +40,7 @@ _ACTS = (1, 1, 0, 0, 0, 2, 2, 2, 2, 2, 0,
          0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
          0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
          0, 0, 0, 4, 0, 0, 0, 0, 0, 0, 0)
-_FRAME = "STRUCT<path: STRING, ord: STRING, obj: BOOLEAN, n: INT, start: INT, skip: BOOLEAN>"
+_FRAME = "STRUCT<path: STRING, ord: STRING, obj: BOOLEAN, n: INT, start: INT>"
 _NODE = "STRUCT<path: STRING, parent: STRING, ord: STRING, type: STRING, n: INT, start: INT, stop: INT, same: STRING>"
 
 
@@ -72,19 +76,19 @@ def _plain(token: str) -> str:
     return f"CASE WHEN contains({token}, '{MARK}') THEN get_json_object(concat('[', {_restored(token)}, ']'), '$[0]') ELSE substring({token}, 2, char_length({token}) - 2) END"
 
 
-def _parts(text: str, root: str, ordered: bool, k: str, f: str) -> tuple[str, str, str]:
-    """A JSON text, given as an SQL expression, as SQL for its tokens ``k``, their fold ``f`` and, of both, a struct: ``nodes`` (path, parent, ord, type, n, start, stop, same), ``shape``, ``tokens``.
+def _bare(text: str) -> str:
+    """SQL for a text coded and without white space; null for one that holds a mark."""
+    marked = f"replace(regexp_replace({text}, {_quoted(_PAIR)}, '{MARK}$1'), '{MARK}\"', '{MARK}q')"
+    code = f"CASE WHEN contains({text}, {_quoted(_BACK)}) THEN {marked} ELSE {text} END"
+    bare = f"CASE WHEN {text} RLIKE {_quoted(_SPACE)} THEN regexp_replace({code}, {_quoted(_PADDED)}, '$1$2') ELSE {code} END"
+    return f"CASE WHEN NOT contains({text}, '{MARK}') AND NOT contains({text}, '{GONE}') THEN {bare} END"
+
+
+def _tokens(bare: str) -> str:
+    """SQL for the tokens of a coded text as structs: the token ``t``, the colon or comma behind it ``e`` and its kind ``c``."""
+    string = f"CASE WHEN (wild AND u RLIKE '[\\\\x00\\\\x02-\\\\x1f]') OR (contains(u, '{MARK}') AND u RLIKE {_quoted(_ESCAPE)}) THEN 10 "
 
-    Nodes come in the order they end. A path is the root and a segment for each step, ``MARK s key`` or ``MARK # place``; ``ord``, if
-    ``ordered``, sorts the nodes of a text as they begin; ``n`` counts a container's children; ``start`` and ``stop`` are the places of its
-    tokens, from 1; ``same`` is equal for equal scalars (whole numbers exactly, others as doubles), lists of equal length and objects. ``shape``
-    is the text with types in place of scalars and only the first item of lists. A token holds the colon or comma behind it. Null
-    for a null or malformed text; a member name given twice makes two nodes of one path.
-    """
-    m, sound = MARK, f"NOT contains({text}, '{MARK}') AND NOT contains({text}, '{GONE}')"
-    string = f"CASE WHEN (wild AND u RLIKE '[\\\\x00\\\\x02-\\\\x1f]') OR (contains(u, '{m}') AND u RLIKE {_quoted(_ESCAPE)}) THEN 10 "
     def parted(e: str) -> str:
-        """A token without the colon or comma behind it, ``u``, with that and its kind."""
         kind = (
             "CASE u WHEN '{' THEN 0 WHEN '[' THEN 1 WHEN '}' THEN 2 WHEN ']' THEN 3 WHEN 'true' THEN 8 WHEN 'false' THEN 8 WHEN 'null' THEN 9 ELSE "
             f"CASE WHEN startswith(u, '\"') AND char_length(u) > 1 THEN {string} WHEN {e} = ':' THEN 4 ELSE 5 END "
@@ -92,25 +96,106 @@ def _parts(text: str, root: str, ordered: bool, k: str, f: str) -> tuple[str, st
         )
         return f"named_struct('t', u, 'e', {e}, 'c', {kind})"
 
+    token = f"CASE WHEN e IN (':', ',') AND char_length(t) > 1 THEN {_let('u', 'left(t, char_length(t) - 1)', parted('e'))} ELSE {_let('u', 't', parted(_quoted('')))} END"
+    listed = f"transform(regexp_extract_all({bare}, {_quoted(_TOKEN)}, 1), t -> {_let('e', 'right(t, 1)', token)})"
+    return _let("wild", f"{bare} RLIKE {_quoted(_RAW)}", listed)
+
+
+def _chunks(k: str) -> str:
+    size = f"greatest({CHUNK}, CAST(ceil(sqrt(size({k}))) AS INT))"
+    return f"transform(sequence(0, (size({k}) - 1) div {size}), j -> slice({k}, CAST(j * {size} + 1 AS INT), {size}))"
+
+
+def _same(t: str) -> str:
+    """SQL for what is equal for equal scalars: whole numbers exactly, others as doubles."""
+    double = f"try_cast({t}.t AS DOUBLE)"
+    return (f"CASE {t}.c WHEN 5 THEN concat('\"', {_plain(t + '.t')}) WHEN 7 THEN CASE WHEN {double} = floor({double}) AND abs({double}) < 9007199254740992D "
+            f"THEN CAST(CAST({double} AS BIGINT) AS STRING) ELSE CAST({double} AS STRING) END WHEN 6 THEN CASE WHEN {t}.t = '-0' THEN '0' ELSE {t}.t END ELSE {t}.t END")
+
+
+def _shape(k: str) -> str:
+    """SQL for the text of tokens with types in place of scalars and only the first item of lists.
+
+    The containers around a token are a string: ``o`` an object, ``a`` a list at its first item, ``z`` a list behind it, whose items are left out.
+    """
+    rest = "left(s.s, char_length(s.s) - 1)"
+    later = lambda x: f"CASE WHEN t.e = ',' AND endswith({x}, 'a') THEN concat(left({x}, char_length({x}) - 1), 'z') ELSE {x} END"
+    comma = lambda x: f"CASE WHEN endswith({x}, 'o') THEN t.e ELSE '' END"
+    kind = "CASE t.c WHEN 5 THEN '\"string\"' WHEN 8 THEN '\"boolean\"' WHEN 9 THEN 'null' ELSE '\"number\"' END"
+    step = f"""named_struct(
+      's', CASE WHEN t.c > 4 THEN {later('s.s')} WHEN t.c = 4 THEN s.s WHEN t.c > 1 THEN {later(rest)} ELSE concat(s.s, CASE t.c WHEN 0 THEN 'o' ELSE 'a' END) END,
+      'o', CASE WHEN t.c IN (2, 3) THEN CASE WHEN contains({rest}, 'z') THEN s.o ELSE concat(s.o, t.t, {comma(rest)}) END WHEN contains(s.s, 'z') THEN s.o
+        WHEN t.c > 4 THEN concat(s.o, {kind}, {comma('s.s')}) WHEN t.c = 4 THEN concat(s.o, t.t, ':') ELSE concat(s.o, t.t) END)"""
+    piece = f"aggregate(c, named_struct('s', a.s, 'o', ''), (s, t) -> {step}, s -> named_struct('s', s.s, 'o', array_append(a.o, s.o)))"
+    return f"aggregate({_chunks(k)}, named_struct('s', '', 'o', CAST(array() AS ARRAY<STRING>)), (a, c) -> {piece}, a -> array_join(a.o, ''))"
+
+
+def _leaves(k: str) -> str:
+    """SQL for the strings, numbers and booleans of tokens, equal where they are equal."""
+    return f"transform(filter({k}, t -> t.c IN (5, 6, 7, 8)), t -> {_same('t')})"
+
+
+def _sound(text: str) -> str:
+    """SQL for whether Spark's own reader takes a text whole, without a member name given twice; it stops behind the first value,
+    and what is behind one cannot go on both as a list's next item and as an object's next member."""
+    return f"try_parse_json(concat('[', {text}, ']')) IS NOT NULL AND try_parse_json(concat('{{\"x\":', {text}, '}}')) IS NOT NULL"
+
+
+def _members() -> str:
+    """The pattern of an object's next member in a coded text, its value at most ``NESTED`` levels deep. Nothing is tried twice."""
+    value = r'(?:"[^"]*+"|[^{}\[\]"]++)'
+    inner = value
+    for _ in range(NESTED):
+        inner = rf'(?:{value}|[{{\[]{inner}*+[}}\]])'
+    return rf'\G[{{,]("[^"]*+":(?:"[^"]*+"|[^{{}}\[\]",]++|[{{\[]{inner}*+[}}\]]))'
+
+
+def _unlike(a: str, b: str, levels: int) -> str:
+    """SQL for a struct of two coded texts without the members that both have word by word; texts that are no objects stay as they are.
+
+    Where one member of each is left, of one name and an object in both, its members are compared in the same way, ``levels`` objects deep.
+    What is left out is equal at equal paths, so it holds no difference and lies in no list around one. Texts must be sound.
+    """
+    def members(text):
+        return _let("m", f"regexp_extract_all({text}, {_quoted(_members())}, 1)", f"CASE WHEN concat('{{', array_join(m, ','), '}}') = {text} THEN m END")
+
+    name = lambda d: f"regexp_extract({d}[0], {_quoted(_NAME)}, 1)"
+    inner = lambda d: f"substring({d}[0], char_length({name('v.a')}) + 1)"
+    only = f"size(v.a) = 1 AND size(v.b) = 1 AND {name('v.a')} <> '' AND {name('v.a')} = {name('v.b')}"
+    whole = lambda d: f"concat('{{', array_join({d}, ','), '}}')"
+    state = lambda h, x, y, t, go: f"named_struct('h', {h}, 'a', {x}, 'b', {y}, 't', {t}, 'go', {go})"
+    split = _let("w", f"named_struct('a', {members('s.a')}, 'b', {members('s.b')})", _let(
+        "v", "named_struct('a', array_except(w.a, w.b), 'b', array_except(w.b, w.a))",
+        f"CASE WHEN v.a IS NULL OR v.b IS NULL THEN {state('s.h', 's.a', 's.b', 's.t', 'false')} "
+        f"WHEN {only} THEN {state('concat(s.h, ' + _quoted('{') + ', ' + name('v.a') + ')', inner('v.a'), inner('v.b'), 'concat(' + _quoted('}') + ', s.t)', 'true')} "
+        f"ELSE {state('s.h', whole('v.a'), whole('v.b'), 's.t', 'false')} END"))
+    return (f"aggregate(sequence(1, {levels}), {state(_quoted(''), a, b, _quoted(''), 'true')}, (s, i) -> CASE WHEN s.go THEN {split} ELSE s END, "
+            "s -> named_struct('a', concat(s.h, s.a, s.t), 'b', concat(s.h, s.b, s.t)))")
+
+
+def _parts(text: str, root: str, ordered: bool, k: str, f: str, read: bool = True) -> tuple[str, str, str]:
+    """A JSON text, given as an SQL expression, as SQL for its tokens ``k``, their fold ``f`` and, of both, a struct: ``nodes`` (path, parent, ord, type, n, start, stop, same), ``tokens``.
+
+    Nodes come in the order they end. A path is the root and a segment for each step, ``MARK s key`` or ``MARK # place``; ``ord``, if
+    ``ordered``, sorts the nodes of a text as they begin; ``n`` counts a container's children; ``start`` and ``stop`` are the places of its
+    tokens, from 1; ``same`` is equal for equal scalars (whole numbers exactly, others as doubles), lists of equal length and objects.
+    A token holds the colon or comma behind it. Null for a null or malformed text; a member name given twice makes two nodes of one
+    path. The text is coded already if not ``read``.
+    """
+    m = MARK
     act = f"get(array({', '.join(map(str, _ACTS))}), s.want * 11 + t.c)"
     path = f"CASE WHEN s.top IS NULL THEN {_quoted(root)} WHEN s.top.obj THEN concat(s.top.path, '{m}s', s.key) ELSE concat(s.top.path, '{m}#', CAST(s.top.n AS STRING)) END"
     order = "CASE WHEN s.top IS NULL THEN '' ELSE concat(s.top.ord, '.', lpad(CAST(s.top.n AS STRING), 8, '0')) END" if ordered else "''"
-    skip = "coalesce(s.top.skip OR (NOT s.top.obj AND s.top.n > 0), false)"
     count = "CASE WHEN s.want IN (1, 3) THEN 0 ELSE s.top.n + 1 END"
-    double = "try_cast(t.t AS DOUBLE)"
-    same = (f"CASE t.c WHEN 5 THEN concat('\"', {_plain('t.t')}) WHEN 7 THEN CASE WHEN {double} = floor({double}) AND abs({double}) < 9007199254740992D "
-            f"THEN CAST(CAST({double} AS BIGINT) AS STRING) ELSE CAST({double} AS STRING) END WHEN 6 THEN CASE WHEN t.t = '-0' THEN '0' ELSE t.t END ELSE t.t END")
-    frame = f"named_struct('path', {path}, 'ord', {order}, 'obj', t.c = 0, 'n', 0, 'start', s.i, 'skip', {skip})"
+    same = _same("t")
+    frame = f"named_struct('path', {path}, 'ord', {order}, 'obj', t.c = 0, 'n', 0, 'start', s.i)"
     node = (f"named_struct('path', {path}, 'parent', s.top.path, 'ord', {order}, 'type', CASE t.c WHEN 5 THEN 'string' WHEN 8 THEN 'boolean' WHEN 9 THEN 'null' ELSE 'number' END, "
             f"'n', CAST(NULL AS INT), 'start', s.i, 'stop', s.i, 'same', {same})")
     whole = ("named_struct('path', s.top.path, 'parent', get(s.stack, size(s.stack) - 1).path, 'ord', s.top.ord, 'type', CASE WHEN s.top.obj THEN 'object' ELSE 'array' END, "
              f"'n', {count}, 'start', s.top.start, 'stop', s.i, 'same', CASE WHEN s.top.obj THEN '{{' ELSE concat('[', CAST({count} AS STRING)) END)")
-    bump = lambda f: f"CASE WHEN t.e = ',' THEN named_struct('path', {f}.path, 'ord', {f}.ord, 'obj', {f}.obj, 'n', {f}.n + 1, 'start', {f}.start, 'skip', {f}.skip) ELSE {f} END"
+    bump = lambda f: f"CASE WHEN t.e = ',' THEN named_struct('path', {f}.path, 'ord', {f}.ord, 'obj', {f}.obj, 'n', {f}.n + 1, 'start', {f}.start) ELSE {f} END"
     after = lambda f: f"CASE WHEN {f} IS NULL THEN CASE WHEN t.e = ',' THEN 6 ELSE 5 END WHEN {f}.obj THEN CASE WHEN t.e = ',' THEN 2 ELSE 4 END ELSE CASE WHEN t.e = ',' THEN 0 ELSE 7 END END"
     up = "get(s.stack, size(s.stack) - 1)"
-    sketch = (f"CASE WHEN t.c < 2 THEN CASE WHEN {skip} THEN '' ELSE t.t END WHEN t.c < 4 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, CASE WHEN {up}.obj THEN t.e ELSE '' END) END "
-              "WHEN t.c = 4 THEN CASE WHEN s.top.skip THEN '' ELSE concat(t.t, ':') END "
-              f"ELSE CASE WHEN {skip} THEN '' ELSE concat(CASE t.c WHEN 5 THEN '\"string\"' WHEN 8 THEN '\"boolean\"' WHEN 9 THEN 'null' ELSE '\"number\"' END, CASE WHEN s.top.obj THEN t.e ELSE '' END) END END")
     # bound values are copied whole, so the state is not. The act is looked up once, for what may come next: a malformed text never
     # comes back from there, so the rest goes by the kind alone
     step = f"""named_struct(
@@ -119,22 +204,14 @@ def _parts(text: str, root: str, ordered: bool, k: str, f: str) -> tuple[str, st
       'want', CASE WHEN {act} = 0 THEN 6 WHEN t.c > 4 THEN {after('s.top')} WHEN t.c = 4 THEN 0 WHEN t.c > 1 THEN {after(up)} WHEN t.c = 0 THEN 3 ELSE 1 END,
       'key', CASE WHEN t.c = 4 THEN replace({_plain('t.t')}, '{m}', '{m}e') ELSE s.key END,
       'nodes', CASE WHEN t.c > 4 THEN array_append(s.nodes, {node}) WHEN t.c > 1 AND t.c < 4 THEN array_append(s.nodes, {whole}) ELSE s.nodes END,
-      'shape', array_append(s.shape, {sketch}),
       'i', s.i + 1)"""
     zero = (f"named_struct('top', CAST(NULL AS {_FRAME}), 'stack', CAST(array() AS ARRAY<{_FRAME}>), 'want', 0, 'key', '', "
-            f"'nodes', CAST(array() AS ARRAY<ARRAY<{_NODE}>>), 'shape', CAST(array() AS ARRAY<STRING>), 'i', 1)")
-    piece = (f"aggregate(c, named_struct('top', a.top, 'stack', a.stack, 'want', a.want, 'key', a.key, 'nodes', CAST(array() AS ARRAY<{_NODE}>), 'shape', CAST(array() AS ARRAY<STRING>), 'i', a.i), "
-             f"(s, t) -> {step}, s -> named_struct('top', s.top, 'stack', s.stack, 'want', s.want, 'key', s.key, 'nodes', concat(a.nodes, array(s.nodes)), "
-             "'shape', concat(a.shape, array(array_join(s.shape, ''))), 'i', s.i))")
-    chunks = f"transform(sequence(0, (size({k}) - 1) div {CHUNK}), j -> slice({k}, CAST(j * {CHUNK} + 1 AS INT), {CHUNK}))"
-    made = f"CASE WHEN {f}.want = 5 THEN named_struct('nodes', flatten({f}.nodes), 'shape', array_join({f}.shape, ''), 'tokens', transform({k}, t -> concat(t.t, t.e))) END"
-    folded = f"aggregate({chunks}, {zero}, (a, c) -> {piece})"
-    marked = f"replace(regexp_replace({text}, {_quoted(_PAIR)}, '{m}$1'), '{m}\"', '{m}q')"
-    code = f"CASE WHEN contains({text}, {_quoted(_BACK)}) THEN {marked} ELSE {text} END"
-    bare = f"CASE WHEN {text} RLIKE {_quoted(_SPACE)} THEN regexp_replace({code}, {_quoted(_PADDED)}, '$1$2') ELSE {code} END"
-    token = f"CASE WHEN e IN (':', ',') AND char_length(t) > 1 THEN {_let('u', 'left(t, char_length(t) - 1)', parted('e'))} ELSE {_let('u', 't', parted(_quoted('')))} END"
-    listed = f"transform(regexp_extract_all({bare}, {_quoted(_TOKEN)}, 1), t -> {_let('e', 'right(t, 1)', token)})"
-    return _let("wild", f"{text} RLIKE {_quoted(_RAW)}", f"CASE WHEN {sound} THEN {listed} END"), folded, made
+            f"'nodes', CAST(array() AS ARRAY<ARRAY<{_NODE}>>), 'i', 1)")
+    piece = (f"aggregate(c, named_struct('top', a.top, 'stack', a.stack, 'want', a.want, 'key', a.key, 'nodes', CAST(array() AS ARRAY<{_NODE}>), 'i', a.i), "
+             f"(s, t) -> {step}, s -> named_struct('top', s.top, 'stack', s.stack, 'want', s.want, 'key', s.key, 'nodes', concat(a.nodes, array(s.nodes)), 'i', s.i))")
+    made = f"CASE WHEN {f}.want = 5 THEN named_struct('nodes', flatten({f}.nodes), 'tokens', transform({k}, t -> concat(t.t, t.e))) END"
+    folded = f"aggregate({_chunks(k)}, {zero}, (a, c) -> {piece})"
+    return _let("b", _bare(text), _tokens("b")) if read else _tokens(text), folded, made
 
 
 def json_tree(text: str, root: str = "$", ordered: bool = False) -> str:
@@ -143,9 +220,9 @@ def json_tree(text: str, root: str = "$", ordered: bool = False) -> str:
     return _let("k", tokens, f"CASE WHEN size(k) > 0 THEN {_let('f', folded, made)} END")
 
 
-def with_tree(rows: DataFrame, text: str, out: str, root: str = "$", ordered: bool = False) -> DataFrame:
-    """``rows`` with the tree of ``text`` as a column; its parts are columns, so that none is copied."""
-    tokens, folded, made = _parts(text, root, ordered, f"{out}_k", f"{out}_f")
+def with_tree(rows: DataFrame, text: str, out: str, root: str = "$", ordered: bool = False, read: bool = True) -> DataFrame:
+    """``rows`` with the tree of ``text`` as a column; its parts are columns, so that none is copied. The text is coded already if not ``read``."""
+    tokens, folded, made = _parts(text, root, ordered, f"{out}_k", f"{out}_f", read)
     rows = rows.withColumn(f"{out}_k", F.expr(tokens)).withColumn(f"{out}_f", F.expr(f"CASE WHEN size({out}_k) > 0 THEN {folded} END"))
     return rows.withColumn(out, F.expr(made)).drop(f"{out}_k", f"{out}_f")
 
@@ -182,10 +259,6 @@ def path_of(segments: Column) -> Column:
     return F.concat(F.get(segments, F.lit(0)), F.array_join(F.transform(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), step), ""))
 
 
-def leaves(tree: Column) -> Column:
-    return F.transform(F.filter(tree["nodes"], lambda n: n["type"].isin("string", "number", "boolean")), lambda n: n["same"])
-
-
 def dice(a: Column, b: Column) -> Column:
     """Dice similarity of character bigrams, white space ignored. What both texts begin and end with is counted without looking it up."""
     def grams(text):
@@ -221,12 +294,20 @@ def align(rows: DataFrame, base: str, cand: str, out: str, root: str, stops: Ite
     ``nodes`` holds a struct of ``NODE`` for each difference: side ``left`` or ``right`` for a member of one text only, ``null``, ``type``,
     ``length`` and ``value`` for a node of both, ``custom`` at a dotted path of ``stops``, under which nothing is compared. ``reorder`` is the
     outermost list around it that holds the same items in another order. A node of both texts has all its ancestors in both, of the
-    same kinds, so only its own and its parent's counterparts are looked up. ``moved`` has the base text of those lists by path;
-    ``base_shape``, ``cand_shape``, ``base_leaves``, ``cand_leaves``, ``same_leaves`` describe texts that differ; ``cand_tree`` is the tree of the
-    second. ``malformed`` tells that a text could not be read; then there are no nodes. A missing text is one difference at the root.
+    same kinds, so only its own and its parent's counterparts are looked up. Equal members are left out before (``_unlike``), except around a stop,
+    whose texts are compared whole. ``moved`` has the base text of those lists by path. ``malformed`` tells that a text could not be
+    read; then there are no nodes. A missing text is one difference at the root. The column ``out_tree`` has the tree of the second text, and the
+    struct ``out_stats`` describes whole texts that differ: ``base_shape``, ``cand_shape``, ``base_leaves``, ``cand_leaves``, ``same_leaves``.
+    Each is made only where it is used.
     """
     a, b = F.col("_tree_a"), F.col("_tree_b")
-    rows = with_tree(with_tree(rows, base, "_tree_a", root), cand, "_tree_b", root)
+    rows = rows.withColumn("_code_a", F.expr(_bare(base))).withColumn("_code_b", F.expr(_bare(cand)))
+    levels = 0 if root in stops else 1 if stops else WRAPPED
+    kept = "named_struct('a', _code_a, 'b', _code_b)"
+    if levels:
+        kept = f"CASE WHEN {_sound(base)} AND {_sound(cand)} THEN {_unlike('_code_a', '_code_b', levels)} ELSE {kept} END"
+    rows = rows.withColumn("_kept", F.expr(kept))
+    rows = with_tree(with_tree(rows, "_kept.a", "_tree_a", root, read=False), "_kept.b", "_tree_b", root, read=False)
     has_a, has_b = F.expr(f"({base}) IS NOT NULL"), F.expr(f"({cand}) IS NOT NULL")
 
     def shown(tree: Column) -> Column:
@@ -291,14 +372,17 @@ def align(rows: DataFrame, base: str, cand: str, out: str, root: str, stops: Ite
     nodes = F.when(both, F.transform("_pairs", node)).when(a.isNotNull() & ~has_b, alone("left", a)).when(b.isNotNull() & ~has_a, alone("right", b)).otherwise(empty)
     rows = rows.withColumn("_nodes", nodes)
     found = both & (F.size("_nodes") > 0)
-    la, lb = leaves(a), leaves(b)
-    same = F.size(F.filter(F.zip_with(la, lb, lambda x, y: x == y), lambda m: m))
+    rows = rows.withColumn("_all_a", F.when(found, F.expr(_tokens("_code_a")))).withColumn("_all_b", F.when(found, F.expr(_tokens("_code_b"))))
+    rows = rows.withColumn("_la", F.expr(_leaves("_all_a"))).withColumn("_lb", F.expr(_leaves("_all_b")))
+    same = F.size(F.filter(F.zip_with("_la", "_lb", lambda x, y: x == y), lambda m: m))
     zero = lambda c: F.when(found, c).otherwise(0)
+    rows = with_tree(rows, "_code_b", f"{out}_tree", root, read=False)
     rows = rows.withColumn(out, F.struct(
-        F.col("_nodes").alias("nodes"), F.when(found, a["shape"]).alias("base_shape"), F.when(found, b["shape"]).alias("cand_shape"),
-        zero(F.size(la)).alias("base_leaves"), zero(F.size(lb)).alias("cand_leaves"), zero(same).alias("same_leaves"), F.col("_moved").alias("moved"),
-        ((has_a & a.isNull()) | (has_b & b.isNull())).alias("malformed"), b.alias("cand_tree")))
-    return rows.drop("_tree_a", "_tree_b", "_na", "_nb", "_xa", "_xb", "_da", "_db", "_objects", "_pairs", "_moved", "_nodes")
+        F.col("_nodes").alias("nodes"), F.col("_moved").alias("moved"), ((has_a & a.isNull()) | (has_b & b.isNull())).alias("malformed")))
+    rows = rows.withColumn(f"{out}_stats", F.struct(
+        F.when(found, F.expr(_shape("_all_a"))).alias("base_shape"), F.when(found, F.expr(_shape("_all_b"))).alias("cand_shape"),
+        zero(F.size("_la")).alias("base_leaves"), zero(F.size("_lb")).alias("cand_leaves"), zero(same).alias("same_leaves")))
+    return rows.drop("_code_a", "_code_b", "_kept", "_tree_a", "_tree_b", "_na", "_nb", "_xa", "_xb", "_da", "_db", "_objects", "_pairs", "_moved", "_nodes", "_all_a", "_all_b", "_la", "_lb")
 
 
 def edit(tree: Column, repairs: Column) -> Column:

@@ -226,7 +226,7 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
 
     ``pairs`` comes from ``pair_snapshots`` over frames with ``data`` (JSON),
     and optionally ``errors`` (JSON), ``duration`` and ``size``. ``keep`` carries
-    the input columns and the alignment ``_p`` along.
+    the input columns, the alignment ``_p`` and the tree of the candidate ``_p_tree`` along.
 
     No data is JSON's null: a side without data differs from one with data at the root. Texts that differ and of which one is
     malformed give one difference of type ``malformed-json`` at the root, similarity 0 and the verdict unsafe.
@@ -264,11 +264,11 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
     )
     rows = rows.withColumn(
         "diffs", F.when(both, F.concat(data_diffs, error_diffs)).otherwise(lost)
-    ).withColumn("_structure", json_trees.dice(F.col("_p.base_shape"), F.col("_p.cand_shape"))).withColumn("_malformed", malformed)
+    ).withColumn("_structure", json_trees.dice(F.col("_p_stats.base_shape"), F.col("_p_stats.cand_shape"))).withColumn("_malformed", malformed)
     count = lambda f: F.size(F.filter("diffs", f))
     breaking = [b[0] for b in BREAKING]
-    values = F.when(F.coalesce(F.col("_p.base_leaves"), F.lit(0)) == 0, 1.0).otherwise(
-        F.col("_p.same_leaves") / F.greatest("_p.base_leaves", "_p.cand_leaves")
+    values = F.when(F.coalesce(F.col("_p_stats.base_leaves"), F.lit(0)) == 0, 1.0).otherwise(
+        F.col("_p_stats.same_leaves") / F.greatest("_p_stats.base_leaves", "_p_stats.cand_leaves")
     )
     weighted = F.coalesce("_structure", F.lit(1.0)) * 0.7 + values * 0.3
     raw = weighted - count(lambda d: d["severity"] == "critical") * 0.1
@@ -278,7 +278,7 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
         F.when(both, percent_change(F.col(f"base_{n}"), F.col(f"cand_{n}"))).otherwise(zero)
         if f"base_{n}" in pairs.columns else zero
     )
-    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] + ["_p"] if keep else []
+    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] + ["_p", "_p_tree"] if keep else []
     out = rows.select(
         "id", "has_base", "has_cand", *carried, "diffs", (F.size("diffs") == 0).alias("identical"), similarity.alias("similarity"),
         count(lambda d: d["type"].isin(*breaking)).alias("breaking"),

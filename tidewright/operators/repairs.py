@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import json_trees
 from tidewright.functions.text import TOKEN_PATTERN
 from tidewright.operators import diff as D
+from tidewright.operators.extraction import once
 
 # The repair each difference type asks for.
 ACTIONS = (
@@ -66,8 +67,9 @@ def apply_repairs(pairs: DataFrame, cfg: D.CompareConfig | None = None) -> DataF
     without another shuffle, on the tree that the comparison has read. Malformed candidates and those without a repair stay as they are.
     """
     compared = D.compare_pairs(pairs, cfg, keep=True).withColumn("_fixes", _repairs_of(F.col("diffs"), F.col("_p.moved")))
-    fixed = F.when(F.col("_p.cand_tree").isNull() | (F.size("_fixes") == 0), F.col("cand_data")).otherwise(json_trees.edit(F.col("_p.cand_tree"), F.col("_fixes")))
-    return compared.select(*[c for c in pairs.columns if c != "cand_data"], fixed.alias("cand_data"))
+    fixed = F.when(F.col("_p_tree").isNull() | (F.size("_fixes") == 0), F.col("_was")).otherwise(json_trees.edit(F.col("_p_tree"), F.col("_fixes")))
+    # a filter on the repaired text must not be moved below its making, which would be written out anew for every use of a column
+    return once(compared.withColumnRenamed("cand_data", "_was"), cand_data=fixed).select(*pairs.columns)
 
 
 def verify_repairs(pairs: DataFrame, cfg: D.CompareConfig | None = None) -> DataFrame:
