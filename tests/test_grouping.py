@@ -53,6 +53,22 @@ def test_pairwise_overlap_is_the_exact_top(spark):
         assert got == every[:20]
 
 
+def test_pairs_far_from_alike_are_counted_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, sorted(rng.sample(range(200), 40))) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, rows[7][1]), (None, rows[5][1][:20] + [None])]
+    floors, joined = [], G.similar_pairs
+    monkeypatch.setattr(G, "similar_pairs", lambda ranked, keys, floor, *rest: (floors.append(floor), joined(ranked, keys, floor, *rest))[1])
+    monkeypatch.setattr(G, "POSTINGS", 4, raising=False)
+    df = spark.createDataFrame(rows, "id int, items array<int>")
+    got = [(r["a"], r["b"], r["common"], round(r["similarity"], 9)) for r in G.pairwise_overlap(df, 3, 20).collect()]
+    sets = {i: frozenset(s) for i, s in rows if i is not None}
+    every = [(i, j, len(sets[i] & sets[j]), round(jaccard(sets[i], sets[j]), 9)) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 3]
+    assert got == sorted(every, key=lambda r: (-r[3], r[0], r[1]))[:20]
+    # at a low floor nearly all pairs would be fetched whole to be verified
+    assert all(floor >= 0.5 for floor in floors)
+
+
 def greedy(rows, threshold=0.7):
     leaders, out = [], {}
     for i, s in rows:

@@ -13,7 +13,9 @@ from tidewright.operators.extraction import once
 from tidewright.session import checkpoint
 
 
-FLOORS = (0.5, 0.125, 0.03125, 1e-9)  # similarities at which the top pairs are looked for in turn
+FLOORS = (0.8, 0.5, 0.125, 0.03125)  # similarities at which the top pairs are looked for in turn, where that is cheap
+CHEAP = 8  # a floor is tried if its join makes this many times fewer rows than counting all pairs
+POSTINGS = 4096  # units in one row of an item's list
 
 
 def group_items(ops: DataFrame, item: str = "selections") -> DataFrame:
@@ -118,12 +120,41 @@ def similar_pairs(ranked: DataFrame, keys: Sequence[str], threshold: float, min_
     return out.filter((F.col("similarity") >= t) & (F.col("common") >= min_common))
 
 
+def _prefix_costs(ranked: DataFrame, floors: Sequence[float], min_common: int) -> list[int]:
+    """Rows that the join of :func:`similar_pairs` at each floor makes, without its other bounds, and last those of all items."""
+    n, least = F.col("n"), F.lit(max(min_common, 1))
+    rows = ranked.filter(n >= min_common).select("n", F.posexplode("_toks").alias("_pos", "token"))
+    held = [F.count_if(F.col("_pos") <= n - F.greatest(F.ceil(n * F.lit(f - 1e-12)), least)).cast("double") for f in floors]
+    counts = rows.groupBy("token").agg(*[h.alias(f"_c{i}") for i, h in enumerate([*held, F.count(F.lit(1)).cast("double")])])
+    found = counts.agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in counts.columns if c != "token"]).first()
+    return [x or 0 for x in found]
+
+
+def counted_pairs(ranked: DataFrame, min_common: int = 1) -> DataFrame:
+    """All pairs (a < b) of sets with at least ``min_common`` shared items, counted over all items: no candidate is fetched to be verified.
+
+    An item's units are lists of at most about ``POSTINGS``. A unit's later partners leave the item's task as one array, and are counted where the unit
+    is, so that neither single meetings nor sets are shuffled.
+    """
+    tokens = ranked.filter(F.col("id").isNotNull() & (F.col("n") >= min_common)).select("id", F.explode(F.array_distinct("_toks")).alias("token"))
+    often = tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).alias("_parts")).filter("_parts > 1")
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1)))
+    lists = checkpoint(tokens.join(often, "token", "left").groupBy("token", salt.alias("_salt")).agg(F.collect_list("id").alias("ids")).select("token", "ids"))
+    met = lists.join(lists.select("token", F.col("ids").alias("_others")), "token").select(F.explode("ids").alias("a"), "_others")
+    later = once(met, _later=F.filter("_others", lambda o: o > F.col("a"))).select("a", "_later")
+    found = later.repartition("a").select("a", F.explode("_later").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    size = lambda k: ranked.select(F.col("id").alias(k), F.col("n").alias(f"_n{k}"))
+    both = found.filter(F.col("common") >= max(min_common, 1)).join(size("a"), "a").join(size("b"), "b")
+    return both.select("a", "b", "common", (F.col("common") / (F.col("_na") + F.col("_nb") - F.col("common"))).alias("similarity"))
+
+
 def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> DataFrame:
     """The ``top`` most similar unit pairs with at least ``min_common`` shared items.
 
     ``sets``: id, items. Pairs of units with equal sets come first. For the rest the exact join runs at a high similarity first
     and at the next lower one only while fewer than ``top`` pairs are found: what is above a floor is complete, so
-    the top pairs are final as soon as there are enough.
+    the top pairs are final as soon as there are enough. Floors whose join would make about as many rows as counting all pairs are
+    left out, and where no floor gives enough pairs all are counted.
     """
     full = checkpoint(sets.select("id", F.sort_array(F.array_distinct("items")).alias("items")).filter(F.size("items") > 0))
     # Equal sets: within a group of copies the first ids give enough top pairs.
@@ -133,10 +164,16 @@ def pairwise_overlap(sets: DataFrame, min_common: int = 3, top: int = 20) -> Dat
         F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.size("items").cast("bigint").alias("common"), F.lit(1.0).alias("similarity")
     )
     ranked = checkpoint(_ranked_sets(full, []))
-    for floor in FLOORS:
-        rest = checkpoint(similar_pairs(ranked, [], floor, min_common))
-        if rest.limit(top).count() >= top:
-            break
+    # A pair of representatives comes before all pairs of their copies, so the first ``top`` of them lead to the first ``top`` of all.
+    first = lambda pairs: checkpoint(pairs.orderBy(F.desc("similarity"), "a", "b").limit(top))
+    *costs, whole = _prefix_costs(ranked, FLOORS, min_common)
+    for floor, cost in zip(FLOORS, costs, strict=True):
+        if cost * CHEAP <= whole:
+            rest = first(similar_pairs(ranked, [], floor, min_common))
+            if rest.count() >= top:
+                break
+    else:
+        rest = first(counted_pairs(ranked, min_common))
     # Members of equal-set groups stand in for their representative.
     rep = full.groupBy("items").agg(F.min("id").alias("_rep"))
     members = firsts.join(rep, "items").select(F.col("_rep"), F.col("id").alias("_m"))
