@@ -1,5 +1,8 @@
 import datetime as dt
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +60,53 @@ def test_rollout_controller_grows_then_rolls_back(spark, tmp_path):
     assert actions[0] == "increase" and "rollback" in actions
 
 
+class Held:
+    """State of one operation outside Spark."""
+
+    value, timers = None, ()
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    getValueState = lambda self, name, schema: self
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers += (at,)
+
+
+def test_rollout_controller_holds_little_of_a_call():
+    n, part = 120000, 10000
+    rng = np.random.default_rng(1)
+    seconds, ok = rng.permutation(n) // 2, rng.random(n) > 0.1
+
+    def chunks():
+        for at in range(0, n, part):
+            ids = np.arange(at, at + part)
+            yield pd.DataFrame({"op": [f"op{i % 1}" for i in ids], "ts": pd.Timestamp(T0.replace(tzinfo=None)) + pd.to_timedelta(seconds[ids], unit="s"), "event_id": ids, "ok": ok[ids],
+                                **{c: [f"{c} of call {i}" for i in ids] for c in ("user_id", "latency", "k")}})
+
+    def run(controller, held, rows):
+        controller.init(held)
+        return pd.concat(controller.handleInputRows(("op0",), rows, None))
+
+    held = Held()
+    tracemalloc.start()
+    out = run(J.RolloutController(sample=50, limit=0.9), held, chunks())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(out["action"]) == ["increase"] * 4 and held.value == (4, n - 200, int((~ok[np.lexsort((np.arange(n), seconds))][200:]).sum()), False)
+    assert peak < 100 * n
+
+    # ids that are null or text, times that are null, calls without a result: nulls last, no result is a failure
+    rows = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01", None, "2024-01-01", "2024-01-01"]), "event_id": ["b", "z", None, "a"], "ok": [True, True, None, False]})
+    assert [bad for _, bad in J.in_order(iter([rows]))] == [True, False, True, False]
+    # a call that rolls back ends the batch; while it cools down nothing is read
+    held, controller = Held(), J.RolloutController(sample=2, limit=0.4)
+    assert list(run(controller, held, iter([rows]))["action"]) == ["rollback"] and held.value == (0, 0, 0, True) and len(held.timers) == 1
+    assert run(controller, held, iter([rows])).empty and len(held.timers) == 1
+
+
 def test_incremental_corpus(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("gone", "3")], "path string, content string")
     manifest = old.select("path", F.sha2("content", 256).alias("sha"))
