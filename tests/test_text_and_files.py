@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,22 @@ def test_file_queries_write_more_files_not_larger_ones(spark, tmp_path, monkeypa
     for path, most in zip(written, (8000, 8000, 10_000), strict=True):
         sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()
         assert max(r["length"] for r in sizes) <= most
+
+
+def test_access_patterns_try_each_word_once_and_match_the_same(spark):
+    """The quick patterns against the plain ones they stand for, and their time on long words."""
+    texts = [
+        "a.b??c.d) a.??b e.f ?? g.h.i!=1 x.y\n&& z?.q||k.l  )m.n>o.p<q", "ab.type === 'x' é.type===\"y\" c.d.type\n=== `z`", "a.b?.c? d.e.=f..g=", "aé.b= _x9.y9=1 ?a.b?? ??", "", "....===",
+        "entityPick(a, ['x', \"y\"\n]) entityPick ( b ,[ ] ] ) ) entityPick(c, ['z'] ]x)",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    plain_type = r"""(\w+)\.type\s*===\s*['"`](\w+)['"`]"""
+    plain_pick = r"entityPick\s*\(\s*(\w+)\s*,\s*\[([\s\S]*?)\]\s*\)"
+    for quick, plain in ((X.DIRECT_ONCE, X.DIRECT), (X.ANY_TYPE, plain_type), (X.PICK, plain_pick)):
+        for group in (0, 1, 2):
+            both = df.select(X.all_matches(F.col("t"), quick, group).alias("a"), X.all_matches(F.col("t"), plain, group).alias("b")).collect()
+            assert all(r["a"] == r["b"] for r in both) and any(r["a"] for r in both)
+    long = spark.createDataFrame([(1, "w" * 300_000 + " a.type === 'x' a.b=")], "id int, code string")
+    start = time.time()
+    assert {r["field"] for r in X.mine_access(long, "id", "code").collect()} == {"type", "b"}
+    assert time.time() - start < 10

@@ -406,7 +406,7 @@ def edit(tree: Column, repairs: Column) -> Column:
         def made(s):
             t, p, text = s["t"], s["p"], F.coalesce(s["value"], F.lit("null"))
             member = p["type"] == "object"
-            quoted = F.regexp_extract(F.to_json(F.array(name)), r"^\[([\s\S]*)\]$", 1)
+            quoted = F.regexp_extract(F.to_json(F.array(name)), r"^\[((?s:.*))\]$", 1)
             added = span(p["stop"], p["stop"] - 1, F.concat(F.when(p["n"] > 0, ",").otherwise(GONE + ","), quoted, F.lit(":"), text))
             length = s["value"].try_cast("int")
             child = at(F.concat(path, F.lit(MARK + "#"), length.cast("string")))

@@ -18,14 +18,17 @@ from tidewright.operators.ordered import rank_rows
 from tidewright.session import checkpoint
 
 # The access patterns. Variable-name hints are an argument.
-PICK = r"entityPick\s*\(\s*(\w+)\s*,\s*\[([\s\S]*?)\]\s*\)"
+# Java tries ``[\s\S]`` many times slower than a dot that takes line ends, and a word again from each of its letters unless told not to.
+PICK = r"entityPick\s*\(\s*(\w+)\s*,\s*\[((?s:.*?))\]\s*\)"
 QUOTED = r"""['"`]([^'"`]+)['"`]"""
 REQUEST = r"profile\.request\.query\.(\w+)"
 DIRECT = r"(\w+)\.([a-zA-Z0-9_.?]+)(?:\s*[=!<>]|\s*\?\?|\s*&&|\s*\|\||\s*\))"
+DIRECT_ONCE = r"(?<!\w)(\w++)\.([a-zA-Z0-9_.?]+)\s*+(?:[=!<>)]|\?\?|&&|\|\|)"  # DIRECT, each word tried once
 DESTRUCTURE = r"const\s*\{([^}]+)\}\s*=\s*(\w+)"
 ENTITY_TYPE = r"""entity\.type\s*===\s*['"`](\w+)['"`]"""
-ANY_TYPE = r"""(\w+)\.type\s*===\s*['"`](\w+)['"`]"""
-JOIN_CONDITION = r"joinEntities.*?\((.*?)\)\s*=>\s*\(([\s\S]*?)\)"
+AFTER_TYPE = ENTITY_TYPE + r"((?s:.*))"
+ANY_TYPE = r"""(?<!\w)(\w++)\.type\s*===\s*['"`](\w+)['"`]"""
+JOIN_CONDITION = r"joinEntities.*?\((.*?)\)\s*=>\s*\(((?s:.*?))\)"
 JOIN_KEY = r"(\w+)\.(\w+)\s*===\s*(\w+)\.(\w+)"
 
 
@@ -53,16 +56,16 @@ def _entity_of(first: Column, rest: Column, checks: Column, var: Column, hints)
 
 
 def _type_checks(code: Column) -> Column:
+    checks = F.when(code.contains(".type") | code.isNull(), all_matches(code, ANY_TYPE, 0)).otherwise(F.array().cast("array<string>"))
     return F.transform(
-        all_matches(code, ANY_TYPE, 0),
+        checks,
         lambda m: F.struct(F.regexp_extract(m, ANY_TYPE, 1).alias("v"), F.regexp_extract(m, ANY_TYPE, 2).alias("t")),
     )
 
 
 def infer_entity(code: Column, var: Column, hints: Sequence[tuple[str, str]] = ()) -> Column:
     """Type equality before the variable, then on it, then a name hint."""
-    after = ENTITY_TYPE + r"([\s\S]*)"
-    return _entity_of(F.regexp_extract(code, after, 1), F.regexp_extract(code, after, 2), _type_checks(code), var, hints)
+    return _entity_of(F.regexp_extract(code, AFTER_TYPE, 1), F.regexp_extract(code, AFTER_TYPE, 2), _type_checks(code), var, hints)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -97,8 +100,8 @@ def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[
     )
     direct = F.filter(
         F.transform(
-            all_matches(code, DIRECT, 0),
-            lambda m: access(group(m, DIRECT, 1), F.replace(group(m, DIRECT, 2), F.lit("?."), F.lit(".")), "direct"),
+            all_matches(code, DIRECT_ONCE, 0),
+            lambda m: access(group(m, DIRECT_ONCE, 1), F.replace(group(m, DIRECT_ONCE, 2), F.lit("?."), F.lit(".")), "direct"),
         ),
         lambda a: ~a["var"].isin(*T.ACCESS_STOP_NAMES),
     )
@@ -114,11 +117,10 @@ def mine_access(df: DataFrame, unit: str, text: str, prefix_map: Sequence[tuple[
             ),
         )
     )
-    after = ENTITY_TYPE + r"([\s\S]*)"
     found = once(
         df.select(F.col(unit).alias("unit"), code),
-        _hits=F.concat(picks, request, direct, opened), _first=group(code, after, 1),
-        _rest=group(code, after, 2), _checks=_type_checks(code),
+        _hits=F.concat(picks, request, direct, opened), _first=group(code, AFTER_TYPE, 1),
+        _rest=group(code, AFTER_TYPE, 2), _checks=_type_checks(code),
     )
     # One entity per distinct variable of a text; the text itself is not exploded.
     named = once(found.select("unit", "_hits", "_first", "_rest", "_checks"), _vars=F.array_distinct(F.col("_hits.var")))

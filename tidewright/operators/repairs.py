@@ -50,7 +50,7 @@ def _repairs_of(diffs: Column, moved: Column) -> Column:
     """Repairs of one pair as structs for ``json_trees.edit``; ``moved`` has the baseline text of reordered lists. A repair without a value is left out."""
     def value(d):
         whole = F.get(F.filter(moved, lambda m: m["path"] == json_trees.path_of(d["segments"])), F.lit(0))["text"]
-        text = F.when(d["base_type"] == "string", F.regexp_extract(F.to_json(F.array(d["baseline"])), r"^\[([\s\S]*)\]$", 1)).otherwise(F.coalesce(d["baseline"], F.lit("null")))
+        text = F.when(d["base_type"] == "string", F.regexp_extract(F.to_json(F.array(d["baseline"])), r"^\[((?s:.*))\]$", 1)).otherwise(F.coalesce(d["baseline"], F.lit("null")))
         return F.when(d["type"] == "array-order", whole).otherwise(text)
 
     found = F.transform(
