@@ -3,9 +3,11 @@
 import subprocess
 import sys
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewright.functions.selections import read_fields
+from tidewright.functions.selections import field_arrays, read_fields
+from tidewright.operators import catalog as C
 from tidewright.operators import extraction as X
 from tidewright.operators import usage
 from tidewright.functions import text as T
@@ -63,3 +65,20 @@ def test_functions_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-800:]
+
+
+def test_fields_come_as_whole_columns():
+    """Same rows as the reader, a null for a null text, and no row is made in Python one by one."""
+    texts = ["{ a(x: 1) { b } }", None, "", "fragment F on U { ... on (x) { c: d @e(f: $g) } h((i) { j }) k } l", '{ m(t: "(") { n } # )\n o(p: ${q(}) }']
+    got = field_arrays(pa.array(texts, pa.string()))
+    assert [None if g is None else [tuple(f.values()) for f in g] for g in got.to_pylist()] == [None if t is None else list(read_fields(t)) for t in texts]
+    assert [[f["name"] for f in g or []] for g in got.to_pylist()] == [["a", "b"], [], [], ["x", "d", "h", "k"], ["m", "n", "o"]]
+
+
+def test_texts_of_one_file_are_dealt_before_they_are_read(spark):
+    """A table in one partition is read by more than one task."""
+    ops = spark.range(0, 64, 1, 1).select("id", F.concat(F.lit("{ a { f"), F.col("id").cast("string"), F.lit(" } }")).alias("content"))
+    catalog = spark.createDataFrame([("Query", "a", "A")], "type_name string, field_name string, field_type string")
+    found = C.mine_usages(ops, catalog)
+    assert found.filter("is_root").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert {(r["path"], r["type_name"]) for r in found.collect()} == {("a", "Query")} | {(f"a.f{i}", "A") for i in range(64)}

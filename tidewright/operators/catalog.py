@@ -121,7 +121,9 @@ def mine_usages(ops: DataFrame, catalog: DataFrame, roots: dict[str, str] | None
     start = F.col("f.scope")
     for kind, name in roots.items():
         start = F.when(F.col("f.scope") == kind, name).otherwise(start)
-    rows = ops.select("id", F.posexplode(fields(F.col("content"))).alias("pos", "f")).select(
+    # texts of one file, or of a few, are dealt over all tasks before they are read
+    texts = ops.select("id", "content").repartition(int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = texts.select("id", F.posexplode(fields(F.col("content"))).alias("pos", "f")).select(
         "id", "pos", "f.at", F.array_join(F.concat("f.trail", F.array("f.name")), ".").alias("path"), start.alias("type_name"),
         F.col("f.name").alias("field_name"), (F.size("f.trail") == 0).alias("is_root"), F.col("f.trail").alias("_rest"))
     steps = last_per_key(catalog.select("type_name", "field_name", "field_type"), ["type_name", "field_name"])
