@@ -2,6 +2,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewright.operators import grouping as G
 
@@ -137,3 +138,21 @@ def test_many_switches_expand_to_all_combinations(spark):
     switches = spark.createDataFrame([(1, i, f"v{i}", ["true", "false"]) for i in range(13)], "id int, seq int, variable string, choices array<string>")
     rows = G.expand_variants(ops, switches)
     assert rows.count() == 1 << 13 and rows.select("condition").distinct().count() == 1 << 13
+
+
+def test_a_closure_round_moves_only_what_it_found(spark):
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 64)] + [(None, 1), (3, None)], "src int, dst int")
+    reach = G.reference_closure(edges, spark.createDataFrame([(i,) for i in range(64)] + [(None,), (5,)], "node int"))
+    want = {(None, None)}
+    for root in range(64):
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if (root, node) not in want:
+                want.add((root, node))
+                todo += [] if node is None or not node else [node // 2] + [None] * (node == 3)
+    rows = [(r["root"], r["node"]) for r in reach.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    # finds lie by node, so that neither their edges nor a comparison with earlier finds shuffle them again
+    at = reach.select("node", (F.spark_partition_id() % 8).alias("part")).distinct()
+    assert at.count() == at.select("node").distinct().count() and reach.rdd.getNumPartitions() % 8 == 0
