@@ -379,3 +379,41 @@ def test_a_filter_on_repaired_texts_stays_above_their_making(spark):
     fixed = R.apply_repairs(D.pair_snapshots(one, frame(spark, [(1, {"a": None})])))
     plan = fixed.filter("cand_data = base_data")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 300_000 and plan.index("Filter") < plan.index("Generate")
+
+
+def test_texts_compared_part_by_part_give_what_reading_them_whole_gives(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 7)
+        if kind < 7:
+            return [None, True, False, rng.randrange(-2, 3), rng.choice([1.0, -0.0, 2.5, 1e3]), rng.choice(["", "a\"b", "x\\", "é\n", "{[,:", "1"]), "t"][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 7 else {rng.choice("abcd\"\\,:") + str(i): value(depth - 1) for i in range(rng.randrange(4))}
+
+    def edited(v):
+        if rng.random() < 0.2:
+            return value(1)
+        if isinstance(v, list):
+            items = [edited(x) for x in v]
+            return rng.sample(items, len(items)) if rng.random() < 0.4 else items[:rng.randrange(1, 4)]
+        return {k: edited(x) for k, x in v.items() if rng.random() < 0.8} if isinstance(v, dict) else v
+
+    texts = [(i, json.dumps(v, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5), json.dumps(edited(v))) for i, v in enumerate(
+        {"a0": value(3), "b1": {"c0": value(1), "d": 1}, "l": [value(2) for _ in range(rng.randrange(5))]} for _ in range(300))]
+    texts += [(900, '{"a":1.0,"b":[1,1.0]}', '{"b":[1.0,1],"a":1}'), (901, '{"a":1,"a":2}', '{"a":2}'), (902, "[1]]", "[1]"), (903, '{"\\u0061":1}', '{"a":2}')]
+    base, cand = (spark.createDataFrame([(t[0], t[k]) for t in texts], "id int, data string") for k in (1, 2))
+    cfg = D.CompareConfig(comparators={"data.a0": ("deep-partial", {}), "data.b1.c0": ("type-coercion", {})})
+
+    def found(c):
+        rows = D.compare_pairs(D.pair_snapshots(base, cand), c, keep=True).collect()
+        fixed = {r["id"]: r["cand_data"] for r in R.apply_repairs(D.pair_snapshots(base, cand), c).collect()}
+        return [r["id"] for r in rows if r["_p"]["parted"]], {r["id"]: (sorted(map(str, r["diffs"])), r["similarity"], r["verdict"], fixed[r["id"]]) for r in rows}
+
+    parted, quick = found(cfg)
+    assert len(parted) > 200 and not {901, 902} & set(parted)
+    monkeypatch.setattr(json_trees, "_sound", lambda text: "false")
+    monkeypatch.setattr(json_trees, "_parted", lambda text: "CAST(NULL AS ARRAY<STRING>)")
+    none, whole = found(cfg)
+    assert not none and {i: (quick[i], w) for i, w in whole.items() if quick[i] != w} == {}

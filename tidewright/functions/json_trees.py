@@ -3,7 +3,8 @@
 A text is cut into tokens by one pattern, and the tokens are folded once with a stack of open containers. That keeps member
 order, takes any depth, and tells malformed texts. Everything is an expression on the row: nothing is exchanged and no row
 leaves the JVM. The fold runs over chunks of about as many tokens as there are chunks, because Spark copies the state at every
-step and arrays must stay short. Members that two texts have in common word by word are left out before they are compared.
+step and arrays must stay short. Two texts that Spark's own reader finds sound are compared without a fold: objects and lists are cut into
+their parts by one pattern, level by level, and only parts that differ are looked into.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ WRAPPED = 8  # objects around the only difference that are looked into
 _TOKEN = r'("[^"]*+"[:,]?|[{\[]|[}\]],?|[^ \t\r\n{}\[\],:"]++,?|[,:"])'  # with the colon or comma behind it
 _PAIR, _BACK, _SPACE = r"\\([\s\S])", "\\", r"[ \t\r\n]"
 _PADDED = r'("[^"]*+")|[ \t\r\n]*+([{}\[\],:])[ \t\r\n]*+'  # a string, or punctuation with the white space around it
+KEY, END = r'"[^"]*+":', '":'  # of a member in a coded text
+BEGIN, LIST = r"\G", r"\["
+SCALAR = r'|(")[^"]*+"|[-0-9][^,}\]]*+|([tf])[^,}\]]*+'
 _RAW = r"[\x00\x02-\x1f]"
 _NAME = r'^("[^"]*+":)[{]'  # of a member that holds an object
 NESTED = 6  # levels of a member's value that the pattern of members follows
+DEEP = 12  # levels of a text that is compared part by part
 _WHOLE = r"^-?(0|[1-9][0-9]*)$"
 _NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _ESCAPE = MARK + r'(?![q\\/bfnrt]|u[0-9a-fA-F]{4})'  # what follows the mark of no valid escape
@@ -141,13 +146,18 @@ def _sound(text: str) -> str:
     return f"try_parse_json(concat('[', {text}, ']')) IS NOT NULL AND try_parse_json(concat('{{\"x\":', {text}, '}}')) IS NOT NULL"
 
 
+def _value(levels: int) -> str:
+    """The pattern of a value in a coded text, at most ``levels`` levels deep. Nothing is tried twice."""
+    part = r'(?:"[^"]*+"|[^{}\[\]"]++)'
+    inner = part
+    for _ in range(levels):
+        inner = rf'(?:{part}|[{{\[]{inner}*+[}}\]])'
+    return rf'(?:"[^"]*+"|[^{{}}\[\]",]++|[{{\[]{inner}*+[}}\]])'
+
+
 def _members() -> str:
-    """The pattern of an object's next member in a coded text, its value at most ``NESTED`` levels deep. Nothing is tried twice."""
-    value = r'(?:"[^"]*+"|[^{}\[\]"]++)'
-    inner = value
-    for _ in range(NESTED):
-        inner = rf'(?:{value}|[{{\[]{inner}*+[}}\]])'
-    return rf'\G[{{,]("[^"]*+":(?:"[^"]*+"|[^{{}}\[\]",]++|[{{\[]{inner}*+[}}\]]))'
+    """The pattern of an object's next member in a coded text, its value at most ``NESTED`` levels deep."""
+    return rf'\G[{{,]("[^"]*+":{_value(NESTED)})'
 
 
 def _unlike(a: str, b: str, levels: int) -> str:
@@ -173,6 +183,122 @@ def _unlike(a: str, b: str, levels: int) -> str:
             "s -> named_struct('a', concat(s.h, s.a, s.t), 'b', concat(s.h, s.b, s.t)))")
 
 
+# What a comparison part by part finds: -1 no difference, 0 two objects or two lists to be looked into, one of SIDES, a list in another order.
+SIDES = ("left", "right", "null", "type", "length", "value", "custom")
+MOVED = 8
+_FOUND = "STRUCT<k: INT, p: STRING, a: STRING, b: STRING, n: INT, m: INT, r: STRING>"
+_NONE = f"CAST(array() AS ARRAY<{_FOUND}>)"
+_NULL = "CAST(NULL AS STRING)"
+
+
+def _found(k: int | str, p: str, a: str, b: str, r: str, n: str = "CAST(NULL AS INT)", m: str = "CAST(NULL AS INT)") -> str:
+    return f"named_struct('k', {k}, 'p', {p}, 'a', {a}, 'b', {b}, 'n', {n}, 'm', {m}, 'r', {r})"
+
+
+def _parted(text: str) -> str:
+    """SQL for the members of a coded object or the items of a list; null for another text and one that is more than ``DEEP`` levels deep."""
+    cut = lambda first, name: f"regexp_extract_all({text}, {_quoted(rf'{BEGIN}[{first},]({name}{_value(DEEP)})')}, 1)"
+    return f"CASE WHEN startswith({text}, '{{') THEN {cut('{', KEY)} WHEN startswith({text}, '[') THEN {cut(LIST, '')} END"
+
+
+def _whole(parts: str, text: str) -> str:
+    return f"CASE WHEN concat(left({text}, 1), array_join({parts}, ','), right({text}, 1)) = {text} THEN {parts} END"
+
+
+def _key(member: str) -> str:
+    """SQL for the name of a coded member, as it stands in a path."""
+    name = f"substring({member}, 2, locate('\":', {member}, 2) - 2)"
+    return f"CASE WHEN contains({name}, '{MARK}') THEN replace({_plain(f'left({member}, locate({_quoted(END)}, {member}, 2))')}, '{MARK}', '{MARK}e') ELSE {name} END"
+
+
+def _held(member: str) -> str:
+    """SQL for the value of a coded member."""
+    return f"substring({member}, locate('\":', {member}, 2) + 2)"
+
+
+def _type(text: Column) -> Column:
+    """The type of a coded value."""
+    first = text.substr(1, 1)
+    kinds = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+    return reduce(lambda c, k: c.when(first == k, kinds[k]), list(kinds)[1:], F.when(first == "{", "object")).otherwise("number")
+
+
+def _alike(a: str, b: str) -> str:
+    """SQL for whether two coded strings, numbers or booleans of other texts are equal."""
+    string = lambda t: f"startswith({t}, '\"')"
+    word = lambda t: f"left({t}, 1) IN ('t', 'f')"
+    digits = lambda t: f"{t} RLIKE '^[0-9]++$'"
+    number = lambda t: _let("u", f"named_struct('t', {t}, 'c', CASE WHEN {t} RLIKE {_quoted(_WHOLE)} THEN 6 ELSE 7 END)", _same("u"))
+    return (f"CASE WHEN {string(a)} OR {string(b)} THEN {string(a)} AND {string(b)} AND (contains({a}, '{MARK}') OR contains({b}, '{MARK}')) AND {_plain(a)} <=> {_plain(b)} "
+            f"WHEN {word(a)} OR {word(b)} OR ({digits(a)} AND {digits(b)}) THEN false ELSE {number(a)} = {number(b)} END")
+
+
+def _verdict(h: str, stops: Iterable[str]) -> str:
+    """SQL for what two coded values ``h.a`` and ``h.b`` of other texts at the path ``h.p`` are."""
+    first = lambda t: f"translate(left({t}, 1), '-123456789f', '0000000000t')"
+    stop = "".join(f"WHEN {h}.p = {_quoted(s)} THEN 7 " for s in stops)
+    return (f"CASE {stop}WHEN {first(f'{h}.a')} = {first(f'{h}.b')} THEN CASE WHEN left({h}.a, 1) IN ('{{', '[') THEN 0 WHEN {_alike(f'{h}.a', f'{h}.b')} THEN -1 ELSE 6 END "
+            f"WHEN left({h}.a, 1) = 'n' OR left({h}.b, 1) = 'n' THEN 3 ELSE 4 END")
+
+
+def _judged(place: str, a: str, b: str, r: str, stops: Iterable[str]) -> str:
+    return _let("h", f"named_struct('p', {place}, 'a', {a}, 'b', {b})", _found(_verdict("h", stops), "h.p", "h.a", "h.b", r))
+
+
+def _unlike_members(path: str, r: str, a: str, b: str, stops: Iterable[str]) -> str:
+    """SQL for what is found in the members that one of two objects has, ``a`` and ``b``."""
+    at = lambda key: f"concat({path}, '{MARK}s', {key})"
+    left = _let("key", _key("x"), _let("j", "CAST(array_position(kb, key) AS INT)", (
+        f"CASE WHEN j > 0 THEN {_judged(at('key'), _held('x'), _held(f'get({b}, j - 1)'), r, stops)} ELSE {_found(1, at('key'), _held('x'), _NULL, r)} END")))
+    lone = (f"transform(filter({b}, (x, i) -> NOT array_contains(ka, get(kb, i))), x -> {_found(2, at(_key('x')), _NULL, _held('x'), r)})")
+    right = f"CASE WHEN size({b}) = 0 THEN {_NONE} ELSE " + _let("ka", f"transform({a}, x -> {_key('x')})", lone) + " END"
+    return _let("kb", f"transform({b}, x -> {_key('x')})", f"flatten(array(transform({a}, x -> {left}), {right}))")
+
+
+def _opened(q: str, stops: Iterable[str]) -> str:
+    """SQL for what is found in two objects or two lists."""
+    both = f"named_struct('a', {_parted(f'{q}.a')}, 'b', {_parted(f'{q}.b')})"
+    objects = _let("v", "named_struct('a', array_except(w.a, w.b), 'b', array_except(w.b, w.a))", _unlike_members(f"{q}.p", f"{q}.r", "v.a", "v.b", stops))
+    within = "least(size(w.a), size(w.b))"
+    item = _judged(f"concat({q}.p, '{MARK}#', CAST(i AS STRING))", "get(w.a, i)", "get(w.b, i)", f"CASE WHEN o THEN {q}.p ELSE {q}.r END", stops)
+    lists = _let(
+        "o", f"{q}.r IS NULL AND size(w.a) = size(w.b) AND sort_array(w.a) = sort_array(w.b)",
+        f"flatten(array(CASE WHEN {within} > 0 THEN transform(filter(sequence(0, {within} - 1), i -> get(w.a, i) <> get(w.b, i)), i -> {item}) ELSE {_NONE} END, "
+        f"CASE WHEN size(w.a) <> size(w.b) THEN array({_found(5, f'{q}.p', f'{q}.a', f'{q}.b', f'{q}.r', 'size(w.a)', 'size(w.b)')}) "
+        f"WHEN o THEN array({_found(MOVED, f'{q}.p', f'{q}.a', _NULL, _NULL)}) ELSE {_NONE} END))")
+    return _let("w", both, f"CASE WHEN startswith({q}.a, '{{') THEN {objects} ELSE {lists} END")
+
+
+def _compared(a: str, b: str, ma: str, mb: str, root: str, stops: Iterable[str]) -> str:
+    """SQL for the differences of two sound coded texts at most ``DEEP`` levels deep, as ``_FOUND`` structs; ``ma`` and ``mb`` are their parts, if they have any.
+
+    Objects are paired by name and lists by place, one level a round, and only what differs is looked into again.
+    """
+    members = _let("v", f"named_struct('a', array_except({ma}, {mb}), 'b', array_except({mb}, {ma}))", _unlike_members(_quoted(root), _NULL, "v.a", "v.b", stops))
+    start = (f"CASE WHEN {a} = {b} THEN {_NONE} WHEN startswith({a}, '{{') AND startswith({b}, '{{') THEN {members} "
+             f"ELSE array({_judged(_quoted(root), a, b, _NULL, stops)}) END")
+    state = lambda todo, done: f"named_struct('todo', {todo}, 'done', {done})"
+    parts = lambda of: state(f"filter({of}, f -> f.k = 0)", f"filter({of}, f -> f.k > 0)")
+    step = _let("e", f"flatten(transform(s.todo, q -> {_opened('q', stops)}))", state("filter(e, f -> f.k = 0)", "flatten(array(s.done, filter(e, f -> f.k > 0)))"))
+    rounds = f"aggregate(sequence(1, {DEEP} + 2), {parts('d')}, (s, n) -> CASE WHEN size(s.todo) = 0 THEN s ELSE {step} END, s -> CASE WHEN size(s.todo) = 0 THEN s.done END)"
+    return _let("d", start, f"CASE WHEN exists(d, f -> f.k < 1) THEN {rounds} ELSE d END")
+
+
+def _leaf_texts(code: str) -> str:
+    """SQL for the strings, numbers and booleans of a sound coded text, as they stand there."""
+    pattern = KEY + r'|("[^"]*+"|[-0-9tf][^,}\]]*+)'
+    return f"array_remove(regexp_extract_all({code}, {_quoted(pattern)}, 1), '')"
+
+
+def _shape_text(code: str) -> str:
+    """:func:`_shape` of a sound coded text at most ``DEEP`` levels deep. Each scalar is a mark and a letter until names are told from strings."""
+    text = f"regexp_replace({code}, {_quoted('(' + KEY + ')' + SCALAR)}, '$1{GONE}$2$3')"
+    for old, made in (('":' + GONE, '":'), (GONE + '"', '"string"'), (GONE + "t", '"boolean"'), (GONE + "f", '"boolean"'), (GONE, '"number"')):
+        text = f"replace({text}, {_quoted(old)}, {_quoted(made)})"
+    rest = rf'("[^"]*+")|(?:,{_value(DEEP)})++(?=\])'  # the items behind a list's first
+    return f"regexp_replace({text}, {_quoted(rest)}, '$1')"
+
+
 def _parts(text: str, root: str, ordered: bool, k: str, f: str, read: bool = True) -> tuple[str, str, str]:
     """A JSON text, given as an SQL expression, as SQL for its tokens ``k``, their fold ``f`` and, of both, a struct: ``nodes`` (path, parent, ord, type, n, start, stop, same), ``tokens``.
 
@@ -251,6 +377,12 @@ def segments_of(path: Column) -> Column:
     return F.concat(F.slice(parts, 1, 1), tail)
 
 
+def _place(segments: Iterable[str]) -> str:
+    """:func:`path_of` given segments."""
+    first, *rest = segments
+    return first + "".join(MARK + s if re.fullmatch(r"#[0-9]+", s) else f"{MARK}s{s.replace(MARK, MARK + 'e')}" for s in rest)
+
+
 def path_of(segments: Column) -> Column:
     """The path of segments; a segment ``#`` and digits is a list place."""
     def step(s):
@@ -276,9 +408,25 @@ def dice(a: Column, b: Column) -> Column:
             F.struct(tail(r["x"], q).alias("x"), tail(r["y"], q).alias("y")), lambda z: p + q + F.aggregate(
                 F.array_intersect(z["x"], z["y"]), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(z["x"], lambda h: h == g)), F.size(F.filter(z["y"], lambda h: h == g)))))))
 
-    def scored(s):
+    def in_order(s):
         return let(F.struct(grams(s["a"]).alias("x"), grams(s["b"]).alias("y")), lambda g: let(
-            F.struct(g["x"].alias("x"), g["y"].alias("y"), alike(g["x"], g["y"]).alias("p")), lambda h: F.lit(2.0) * middle(h) / (F.size(h["x"]) + F.size(h["y"]))))
+            F.struct(g["x"].alias("x"), g["y"].alias("y"), alike(g["x"], g["y"]).alias("p")), middle))
+
+    def pieces(text):  # up to the next comma and the character behind it: all bigrams stand in one piece
+        return F.regexp_extract_all(text, F.lit(r"(?s)(?=([^,]*+,?+.?+))(?:[^,]++,?+|,)"), F.lit(1))
+
+    def both(s):  # pieces that both have once are left out; no bigram of theirs is looked up
+        two = lambda c: F.flatten(F.transform(c, lambda p: F.regexp_extract_all(p, F.lit("(?s)(?=(..))."), F.lit(1))))
+        times = lambda c, g: F.size(c) - F.size(F.array_remove(c, g))
+        rest = F.struct(two(F.array_except(s["x"], s["y"])).alias("x"), two(F.array_except(s["y"], s["x"])).alias("y"))
+        return let(rest, lambda r: s["n"] - F.size(r["x"]) + F.aggregate(
+            F.array_intersect(r["x"], r["y"]), F.lit(0), lambda n, g: n + F.least(times(r["x"], g), times(r["y"], g))))
+
+    def scored(s):
+        once = lambda c: F.size(F.array_distinct(c)) == F.size(c)
+        size = lambda c: F.char_length(c) - 1
+        count = let(F.struct(pieces(s["a"]).alias("x"), pieces(s["b"]).alias("y"), size(s["a"]).alias("n")), lambda p: F.when(once(p["x"]) & once(p["y"]), both(p)))
+        return F.lit(2.0) * F.coalesce(count, in_order(s)) / (size(s["a"]) + size(s["b"]))
 
     flat = lambda t: F.regexp_replace(t, r"\s+", "")
     return let(F.struct(flat(a).alias("a"), flat(b).alias("b")), lambda s: F.when(s["a"] == s["b"], 1.0)
@@ -293,22 +441,34 @@ def align(rows: DataFrame, base: str, cand: str, out: str, root: str, stops: Ite
 
     ``nodes`` holds a struct of ``NODE`` for each difference: side ``left`` or ``right`` for a member of one text only, ``null``, ``type``,
     ``length`` and ``value`` for a node of both, ``custom`` at a dotted path of ``stops``, under which nothing is compared. ``reorder`` is the
-    outermost list around it that holds the same items in another order. A node of both texts has all its ancestors in both, of the
+    outermost list around it that holds the same items in another order. Sound texts are compared part by part (``_compared``); those that are
+    not, hold a member name twice or are too deep are read whole, as ``parted`` tells. There, a node of both texts has all its ancestors in both, of the
     same kinds, so only its own and its parent's counterparts are looked up. Equal members are left out before (``_unlike``), except around a stop,
     whose texts are compared whole. ``moved`` has the base text of those lists by path. ``malformed`` tells that a text could not be
-    read; then there are no nodes. A missing text is one difference at the root. The column ``out_tree`` has the tree of the second text, and the
+    read; then there are no nodes. A missing text is one difference at the root. The column ``out_code`` has the second text coded, and the
     struct ``out_stats`` describes whole texts that differ: ``base_shape``, ``cand_shape``, ``base_leaves``, ``cand_leaves``, ``same_leaves``.
     Each is made only where it is used.
     """
     a, b = F.col("_tree_a"), F.col("_tree_b")
+    has_a, has_b = F.expr(f"({base}) IS NOT NULL"), F.expr(f"({cand}) IS NOT NULL")
     rows = rows.withColumn("_code_a", F.expr(_bare(base))).withColumn("_code_b", F.expr(_bare(cand)))
+    rows = rows.withColumn("_part_a", F.expr(_parted("_code_a"))).withColumn("_part_b", F.expr(_parted("_code_b")))
+    rows = rows.withColumn("_part_a", F.expr(_whole("_part_a", "_code_a"))).withColumn("_part_b", F.expr(_whole("_part_b", "_code_b")))
+    # a text whose parts make it up ends with its first value, where Spark's reader stops
+    sound = lambda c, text: (f"CASE WHEN _part_{c} IS NOT NULL THEN try_parse_json({text}) IS NOT NULL "
+                             f"WHEN _code_{c} IS NULL OR left(_code_{c}, 1) IN ('{{', '[') THEN false ELSE {_sound(text)} END")
+    ready = f"(({base}) IS NULL OR {sound('a', base)}) AND (({cand}) IS NULL OR {sound('b', cand)})"
+    rows = rows.withColumn("_ready", F.lit(False) if root in stops else F.expr(ready))
+    quick = F.col("_ready")
+    parted = quick & has_a & has_b
+    found = _compared("_code_a", "_code_b", "_part_a", "_part_b", root, [_place(s.split(".")) for s in stops])
+    rows = rows.withColumn("_found", F.when(parted, F.expr(found)))
     levels = 0 if root in stops else 1 if stops else WRAPPED
     kept = "named_struct('a', _code_a, 'b', _code_b)"
     if levels:
         kept = f"CASE WHEN {_sound(base)} AND {_sound(cand)} THEN {_unlike('_code_a', '_code_b', levels)} ELSE {kept} END"
-    rows = rows.withColumn("_kept", F.expr(kept))
+    rows = rows.withColumn("_kept", F.when(~quick, F.expr(kept)))
     rows = with_tree(with_tree(rows, "_kept.a", "_tree_a", root, read=False), "_kept.b", "_tree_b", root, read=False)
-    has_a, has_b = F.expr(f"({base}) IS NOT NULL"), F.expr(f"({cand}) IS NOT NULL")
 
     def shown(tree: Column) -> Column:
         if not stops:
@@ -321,46 +481,61 @@ def align(rows: DataFrame, base: str, cand: str, out: str, root: str, stops: Ite
     entry = lambda n: F.concat(n["path"], F.lit(MARK + "t"), n["type"].substr(1, 3), n["same"])
     entries = lambda c: F.transform(c, entry)
     both = a.isNotNull() & b.isNotNull()
-    na, nb = F.col("_tree_a.nodes"), F.col("_tree_b.nodes")
-    if stops:  # nothing below a stop counts
-        rows = rows.withColumn("_na", shown(a)).withColumn("_nb", shown(b))
-        na, nb = F.col("_na"), F.col("_nb")
-    rows = rows.withColumn("_ea", entries(na)).withColumn("_eb", entries(nb))
-    rows = rows.withColumn("_xa", F.array_except("_ea", "_eb")).withColumn("_xb", F.array_except("_eb", "_ea")).drop("_ea", "_eb")
-    rows = rows.withColumn("_da", F.when(F.size("_xa") > 0, F.filter(na, lambda n: F.array_contains("_xa", entry(n)))).otherwise(F.slice(na, 1, 0)))
-    rows = rows.withColumn("_db", F.when(F.size("_xb") > 0, F.filter(nb, lambda n: F.array_contains("_xb", entry(n)))).otherwise(F.slice(nb, 1, 0)))
-    objects = lambda c: F.transform(F.filter(c, lambda n: n["type"] == "object"), lambda n: n["path"])
-    some = (F.size("_da") > 0) | (F.size("_db") > 0)
-    rows = rows.withColumn("_objects", F.when(some, F.array_intersect(objects(na), objects(nb))))
-    left = F.transform("_da", lambda x: F.struct(x.alias("a"), F.get(F.filter("_db", lambda y: y["path"] == x["path"]), F.lit(0)).alias("b")))
-    left = F.filter(left, lambda p: p["b"].isNotNull() | F.array_contains("_objects", p["a"]["parent"]))
     none = F.lit(None)
-    right = F.filter("_db", lambda y: ~F.exists("_da", lambda x: x["path"] == y["path"]) & F.array_contains("_objects", y["parent"]))
-    right = F.transform(right, lambda y: F.struct(F.when(F.lit(False), y).alias("a"), y.alias("b")))
-    rows = rows.withColumn("_pairs", F.concat(left, right))
     where = lambda p: F.coalesce(p["a"]["path"], p["b"]["path"])
     around = lambda path, inner: inner.startswith(F.concat(path, F.lit(MARK)))
-    # lists around a difference that hold the same items on both sides
-    lists = F.filter(na, lambda n: (n["type"] == "array") & F.exists("_pairs", lambda p: around(n["path"], where(p))))
-    items = lambda tree, c, path: F.sort_array(F.transform(F.filter(c, lambda n: n["parent"] == path), lambda n: text_of(tree, n)))
-    held = F.filter(lists, lambda n: F.exists(nb, lambda o: (o["path"] == n["path"]) & (o["type"] == "array") & (o["n"] == n["n"])))
-    moved = F.filter(held, lambda n: items(a, a["nodes"], n["path"]) == items(b, b["nodes"], n["path"]))
-    rows = rows.withColumn("_moved", F.array_sort(F.transform(moved, lambda n: F.struct(n["path"].alias("path"), text_of(a, n).alias("text")))))
-
-    def node(p):
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+
+    def differing(c: Column, x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.filter(c, lambda n: F.array_contains(x, entry(n)))).otherwise(F.slice(c, 1, 0))
+
+    def paired(s: Column, d: Column) -> Column:
+        objects = lambda c: F.transform(F.filter(c, lambda n: n["type"] == "object"), lambda n: n["path"])
+        some = (F.size(d["a"]) > 0) | (F.size(d["b"]) > 0)
+
+        def made(held: Column) -> Column:
+            left = F.transform(d["a"], lambda x: pair(x, F.get(F.filter(d["b"], lambda y: y["path"] == x["path"]), F.lit(0))))
+            left = F.filter(left, lambda p: p["b"].isNotNull() | F.array_contains(held, p["a"]["parent"]))
+            right = F.filter(d["b"], lambda y: ~F.exists(d["a"], lambda x: x["path"] == y["path"]) & F.array_contains(held, y["parent"]))
+            return F.concat(left, F.transform(right, lambda y: pair(F.when(F.lit(False), y), y)))
+
+        return let(F.when(some, F.array_intersect(objects(s["a"]), objects(s["b"]))), made)
+
+    def reordered(s: Column, pairs: Column) -> Column:
+        """Lists around a difference that hold the same items on both sides."""
+        lists = F.filter(s["a"], lambda n: (n["type"] == "array") & F.exists(pairs, lambda p: around(n["path"], where(p))))
+        items = lambda tree, c, path: F.sort_array(F.transform(F.filter(c, lambda n: n["parent"] == path), lambda n: text_of(tree, n)))
+        held = F.filter(lists, lambda n: F.exists(s["b"], lambda o: (o["path"] == n["path"]) & (o["type"] == "array") & (o["n"] == n["n"])))
+        moved = F.filter(held, lambda n: items(a, a["nodes"], n["path"]) == items(b, b["nodes"], n["path"]))
+        return F.array_sort(F.transform(moved, lambda n: F.struct(n["path"].alias("path"), text_of(a, n).alias("text"))))
+
+    def node(p: Column, moved: Column) -> Column:
         x, y = p["a"], p["b"]
         two = x.isNotNull() & y.isNotNull()
         side = (F.when(y.isNull(), "left").when(x.isNull(), "right").when(x["same"].startswith(GONE) | y["same"].startswith(GONE), "custom")
                 .when((x["type"] == "null") | (y["type"] == "null"), "null").when(x["type"] != y["type"], "type").when(x["type"] == "array", "length").otherwise("value"))
         long = two & (x["type"] == "array") & (y["type"] == "array") & ~x["same"].startswith(GONE)
-        outer = F.get(F.filter("_moved", lambda m: around(m["path"], where(p))), F.lit(0))["path"]
+        outer = F.get(F.filter(moved, lambda m: around(m["path"], where(p))), F.lit(0))["path"]
         return F.struct(
             segments_of(where(p)).alias("segments"), side.alias("side"), F.coalesce(x["type"], F.lit("null")).alias("base_type"), F.coalesce(y["type"], F.lit("null")).alias("cand_type"),
             value_of(a, x).alias("base_value"), value_of(b, y).alias("cand_value"), F.when(long, x["n"]).alias("base_len"), F.when(long, y["n"]).alias("cand_len"),
             F.when(outer.isNotNull(), segments_of(outer)).alias("reorder"))
 
-    def alone(side: str, tree: Column) -> Column:
-        kind = F.element_at(tree["nodes"], -1)["type"]
+    def difference(f: Column) -> Column:
+        type_ = lambda t: F.when(t.isNull(), "null").otherwise(_type(t))
+        value = lambda t: F.when(t.startswith('"'), plain(t)).when(~t.startswith("n"), restored(t))
+        return F.struct(
+            segments_of(f["p"]).alias("segments"), F.get(F.array(*(F.lit(s) for s in SIDES)), f["k"] - 1).alias("side"), type_(f["a"]).alias("base_type"), type_(f["b"]).alias("cand_type"),
+            value(f["a"]).alias("base_value"), value(f["b"]).alias("cand_value"), f["n"].alias("base_len"), f["m"].alias("cand_len"),
+            F.when(f["r"].isNotNull(), segments_of(f["r"])).alias("reorder"))
+
+    # only for rows that are read whole: nothing of it is computed for the others
+    result = lambda pairs, moved: F.struct(F.transform(pairs, lambda p: node(p, moved)).alias("nodes"), moved.alias("moved"))
+    read = let(pair(shown(a), shown(b)), lambda s: let(pair(entries(s["a"]), entries(s["b"])), lambda e: let(
+        pair(differing(s["a"], F.array_except(e["a"], e["b"])), differing(s["b"], F.array_except(e["b"], e["a"]))), lambda d: let(
+            paired(s, d), lambda pairs: let(reordered(s, pairs), lambda moved: result(pairs, moved))))))
+
+    def alone(side: str, kind: Column) -> Column:
         text = F.expr(base if side == "left" else cand)
         null, nil = F.lit(None).cast("string"), F.lit("null")
         return F.array(F.struct(
@@ -369,20 +544,26 @@ def align(rows: DataFrame, base: str, cand: str, out: str, root: str, stops: Ite
             none.cast("int").alias("base_len"), none.cast("int").alias("cand_len"), none.cast("array<string>").alias("reorder")))
 
     empty = F.array().cast(f"array<struct<{NODE}>>")
-    nodes = F.when(both, F.transform("_pairs", node)).when(a.isNotNull() & ~has_b, alone("left", a)).when(b.isNotNull() & ~has_a, alone("right", b)).otherwise(empty)
+    kind = lambda tree, code: F.when(quick, _type(F.col(code))).otherwise(F.element_at(tree["nodes"], -1)["type"])
+    one = lambda there, tree, other: ((quick & there) | tree.isNotNull()) & ~other
+    rows = rows.withColumn("_read", F.when(both, read))
+    nodes = (F.when(parted, F.transform(F.filter("_found", lambda f: f["k"] < MOVED), difference)).when(both, F.col("_read.nodes"))
+             .when(one(has_a, a, has_b), alone("left", kind(a, "_code_a"))).when(one(has_b, b, has_a), alone("right", kind(b, "_code_b"))).otherwise(empty))
+    moved = F.when(parted, F.transform(F.filter("_found", lambda f: f["k"] == MOVED), lambda f: F.struct(f["p"].alias("path"), restored(f["a"]).alias("text")))).otherwise(F.col("_read.moved"))
     rows = rows.withColumn("_nodes", nodes)
-    found = both & (F.size("_nodes") > 0)
-    rows = rows.withColumn("_all_a", F.when(found, F.expr(_tokens("_code_a")))).withColumn("_all_b", F.when(found, F.expr(_tokens("_code_b"))))
-    rows = rows.withColumn("_la", F.expr(_leaves("_all_a"))).withColumn("_lb", F.expr(_leaves("_all_b")))
-    same = F.size(F.filter(F.zip_with("_la", "_lb", lambda x, y: x == y), lambda m: m))
-    zero = lambda c: F.when(found, c).otherwise(0)
-    rows = with_tree(rows, "_code_b", f"{out}_tree", root, read=False)
+    some = (parted | both) & (F.size("_nodes") > 0)
+    leaves = lambda c: F.when(some, F.when(parted, F.expr(_leaf_texts(f"_code_{c}"))).otherwise(F.expr(_let("k", _tokens(f"_code_{c}"), _leaves("k")))))
+    rows = rows.withColumn("_la", leaves("a")).withColumn("_lb", leaves("b"))
+    alike = F.expr(f"zip_with(_la, _lb, (x, y) -> coalesce(CASE WHEN x = y THEN true WHEN _ready THEN {_alike('x', 'y')} END, false))")
+    zero = lambda c: F.when(some, c).otherwise(0)
+    shape = lambda c: F.when(some, F.when(parted, F.expr(_shape_text(f"_code_{c}"))).otherwise(F.expr(_let("k", _tokens(f"_code_{c}"), _shape("k")))))
     rows = rows.withColumn(out, F.struct(
-        F.col("_nodes").alias("nodes"), F.col("_moved").alias("moved"), ((has_a & a.isNull()) | (has_b & b.isNull())).alias("malformed")))
+        F.col("_nodes").alias("nodes"), moved.alias("moved"), (~quick & ((has_a & a.isNull()) | (has_b & b.isNull()))).alias("malformed"), parted.alias("parted")))
     rows = rows.withColumn(f"{out}_stats", F.struct(
-        F.when(found, F.expr(_shape("_all_a"))).alias("base_shape"), F.when(found, F.expr(_shape("_all_b"))).alias("cand_shape"),
-        zero(F.size("_la")).alias("base_leaves"), zero(F.size("_lb")).alias("cand_leaves"), zero(same).alias("same_leaves")))
-    return rows.drop("_code_a", "_code_b", "_kept", "_tree_a", "_tree_b", "_na", "_nb", "_xa", "_xb", "_da", "_db", "_objects", "_pairs", "_moved", "_nodes", "_all_a", "_all_b", "_la", "_lb")
+        shape("a").alias("base_shape"), shape("b").alias("cand_shape"),
+        zero(F.size("_la")).alias("base_leaves"), zero(F.size("_lb")).alias("cand_leaves"), zero(F.size(F.array_remove(alike, False))).alias("same_leaves")))
+    rows = rows.withColumnRenamed("_code_b", f"{out}_code")
+    return rows.drop("_code_a", "_part_a", "_part_b", "_ready", "_found", "_kept", "_tree_a", "_tree_b", "_read", "_nodes", "_la", "_lb")
 
 
 def edit(tree: Column, repairs: Column) -> Column:
@@ -448,6 +629,21 @@ def edit(tree: Column, repairs: Column) -> Column:
     return restored(text)
 
 
+def edit_members(code: str, repairs: str) -> Column:
+    """:func:`edit` of a sound coded object (both SQL expressions) without reading it; null unless each repair is of another member that it holds."""
+    value = "get(r.repairs, j - 1).value"
+    changed = _let("j", "CAST(array_position(n, get(k, i)) AS INT)", (
+        f"CASE WHEN j = 0 THEN x WHEN get(r.repairs, j - 1).action = 'remove-field' THEN NULL WHEN get(r.repairs, j - 1).action = 'handle-null' AND {_held('x')} <> 'null' THEN x "
+        f"ELSE concat(left(x, locate({_quoted(END)}, x, 2) + 1), coalesce({value}, 'null')) END"))
+    text = _restored(f"concat('{{', array_join(transform(r.members, (x, i) -> {changed}), ','), '}}')")
+    plain_names = ("forall(r.repairs, f -> size(f.segments) = 2 AND NOT get(f.segments, 1) RLIKE '^#[0-9]+$' "
+                   "AND f.action IN ('remove-field', 'map-value', 'convert-type', 'reorder-array', 'handle-null'))")
+    made = _let("n", f"transform(r.repairs, f -> replace(get(f.segments, 1), '{MARK}', '{MARK}e'))", _let(
+        "k", f"transform(r.members, x -> {_key('x')})", f"CASE WHEN size(array_distinct(n)) = size(n) AND size(array_except(n, k)) = 0 THEN {text} END"))
+    parts = f"named_struct('members', CASE WHEN startswith({code}, '{{') THEN {_let('m', _parted(code), _whole('m', code))} END, 'repairs', {repairs})"
+    return F.expr(_let("r", parts, f"CASE WHEN r.members IS NOT NULL AND {plain_names} THEN {made} END"))
+
+
 def strip_nulls(text: Column) -> Column:
     """Drops the null members of every object of a JSON text, nested ones too; nulls inside lists stay.
 

@@ -193,13 +193,12 @@ def _diffs(nodes: Column, cfg: CompareConfig) -> Column:
     return out
 
 
-def _unread(test: Column, root: str, base: Column, cand: Column) -> Column:
-    """The difference of a pair of which a text is malformed, or none."""
+def _unread(root: str, base: Column, cand: Column) -> Column:
+    """The difference of a pair of which a text is malformed."""
     null = F.lit(None).cast("string")
-    row = F.struct(
+    return F.array(F.struct(
         F.lit(root).alias("path"), F.array(F.lit(root)).alias("segments"), F.lit(MALFORMED).alias("type"), base.alias("baseline"), cand.alias("candidate"),
-        F.lit("string").alias("base_type"), F.lit("string").alias("cand_type"), F.lit("critical").alias("severity"), F.lit(False).alias("fixable"), null.alias("ignored"))
-    return F.filter(F.array(row), lambda _: F.coalesce(test, F.lit(False)))
+        F.lit("string").alias("base_type"), F.lit("string").alias("cand_type"), F.lit("critical").alias("severity"), F.lit(False).alias("fixable"), null.alias("ignored")))
 
 
 def percent_change(old: Column, new: Column) -> Column:
@@ -226,7 +225,7 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
 
     ``pairs`` comes from ``pair_snapshots`` over frames with ``data`` (JSON),
     and optionally ``errors`` (JSON), ``duration`` and ``size``. ``keep`` carries
-    the input columns, the alignment ``_p`` and the tree of the candidate ``_p_tree`` along.
+    the input columns, the alignment ``_p`` and the coded text of the candidate ``_p_code`` along.
 
     No data is JSON's null: a side without data differs from one with data at the root. Texts that differ and of which one is
     malformed give one difference of type ``malformed-json`` at the root, similarity 0 and the verdict unsafe.
@@ -247,11 +246,11 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
         rows = rows.withColumn("_base", gate(err_changed, be)).withColumn("_cand", gate(err_changed, ce))
         rows = json_trees.align(rows, "_base", "_cand", "_e", "errors", cfg.comparators)
         error_diffs = _diffs(F.col("_e.nodes"), CompareConfig(cfg.strict, cfg.ignore, [], cfg.comparators))
-        error_diffs = F.concat(error_diffs, _unread(F.col("_e.malformed"), "errors", be, ce))
+        error_diffs = F.when(F.col("_e.malformed"), _unread("errors", be, ce)).otherwise(error_diffs)
         malformed = malformed | F.coalesce(F.col("_e.malformed"), F.lit(False))
     else:
         error_diffs = F.filter(_diffs(F.col("_p.nodes"), cfg), lambda d: F.lit(False))
-    data_diffs = F.concat(_diffs(F.col("_p.nodes"), cfg), _unread(F.col("_p.malformed"), "data", data["base"], data["cand"]))
+    data_diffs = F.when(F.col("_p.malformed"), _unread("data", data["base"], data["cand"])).otherwise(_diffs(F.col("_p.nodes"), cfg))
     both = F.col("has_base") & F.col("has_cand")
     lost = F.array(
         F.struct(
@@ -263,7 +262,7 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
         )
     )
     rows = rows.withColumn(
-        "diffs", F.when(both, F.concat(data_diffs, error_diffs)).otherwise(lost)
+        "diffs", F.when(both, F.flatten(F.array(data_diffs, error_diffs))).otherwise(lost)
     ).withColumn("_structure", json_trees.dice(F.col("_p_stats.base_shape"), F.col("_p_stats.cand_shape"))).withColumn("_malformed", malformed)
     count = lambda f: F.size(F.filter("diffs", f))
     breaking = [b[0] for b in BREAKING]
@@ -278,7 +277,7 @@ def compare_pairs(pairs: DataFrame, cfg: CompareConfig | None = None, keep: bool
         F.when(both, percent_change(F.col(f"base_{n}"), F.col(f"cand_{n}"))).otherwise(zero)
         if f"base_{n}" in pairs.columns else zero
     )
-    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] + ["_p", "_p_tree"] if keep else []
+    carried = [c for c in pairs.columns if c not in ("id", "has_base", "has_cand")] + ["_p", "_p_code"] if keep else []
     out = rows.select(
         "id", "has_base", "has_cand", *carried, "diffs", (F.size("diffs") == 0).alias("identical"), similarity.alias("similarity"),
         count(lambda d: d["type"].isin(*breaking)).alias("breaking"),

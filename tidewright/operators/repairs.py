@@ -64,10 +64,13 @@ def apply_repairs(pairs: DataFrame, cfg: D.CompareConfig | None = None) -> DataF
     """The pairs with the candidate repaired toward the baseline.
 
     Both texts are already on one row, so repairs are derived and applied there
-    without another shuffle, on the tree that the comparison has read. Malformed candidates and those without a repair stay as they are.
+    without another shuffle: members of the root are replaced in the text, for other repairs it is read. Malformed candidates and those without a repair stay as they are.
     """
     compared = D.compare_pairs(pairs, cfg, keep=True).withColumn("_fixes", _repairs_of(F.col("diffs"), F.col("_p.moved")))
-    fixed = F.when(F.col("_p_tree").isNull() | (F.size("_fixes") == 0), F.col("_was")).otherwise(json_trees.edit(F.col("_p_tree"), F.col("_fixes")))
+    some = F.size("_fixes") > 0
+    compared = compared.withColumn("_text", F.when(some & F.col("_p.parted"), json_trees.edit_members("_p_code", "_fixes")))
+    compared = json_trees.with_tree(compared.withColumn("_read", F.when(some & F.col("_text").isNull(), F.col("_p_code"))), "_read", "_p_tree", "data", read=False)
+    fixed = F.when(F.col("_text").isNotNull(), F.col("_text")).when(F.col("_p_tree").isNull(), F.col("_was")).otherwise(json_trees.edit(F.col("_p_tree"), F.col("_fixes")))
     # a filter on the repaired text must not be moved below its making, which would be written out anew for every use of a column
     return once(compared.withColumnRenamed("cand_data", "_was"), cand_data=fixed).select(*pairs.columns)
 
